@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import audio, packing
+from gridloom.llm import audio, mixing, packing, secrets
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    told = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).result().drop("row", "source")
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.features(read_table(spark, sf_dir, "documents"), keep_media=False).drop("media", "tensors")
 
@@ -27,6 +40,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_blob_ledger": op4_blob_ledger,
+    "op5_source_mix": op5_source_mix,
     "op9_audio_features": op9_audio_features,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
