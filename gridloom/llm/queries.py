@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import audio, mixing, packing, secrets
+from gridloom.llm import audio, mixing, packing, secrets, substrings
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).result().drop("row", "source")
 
 
+def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.features(read_table(spark, sf_dir, "documents"), keep_media=False).drop("media", "tensors")
 
@@ -42,6 +46,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_blob_ledger": op4_blob_ledger,
     "op5_source_mix": op5_source_mix,
+    "op7_fingerprint_index": op7_fingerprint_index,
     "op9_audio_features": op9_audio_features,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
