@@ -18,7 +18,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxh3_64_intdigest, words)), np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

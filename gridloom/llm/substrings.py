@@ -33,7 +33,7 @@ from gridloom.llm.shingles import mixed, window_hashes, window_places, word_hash
 
 NO_ID = np.int64(2**63 - 1)
 BLOCK_BYTES = 12e6  # of text, for each block of the fingerprint space
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 VERDICTS = -1  # the block of rows that hold verdicts: payload has repeated fingerprints of a document
 
 RUNS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("new", T.BooleanType()), T.StructField("payload", T.BinaryType())])
