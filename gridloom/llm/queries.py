@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import audio, mixing, packing, secrets, substrings, toxicity
+from gridloom.llm import audio, mixing, packing, quality, secrets, substrings, toxicity
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).result().drop("row", "source")
 
 
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(read_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op3_kneser_ney_toxicity": op3_kneser_ney_toxicity,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_source_mix": op5_source_mix,
+    "op6_decision_list": op6_decision_list,
     "op7_fingerprint_index": op7_fingerprint_index,
     "op9_audio_features": op9_audio_features,
     "op10_harmonic_packing": op10_harmonic_packing,

@@ -140,7 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> Model |
     if not n[0] or not n[1]:
         return None
     sample = spark.createDataFrame(rows, "doc_id bigint, toxic int, judge boolean")
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"])  # at most 2 * most_rows rows of the sample
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * most_rows rows
+    picked = picked.groupBy("text", "toxic").agg(F.min("judge").alias("judge"), F.min("doc_id").alias("doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 8 << 20):
