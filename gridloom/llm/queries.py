@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import audio, html, mixing, packing, quality, secrets, substrings, toxicity
+from gridloom.llm import audio, html, jaccard, mixing, packing, quality, secrets, substrings, toxicity
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_sparse_product_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.features(read_table(spark, sf_dir, "documents"), keep_media=False).drop("media", "tensors")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op5_source_mix": op5_source_mix,
     "op6_decision_list": op6_decision_list,
     "op7_fingerprint_index": op7_fingerprint_index,
+    "op8_sparse_product_join": op8_sparse_product_join,
     "op9_audio_features": op9_audio_features,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
