@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import audio, html, jaccard, mixing, packing, quality, secrets, substrings, toxicity
+from gridloom.llm import audio, html, jaccard, lm, mixing, packing, quality, secrets, substrings, toxicity
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_site_templates": op1_site_templates,
+    "op2_context_mixing": op2_context_mixing,
     "op3_kneser_ney_toxicity": op3_kneser_ney_toxicity,
     "op4_blob_ledger": op4_blob_ledger,
     "op5_source_mix": op5_source_mix,
