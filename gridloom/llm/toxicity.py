@@ -185,10 +185,13 @@ def scores(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> DataFra
     return found.select("doc_id", (fold_of() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence", "n_words")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, unchanged: the judgement is made on each row's own text, without a join."""
+def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, texts: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, unchanged: the judgement is made on each row's own text, without a join.
+
+    The model is learned from the labelled rows of ``texts``, which are ``docs`` unless given.
+    """
     spark = docs.sparkSession
-    model = learn(docs, labels, most_rows) or Model({"": 0.0}, {}, 0.0, -30.0)
+    model = learn(texts if texts is not None else docs, labels, most_rows) or Model({"": 0.0}, {}, 0.0, -30.0)
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
