@@ -34,17 +34,18 @@ from gridloom.llm.shingles import mixed, window_hashes, window_places, word_hash
 NO_ID = np.int64(2**63 - 1)
 BLOCK_BYTES = 12e6  # of text, for each block of the fingerprint space
 CHUNK_BYTES = 8 << 20
-VERDICTS = -1  # the block of rows that hold verdicts: payload has repeated fingerprints of a document
 
-RUNS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("new", T.BooleanType()), T.StructField("payload", T.BinaryType())])
-RUNS_ARROW = pa.schema([("block", pa.int32()), ("doc", pa.int64()), ("new", pa.bool_()), ("payload", pa.binary())])
+#: Rows of negative blocks -1 - b hold verdicts for the documents of bucket b: which of their fingerprints are repeats.
+RUNS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("new", T.BooleanType()), T.StructField("payload", T.BinaryType())])
+RUNS_ARROW = pa.schema([("block", pa.int32()), ("new", pa.bool_()), ("payload", pa.binary())])
 
 
 def packed(prints: np.ndarray, check: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> bytes:
     """Ascending fingerprints as differences of their upper 56 bits in 5 bytes each (8 if one needs more), their lower byte, the check byte and a document number."""
     upper = prints >> np.uint64(8)
     steps = np.diff(upper, prepend=np.uint64(0))
-    first, steps[0] = int(steps[0]), 0
+    first = int(upper[0]) if len(upper) else 0
+    steps[:1] = 0
     wide = bool(len(steps) and int(steps.max()) >= 1 << 40)
     columns = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 5]
     used, number = np.unique(doc, return_inverse=True)
@@ -72,14 +73,29 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(upper) << np.uint64(8) | low, check, ids[number]
 
 
-def grouped(doc: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The fingerprints of each document."""
+def verdicts(doc: np.ndarray, prints: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, documents with how many fingerprints each and these), for each bucket of documents."""
+    bucket = ((mixed(doc.view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    doc, prints, bucket = doc[order], prints[order], bucket[order]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(doc)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            own, n = np.unique(doc[a:b], return_counts=True)
+            yield int(bucket[a]), np.array([len(own)], "<i8").tobytes() + own.tobytes() + n.astype("<u4").tobytes() + prints[a:b].tobytes()
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """(doc, prints) of one bucket's verdicts, a row for each document."""
+    docs, prints = [], []
+    for data in table["payload"].to_pylist():
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        docs.append(np.repeat(np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u4", n, 8 + 8 * n)))
+        prints.append(np.frombuffer(data, np.uint64, -1, 8 + 12 * n))
+    doc, prints = np.concatenate(docs), np.concatenate(prints)
     order = np.argsort(doc, kind="stable")
-    doc, prints = doc[order], prints[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for part, start in zip(np.split(prints, cuts), [0, *cuts], strict=True):
-        if len(part):
-            yield int(doc[start]), part.tobytes()
+    own, starts = np.unique(doc[order], return_index=True)
+    return pa.table({"doc": pa.array(own, pa.int64()), "prints": pa.array([x.tobytes() for x in np.split(prints[order], starts[1:])], pa.binary())})
 
 
 def smallest(prints: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +137,7 @@ def runs(docs: DataFrame, width: int, blocks: int) -> DataFrame:
             prints, check, owner = prints[order], check[order], owner[order]
             own = ids[owner]
             later = own > least
-            out = [(VERDICTS, doc, True, payload) for doc, payload in grouped(own[later], prints[later])]
+            out = [(-1 - b, True, payload) for b, payload in verdicts(own[later], prints[later], blocks)]
             once = np.concatenate([[True], (prints[1:] != prints[:-1]) | (check[1:] != check[:-1])])[: len(prints)]
             # the first of each group stands for it, under the group's smallest id
             prints, check, least = prints[once], check[once], least[once]
@@ -130,24 +146,28 @@ def runs(docs: DataFrame, width: int, blocks: int) -> DataFrame:
             edges = np.searchsorted(block, np.arange(blocks + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 cut = slice(edges[b], edges[b + 1])
-                out.append((int(b), None, True, packed(prints[cut], check[cut], number[cut], ids)))
+                out.append((int(b), True, packed(prints[cut], check[cut], number[cut], ids)))
             if out:
                 yield rows_of(out)
 
     return docs.select("doc_id", "text").mapInArrow(task, RUNS)
 
 
-def merged(table: pa.Table) -> pa.Table:
-    """Of one block: the verdicts of the new batch; what is a verdict already passes."""
-    told = [(d, p) for b, d, p in zip(table["block"].to_pylist(), table["doc"].to_pylist(), table["payload"].to_pylist(), strict=True) if b < 0]
-    entries = [(new, *unpacked(p)) for b, new, p in zip(table["block"].to_pylist(), table["new"].to_pylist(), table["payload"].to_pylist(), strict=True) if b >= 0]
-    if len(entries) > 1:
-        prints, check, doc = (np.concatenate([e[i] for e in entries]) for i in (1, 2, 3))
-        new = np.repeat([e[0] for e in entries], [len(e[1]) for e in entries])
-        order, least = smallest(prints, check, doc)
-        later = (doc[order] > least) & new[order]
-        told += list(grouped(doc[order][later], prints[order][later]))
-    return pa.table({"doc": pa.array([d for d, _ in told], pa.int64()), "payload": pa.array([p for _, p in told], pa.binary())})
+def merger(blocks: int):
+    def merged(table: pa.Table) -> pa.Table:
+        """Of one block: the verdicts on the new batch, by bucket; what is a verdict already passes."""
+        block, new, payload = (table[c].to_pylist() for c in ("block", "new", "payload"))
+        told = [(-1 - b, p) for b, p in zip(block, payload, strict=True) if b < 0]
+        entries = [(n, *unpacked(p)) for b, n, p in zip(block, new, payload, strict=True) if b >= 0]
+        if len(entries) > 1:
+            prints, check, doc = (np.concatenate([e[i] for e in entries]) for i in (1, 2, 3))
+            new = np.repeat([e[0] for e in entries], [len(e[1]) for e in entries])
+            order, least = smallest(prints, check, doc)
+            later = (doc[order] > least) & new[order]
+            told += list(verdicts(doc[order][later], prints[order][later], blocks))
+        return pa.table({"bucket": pa.array([b for b, _ in told], pa.int32()), "payload": pa.array([p for _, p in told], pa.binary())})
+
+    return merged
 
 
 def compacted(all_runs: DataFrame) -> DataFrame:
@@ -160,7 +180,7 @@ def compacted(all_runs: DataFrame) -> DataFrame:
         prints, check = prints[order], check[order]
         once = np.concatenate([[True], (prints[1:] != prints[:-1]) | (check[1:] != check[:-1])])[: len(prints)]
         ids, number = np.unique(least[once], return_inverse=True)
-        return rows_of_table([(table["block"][0].as_py(), None, False, packed(prints[once], check[once], number, ids))])
+        return rows_of_table([(table["block"][0].as_py(), False, packed(prints[once], check[once], number, ids))])
 
     return all_runs.where("block >= 0").groupBy("block").applyInArrow(fold, RUNS)
 
@@ -175,14 +195,13 @@ def blocks_for(docs: DataFrame) -> int:
 
 
 def repeats(docs: DataFrame, width: int = 13, history: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
-    """(doc, prints): for each document with repeated windows, lists of their fingerprints. ``history`` has runs made with the same ``blocks``."""
+    """(doc, prints): the repeated fingerprints of each document that has any. ``history`` has runs made with the same ``blocks``."""
     blocks = blocks or blocks_for(docs)
     all_runs = runs(docs, width, blocks)
     if history is not None:
         all_runs = all_runs.unionByName(history.where("block >= 0").withColumn("new", F.lit(False)))
-    group = F.when(F.col("block") < 0, -1 - F.pmod(F.xxhash64("doc"), F.lit(blocks))).otherwise(F.col("block").cast("long"))
-    verdicts = all_runs.groupBy(group.alias("of")).applyInArrow(merged, "doc bigint, payload binary")
-    return verdicts.groupBy("doc").agg(F.collect_list("payload").alias("prints"))
+    told = all_runs.groupBy("block").applyInArrow(merger(blocks), "bucket int, payload binary")
+    return told.groupBy("bucket").applyInArrow(gathered, "doc bigint, prints binary")
 
 
 def removed(docs: DataFrame, width: int = 13, history: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
@@ -193,11 +212,11 @@ def removed(docs: DataFrame, width: int = 13, history: DataFrame | None = None,
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
             rows = []
-            for doc_id, text, lists in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("prints").to_pylist(), strict=True):
+            for doc_id, text, prints in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), batch.column("prints").to_pylist(), strict=True):
                 words = text.split()
                 n = len(words)
-                if lists:
-                    dup = np.isin(window_hashes(word_hashes(words), width), np.frombuffer(b"".join(lists), np.uint64))
+                if prints:
+                    dup = np.isin(window_hashes(word_hashes(words), width), np.frombuffer(prints, np.uint64))
                     edge = np.zeros(n + 1, np.int64)
                     at = np.flatnonzero(dup)
                     np.add.at(edge, at, 1)
