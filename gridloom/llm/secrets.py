@@ -86,13 +86,13 @@ def scan(docs: DataFrame, ledger: str | None = None, key: str = "doc_id") -> Dat
 
 def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced as one, n_chars follows the text."""
-    ids = scan(docs, ledger).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_blob"])
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_blob")), "left")
+    ids = scan(docs, ledger).where(F.size("spans") > 0).select(F.col("doc_id").alias("_gl_id"), F.col("blob").alias("_gl_blob"), F.col("spans").alias("_gl_spans")).dropDuplicates(["_gl_id", "_gl_blob"])
+    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_gl_blob")), "left")
     # each span closes what was before it: (text so far, end of the last span)
-    cleaned = F.expr(f"""aggregate(_spans, struct('' as done, 0L as at), (a, s) ->
+    cleaned = F.expr(f"""aggregate(_gl_spans, struct('' as done, 0L as at), (a, s) ->
         if(s.start >= a.at, struct(concat(a.done, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}') as done, s.end as at),
            struct(a.done as done, greatest(a.at, s.end) as at)),
         a -> concat(a.done, substring(text, cast(a.at + 1 as int))))""")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned)
-    columns = {"text": text, "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))}
+    text = F.when(F.col("_gl_spans").isNull(), F.col("text")).otherwise(cleaned)
+    columns = {"text": text, "n_chars": F.when(F.col("_gl_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))}
     return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
