@@ -32,12 +32,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that have the smallest id of their component; of several with that id, those of a null id included, one stays."""
-    found = jaccard.join(docs, k=5, percent=80)
-    # a document goes if its component has a smaller id; texts without words are copies of nothing
-    gone = found.where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(written(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.select(docs.columns)
+    """Of each component the rows of its smallest id; of several rows with one id, one. Rows without an id can't be told apart and stay."""
+    found = written(jaccard.join(docs, k=5, percent=80).where("doc_id is not null"), "components")
+    by_id = found.groupBy(F.col("doc_id").alias("_gl_id")).agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    by_id = written(by_id.select("_gl_id", (F.col("component") < F.col("_gl_id")).alias("_gl_gone"), (F.col("rows") > 1).alias("_gl_often")).where("_gl_gone or _gl_often"), "gone")
+    left = docs.join(by_id.where("_gl_gone").select("_gl_id"), F.col("doc_id") == F.col("_gl_id"), "left_anti")
+    often = by_id.where("_gl_often and not _gl_gone").select("_gl_id")
+    if often.isEmpty():
+        return left
+    once = left.join(often, F.col("doc_id") == F.col("_gl_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(often, F.col("doc_id") == F.col("_gl_id"), "left_anti").union(once)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +53,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.col("taken") / F.greatest("size", F.lit(1))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
     copies = (F.floor(times) + (drawn < times - F.floor(times)).cast("int")).cast("int")
-    plan = written(result.select(F.col("doc_id").alias("_id"), copies.alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0"), "copies")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(docs.columns)
+    plan = written(result.select(F.col("doc_id").alias("_gl_id"), copies.alias("_gl_copies")).groupBy("_gl_id").agg(F.max("_gl_copies").alias("_gl_copies")).where("_gl_copies > 0"), "copies")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_gl_id")))
+    return joined.withColumn("_gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("_gl_copies")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
