@@ -3,12 +3,13 @@
 Equal sets are one node. A node's n-grams are ordered globally, rare ones first (the order comes from counts on a sample
 of documents, ties by hash; any order gives the same result), and only its prefix takes part in the product: two sets
 with a similarity of at least ``percent`` must meet in their first n - ceil(percent*n/100) + 1 n-grams. The columns of the
-matrix are dealt over tasks by n-gram; each block's products are accumulated to (node, node, overlap) counts, and pairs whose sizes
-or whose prefix overlap rule the similarity out are dropped before sets are compared.
+matrix are dealt over tasks by n-gram; each pair of nodes that meet in a block is taken at its first common n-gram, with the overlap of their prefixes
+accumulated, and dropped if sizes, that overlap or the distance of their sketches rule the similarity out. Whole sets
+are compared for the rest alone.
 
-Large groups of near copies are never multiplied out. First, each n-gram links its nodes to its smallest and its largest one alone,
-and those links, once verified on whole sets, join most copies into components. Then only nodes of different components
-that share an n-gram are multiplied. Pairs inside one component can't change any result, so no link between components is lost.
+Large groups of near copies are never multiplied out. First, in ROUNDS rounds, each n-gram links its nodes to two picked ones
+alone, and those links, once verified on whole sets, join most copies into components. Then only nodes of different
+components that share an n-gram are multiplied. Pairs inside one component can't change any result, so no link between components is lost.
 
 Sets hold 64-bit hashes of n-grams, and their verification compares the upper 40 bits of each.
 
@@ -33,6 +34,8 @@ from gridloom.llm.shingles import window_hashes, window_places, word_hashes
 CHUNK_BYTES = 8 << 20
 SAMPLE = 32  # one document of so many is counted for the order of n-grams
 MOST_COMMON = 200_000  # so many of the commonest n-grams are ordered by count, all others by hash
+ROUNDS = 1  # of links to picked nodes, before what is left is multiplied out
+SKETCH = 1024  # bits
 MOST_BROADCAST = 4_000_000  # ids; more are joined by an exchange of the texts
 
 
@@ -72,7 +75,11 @@ def common(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, prefix) of every row: its set's identity, size and first n-grams in the global order."""
+    """(doc_id, node, n, prefix, bits) of every row: its set's identity, size, first n-grams in the global order and sketch.
+
+    A sketch has a bit for each class of hashes, the parity of how many n-grams fall into it. Where two sketches differ,
+    so do the sets: the number of differing bits is at most that of n-grams that only one set has.
+    """
     rows = common(docs, k).collect()  # bounded by MOST_COMMON
     rows.sort()
     grams, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -83,12 +90,13 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts, maybe = shared.value
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, sketches = [], [], [], []
             for s in sets_of(utf8(batch.column("text")), k):
                 n = len(s)
                 keep = n - least_overlap(n, percent) + 1 if n else 0
                 nodes.append(int.from_bytes(xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
                 sizes.append(n)
+                sketches.append(np.packbits((np.bincount((s >> 20) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64))
                 hot = np.flatnonzero(maybe[s & 0xFFFFF])
                 if len(hot):
                     at = np.minimum(np.searchsorted(grams, s[hot]), len(grams) - 1)
@@ -100,9 +108,17 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 firsts.append(s[:keep])
             offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix], names=["doc_id", "node", "n", "prefix"])
+            bits = pa.array([x.tolist() for x in sketches], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), prefix, bits], names=["doc_id", "node", "n", "prefix", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, node bigint, n bigint, prefix array<bigint>, bits array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, node bigint, n bigint, prefix array<bigint>")
+def sketched_alike(percent: int) -> Column:
+    """Whether bits_a and bits_b leave it possible that sets of n_a and n_b n-grams are similar enough."""
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = F.col("n_a") + F.col("n_b")
+    return differing <= both - 2 * F.floor((both * percent + 99 + percent) / (100 + percent))
 
 
 def sized_alike(a: str, b: str, percent: int) -> Column:
@@ -153,30 +169,41 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and node (equal for equal sets) of every row."""
     rows = written(prefixes(docs, k, percent), "prefixes")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "nodes")
     entries = nodes.select("node", "n", F.explode("prefix").alias("gram"))
 
-    # n-grams of two nodes or more, with the smallest and the largest of these
-    here = F.struct("n", "node")
-    shared = written(entries.groupBy("gram").agg(F.count("*").alias("m"), F.min(here).alias("low"), F.max(here).alias("high")).where("m > 1").drop("m"), "shared")
-    postings = written(entries.join(shared, "gram"), "postings")
-    ends = lambda end: postings.where(sized_alike("n", f"{end}.n", percent) & (F.col("node") != F.col(f"{end}.node"))).select(F.col("node").alias("a"), F.col(f"{end}.node").alias("b"))
-    stars = written(ends("low").union(ends("high")).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), F.col("b")).groupBy("x", "y").agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), "stars")
-    links = written(verified(stars, sets_in(docs, stars, nodes, k), percent), "links")
-    labels = components(links)
-
-    # n-grams that nodes of different components share, multiplied out between these
-    own = F.coalesce("label", "node").alias("label")
-    placed = written(postings.select("gram", "node", "n").join(labels, "node", "left").select("gram", "node", "n", own), "placed")
-    mixed = written(placed.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram"), "mixed")
-    left = written(placed.join(mixed, "gram"), "left")
-    a, b = (left.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label")]) for side in "ab")
-    met = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & sized_alike("n_a", "n_b", percent))
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("overlap"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    # n-grams of two nodes or more; each round links their nodes to two of them, picked by the nodes' hashes
+    shared = written(entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "shared")
+    left = postings = written(entries.join(shared, "gram"), "postings")
+    tried, links, labels = None, None, None
+    for seed in range(ROUNDS):
+        pick = F.struct(F.xxhash64("node", F.lit(seed)).alias("at"), "node", "n")
+        ends = written(left.groupBy("gram").agg(F.min(pick).alias("low"), F.max(pick).alias("high")), "ends")
+        near = lambda end: sized_alike("n", f"{end}.n", percent) & (F.col("node") != F.col(f"{end}.node"))
+        both = left.join(ends, "gram").select("node", F.explode(F.array(*[F.when(near(e), F.col(f"{e}.node")) for e in ("low", "high")])).alias("to")).where("to is not null")
+        # of both orders of a pair, the one that ends at the picked node
+        stars = both.groupBy(F.greatest("node", "to").alias("x"), F.least("node", "to").alias("y")).agg(F.min("to").alias("b"))
+        stars = stars.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
+        if tried is not None:
+            known = tried.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+            stars = stars.join(known, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        stars = written(stars.join(side("a"), "a").join(side("b"), "b").where(sketched_alike(percent)).select("a", "b"), "stars")
+        good = written(verified(stars, sets_in(docs, stars, nodes, k), percent), "links")
+        tried, links = (stars, good) if tried is None else (tried.union(stars), links.union(good))
+        labels = components(links)
+        left = mixed_postings(postings, labels)
+
+    # n-grams that nodes of different components share, multiplied out between these; a pair comes out once, at its first n-gram
+    left = written(left.join(nodes.select("node", "prefix", "bits"), "node"), "left")
+    a, b = (left.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label", "prefix", "bits")]) for side in "ab")
     # beyond the prefix that ends first there are no more than that set's other n-grams
     rest = F.greatest(least_overlap(F.col("n_a"), percent), least_overlap(F.col("n_b"), percent)) - 1
-    pairs = pairs.where((F.col("overlap") + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    most = lambda c: (F.size(c) + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    likely = F.exists(F.array(F.array_intersect("prefix_a", "prefix_b")), lambda c: (c[0] == F.col("gram")) & most(c))
+    met = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & sized_alike("n_a", "n_b", percent) & sketched_alike(percent) & likely)
+    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = written(verified(pairs, sets_in(docs, pairs, nodes, k), percent), "links")
@@ -190,6 +217,14 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return rows.select("doc_id", "node", "n").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
 
 
+def mixed_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(gram, node, n, label) of the n-grams that nodes of different components share."""
+    own = F.coalesce("label", "node").alias("label")
+    placed = written(postings.select("gram", "node", "n").join(labels, "node", "left").select("gram", "node", "n", own), "placed")
+    mixed = written(placed.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram"), "mixed")
+    return written(placed.join(mixed, "gram"), "left")
+
+
 def sets_in(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The sets of all nodes that stand in ``pairs``."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
