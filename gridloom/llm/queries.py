@@ -78,4 +78,13 @@ QUERIES: dict[str, Query] = {
 }
 
 #: DuckDB's SQL for those queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_fingerprint_index": r"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, CAST(i AS INTEGER) AS pos, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+dup AS (SELECT doc_id, pos FROM win JOIN firsts USING (g) WHERE d < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS p FROM dup),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) t ANTI JOIN gone USING (doc_id, p) GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
