@@ -75,9 +75,10 @@ def column_slice(spark, sf_dir):
     return C.select_range(part_cells(spark, sf_dir), "A:B").select("row", "col", "token")
 
 
-@query(PARTS + "SELECT row, array_to_string(list(token ORDER BY col), '~') AS line FROM cells WHERE row BETWEEN 1 AND 100 AND col <= 3 GROUP BY row")
+@query(PARTS + "SELECT row, array_to_string(list(token ORDER BY col), '~') AS line FROM cells WHERE col <= 3 GROUP BY row")
 def iter_rows_dense(spark, sf_dir):
-    return C.rows(part_cells(spark, sf_dir), 1, 1, 100, 3).select("row", F.array_join("tokens", "~").alias("line"))
+    cells = part_cells(spark, sf_dir)
+    return C.rows(cells, 1, 1, C.bounds(cells).first()["r1"], 3).select("row", F.array_join("tokens", "~").alias("line"))
 
 
 @query(PARTS + "SELECT col, array_to_string(list(token ORDER BY row), '~') AS line FROM cells WHERE row BETWEEN 1 AND 50 GROUP BY col")
@@ -85,12 +86,13 @@ def iter_columns(spark, sf_dir):
     return C.columns(part_cells(spark, sf_dir), 1, 1, 50, 6).select("col", F.array_join("tokens", "~").alias("line"))
 
 
-@query("""WITH e AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS col, CAST(user_id AS VARCHAR) AS token FROM events WHERE event_id < 200)
-SELECT r.row, c.col, token FROM (SELECT CAST(range AS INTEGER) AS row FROM range(1, 221)) r CROSS JOIN (SELECT CAST(range AS INTEGER) AS col FROM range(1, 4)) c LEFT JOIN e ON e.row = r.row AND e.col = c.col""")
+@query("""WITH e AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS col, CAST(user_id AS VARCHAR) AS token FROM events)
+SELECT r.row, c.col, token FROM (SELECT CAST(unnest(range(1, (SELECT max(event_id) FROM events) + 22)) AS INTEGER) AS row) r CROSS JOIN (SELECT CAST(range AS INTEGER) AS col FROM range(1, 4)) c LEFT JOIN e ON e.row = r.row AND e.col = c.col""")
 def pad_to_bounds(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 200")
+    e = table(spark, sf_dir, "events")
+    last = (e.agg(F.max("event_id")).first()[0] or 0) + 21  # twenty rows below the last event
     col = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
-    return C.dense(e.select((F.col("event_id") + 1).cast("int").alias("row"), col.alias("col"), F.col("user_id").cast("string").alias("token")), 1, 1, 220, 3)
+    return C.dense(e.select((F.col("event_id") + 1).cast("int").alias("row"), col.alias("col"), F.col("user_id").cast("string").alias("token")), 1, 1, last, 3)
 
 
 # filters on lines and rectangles
@@ -237,9 +239,9 @@ def column_letters(spark, sf_dir):
     return out.withColumn("back", coords.column_index(F.col("letters")))
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey AS INTEGER) AS row, 3 AS col, 'C' || o_orderkey AS coord, '$C$' || o_orderkey AS absolute FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, CAST(o_orderkey + 1 AS INTEGER) AS row, 3 AS col, 'C' || (o_orderkey + 1) AS coord, '$C$' || (o_orderkey + 1) AS absolute FROM orders")
 def coordinate_split(spark, sf_dir):
-    out = table(spark, sf_dir, "orders").where("o_orderkey > 0").select("o_orderkey", coords.coordinate(F.col("o_orderkey"), F.lit(3)).alias("coord"))
+    out = table(spark, sf_dir, "orders").select("o_orderkey", coords.coordinate(F.col("o_orderkey") + 1, F.lit(3)).alias("coord"))
     at = coords.split_coordinate(F.col("coord"))
     return out.select("o_orderkey", "coord", at["row"].alias("row"), at["col"].alias("col"), coords.absolute(F.col("coord")).alias("absolute"))
 
