@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, scratch_path, strings
+from gridloom.llm.common import chunks, scratch_path, strings, written
 
 #: Kinds in the order that ties of ``start`` follow; the first three are the base ones.
 BASE = ("assign", "access", "hex")
@@ -87,6 +87,7 @@ def scan(docs: DataFrame, ledger: str | None = None, key: str = "doc_id") -> Dat
 def redacted(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced as one, n_chars follows the text."""
     ids = scan(docs, ledger).where(F.size("spans") > 0).select(F.col("doc_id").alias("_gl_id"), F.col("blob").alias("_gl_blob"), F.col("spans").alias("_gl_spans")).dropDuplicates(["_gl_id", "_gl_blob"])
+    ids = written(ids, "found")  # its size is known, so that a small one is broadcast and a large one isn't
     joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_gl_blob")), "left")
     # each span closes what was before it: (text so far, end of the last span)
     cleaned = F.expr(f"""aggregate(_gl_spans, struct('' as done, 0L as at), (a, s) ->
