@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import coords, tokens
+from gridloom.sources.scratch import written
 
 
 def runs(cells: DataFrame, key: str = "token") -> DataFrame:
@@ -115,7 +116,8 @@ _LETTERS = "(case when x.col <= 26 then chr(64 + x.col) when x.col <= 702 then c
 def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int = 3) -> DataFrame:
     """(sheet, grid, index, hybrid, encoding): estimated tokens of the three text forms, and the one to choose."""
     cost = tokens.token_cost
-    marked = dittos(cells, anchor).withColumn("c", F.when(F.col("ditto"), F.lit(1).cast("long")).otherwise(cost(F.col("token")))).withColumn("f", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
+    cells = written(cells.select("sheet", "row", "col", "token"), "cells")  # three plans read them
+    marked = written(dittos(cells, anchor), "marked").withColumn("c", F.when(F.col("ditto"), F.lit(1).cast("long")).otherwise(cost(F.col("token")))).withColumn("f", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
     row = Window.partitionBy("sheet", "row").orderBy("col")
     same = (F.lag("f").over(row) == F.col("f")) & (F.lag("col").over(row) == F.col("col") - 1)
     marked = marked.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("gap", F.col("col") - F.lag("col").over(row) - 1).withColumn("run", F.sum("new").over(row))
@@ -124,7 +126,7 @@ def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int
     cell = F.when(F.col("at") == 1, F.col("c") + 1 + gap).when(F.col("at") == 2, F.col("c") + 1).when(F.col("at") == 3, -2 * F.col("c")).otherwise(0)
     label = F.when(F.col("labelled"), cost(F.col("row").cast("string")) + 1).otherwise(0)
     grid = marked.groupBy("sheet", "row").agg((F.sum(cell) + 1 + F.max(label)).alias("g")).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
-    spans = strides(rectangles(cells)).withColumn("text_cost", cost(span_text())).withColumn("c", cost(F.col("token")))
+    spans = written(strides(rectangles(cells)).withColumn("text", span_text()), "spans").withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
     index = spans.groupBy("sheet", "token").agg(F.sum(F.col("text_cost") + 1).alias("t"), F.first("c").alias("c")).groupBy("sheet").agg(F.sum(F.col("t") + F.col("c") + 1).cast("long").alias("index"))
     width = F.col("c1") - F.col("c0") + 1
     per_row = lambda c: F.when(width >= 3, c + 3).otherwise(width * (c + 1))
