@@ -3,9 +3,8 @@
 Equal sets are one node. A node's n-grams are ordered globally, rare ones first (the order comes from counts on a sample
 of documents, ties by hash; any order gives the same result), and only its prefix takes part in the product: two sets
 with a similarity of at least ``percent`` must meet in their first n - ceil(percent*n/100) + 1 n-grams. The columns of the
-matrix are dealt over tasks by n-gram; each pair of nodes that meet in a block is taken at its first common n-gram, with the overlap of their prefixes
-accumulated, and dropped if sizes, that overlap or the distance of their sketches rule the similarity out. Whole sets
-are compared for the rest alone.
+matrix are dealt over tasks by n-gram; a pair of nodes that meet in a block is dropped if their sizes or the distance of their sketches rule the
+similarity out. For the rest alone the overlap of whole sets is counted.
 
 Large groups of near copies are never multiplied out. First, in ROUNDS rounds, each n-gram links its nodes to two picked ones
 alone, and those links, once verified on whole sets, join most copies into components. Then only nodes of different
@@ -170,10 +169,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and node (equal for equal sets) of every row."""
     rows = written(prefixes(docs, k, percent), "prefixes")
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "nodes")
-    entries = nodes.select("node", "n", F.explode("prefix").alias("gram"))
+    # of two similar sets, the smaller one has their first common n-gram among its first n - ceil(2 * percent * n / (100 + percent)) + 1
+    lead = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram")).select("node", "n", "gram", (F.col("pos") < lead).alias("leads"))
 
     # n-grams of two nodes or more; each round links their nodes to two of them, picked by the nodes' hashes
-    shared = written(entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "shared")
+    shared = written(entries.groupBy("gram").agg(F.count("*").alias("m"), F.bool_or("leads").alias("led")).where("m > 1 and led").select("gram"), "shared")
     left = postings = written(entries.join(shared, "gram"), "postings")
     tried, links, labels = None, None, None
     for seed in range(ROUNDS):
@@ -194,15 +195,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         labels = components(links)
         left = mixed_postings(postings, labels)
 
-    # n-grams that nodes of different components share, multiplied out between these; a pair comes out once, at its first n-gram
-    left = written(left.join(nodes.select("node", "prefix", "bits"), "node"), "left")
-    a, b = (left.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label", "prefix", "bits")]) for side in "ab")
-    # beyond the prefix that ends first there are no more than that set's other n-grams
-    rest = F.greatest(least_overlap(F.col("n_a"), percent), least_overlap(F.col("n_b"), percent)) - 1
-    most = lambda c: (F.size(c) + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    likely = F.exists(F.array(F.array_intersect("prefix_a", "prefix_b")), lambda c: (c[0] == F.col("gram")) & most(c))
-    met = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & sized_alike("n_a", "n_b", percent) & sketched_alike(percent) & likely)
-    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # n-grams that nodes of different components share, multiplied out between these
+    bits = nodes.select("node", "bits")
+    a = left.where("leads").join(bits, "node").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "bits")])
+    b = left.join(bits, "node").select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "bits")])
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    met = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & smaller & sized_alike("n_a", "n_b", percent) & sketched_alike(percent))
+    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
@@ -218,9 +217,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def mixed_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, node, n, label) of the n-grams that nodes of different components share."""
+    """(gram, node, n, leads, label) of the n-grams that nodes of different components share."""
     own = F.coalesce("label", "node").alias("label")
-    placed = written(postings.select("gram", "node", "n").join(labels, "node", "left").select("gram", "node", "n", own), "placed")
+    placed = written(postings.join(labels, "node", "left").select("gram", "node", "n", "leads", own), "placed")
     mixed = written(placed.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram"), "mixed")
     return written(placed.join(mixed, "gram"), "left")
 
