@@ -273,6 +273,23 @@ def test_spellings_are_a_distribution(spark):
     assert learned > lm.Mixer.fresh().run(np.zeros_like(table), words, False).mean() + 1
 
 
+def test_weights_and_map_are_learned_from_all_words(spark):
+    words = spark.range(400_200).selectExpr("cast(conv(id, 10, 36) as binary) AS word")
+    table = spark.sparkContext.broadcast(np.zeros(2 * lm.STARTS[-1], np.uint8))
+    bits = 8 * words.selectExpr("sum(length(word) + 1) AS n").first()["n"]
+    assert lm.learned(words, table).map[:, 1].sum() == bits
+
+
+def test_kinds_are_estimated_from_all_training_texts(spark):
+    rows = [(i, f"w{i % 10} w{i % 10} common a{i % 3}", "en", "s", 1) for i in range(400)]
+    found = lm.kinds(frame(spark, rows), 1, 10)
+    assert set(found.number) == {b"common", *(b"w%d" % i for i in range(10)), *(b"a%d" % i for i in range(3))}
+    n = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(400))
+    # shares of n texts, each of which counts one in all, and one more for every kind
+    assert np.exp(found.share).sum() == pytest.approx((n + lm.KINDS) / (n + lm.KINDS)) and np.exp(found.share).min() >= 0.99 / (n + lm.KINDS)
+    assert found.tokens.shape == (len(found.number) + 1, lm.KINDS)
+
+
 # HTML
 
 
