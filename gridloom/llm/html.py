@@ -1,16 +1,16 @@
 """Main text of web pages: a tree of elements, templates counted per host, and blocks of what is left.
 
-First pass: every page's tree is walked once, each element subtree is hashed (tag, attributes without addresses, text), and
-(host, hash) pairs, once a page, are counted in Spark. Second pass: subtrees that recur on many pages of their host are
-deleted, together with elements that by kind or by name aren't content (navigation, footers, adverts, forms, scripts,
-comments by readers and the like). If a page marks its article (article, main or role=main), nothing inside the mark is
-taken for a template, since a repeated paragraph there is content; only elements outside it compete.
+First pass: every page's tree is walked once, each element subtree is hashed (tag, class and id, text), and the pages of a host on
+which a hash stands are counted in Spark. Pages with the same text count once, so copies of one page don't make its content a template,
+nor is what holds a page's whole text ever one. Second pass: subtrees that recur on at least ``least_pages`` pages of their host,
+however large, are deleted, together with elements that by kind or by name aren't content (navigation, footers, adverts, forms,
+scripts, comments by readers and the like). If a page marks its article (article, main or role=main), nothing inside the mark is
+taken for a template; only elements outside it compete.
 
-Templates are the few hashes that reach ``least_pages`` and ``least_share`` of their host's pages, so they're joined to pages by host
-as one list per host; what recurs is bounded by the size of a page divided by the share, whatever the host's size.
+Up to MOST_BROADCAST templates are broadcast; of more, each page gets those that stand on it by an exchange.
 
 Nulls: a null html is an empty page with an empty text; a null url is a host of its own. Ids are passed on. Repeated rows count as
-pages of their own and get equal results; an empty table gives an empty result; other columns are ignored. Markup that ends early
+one page and get equal results; an empty table gives an empty result; other columns are ignored. Markup that ends early
 or never closes is read as browsers do: a block closes open paragraphs, an end tag closes what it contains.
 """
 
@@ -47,6 +47,8 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
+MOST_BROADCAST = 300_000  # templates; more are joined to pages by an exchange
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 
@@ -152,31 +154,42 @@ def articles(e: Element) -> list[Element]:
 
 
 def subtree_hashes(root: Element) -> dict[int, int]:
-    """By id() of each element outside articles: the hash of its subtree. Leaves without text have none."""
+    """By id() of each element that may be a template: the hash of its subtree, without boilerplate.
+
+    Leaves without text can't be one, nor can what holds the whole text of its page or a marked article. Nothing inside marked articles is.
+    """
     marked = {id(x) for x in articles(root)}
-    out: dict[int, int] = {}
-    order, held = [], [root]
+    order: list[tuple[Element, Element | None, bool]] = []
+    held: list[tuple[Element, Element | None, bool]] = [(root, None, False)]
     while held:  # parents before children, so that children are hashed first in reverse
-        e = held.pop()
-        order.append(e)
-        if id(e) not in marked:
-            held += [c for c in e.children if not isinstance(c, str)]
+        e, top, prose = held.pop()
+        order.append((e, top, prose))
+        top = e if id(e) in marked else top
+        held += [(c, top, top is not None) for c in e.children if not isinstance(c, str) and not is_boilerplate(c)]
+    hashes: dict[int, int] = {}
+    sizes: dict[int, int] = {}
     inside: dict[int, str] = {}
-    for e in reversed(order):
-        if id(e) in marked:
-            continue
+    holds = set(marked)
+    for e, _, _ in reversed(order):
         parts = [" ".join(c.split()) if isinstance(c, str) else inside.pop(id(c), "") for c in e.children]
         body = "\x1f".join(p for p in parts if p)
+        sizes[id(e)] = sum(len(p) if isinstance(c, str) else sizes.get(id(c), 0) for c, p in zip(e.children, parts, strict=True))
+        if any(id(c) in holds for c in e.children if not isinstance(c, str)):
+            holds.add(id(e))
         if body and e.tag != "#root":
             h = xxh3_64_intdigest(f"{e.tag}\x1e{e.names.get('class', '')}\x1e{e.names.get('id', '')}\x1e{body}".encode("utf-8", "surrogatepass"))
-            out[id(e)] = h - (1 << 64) if h >> 63 else h
+            hashes[id(e)] = h - (1 << 64) if h >> 63 else h
             inside[id(e)] = f"{h:016x}"
-    return out
+    free = lambda e, top, prose: top is None and sizes[id(e)] < sizes[id(root)]
+    return {id(e): hashes[id(e)] for e, top, prose in order if id(e) in hashes and id(e) not in holds and free(e, top, prose)}
 
 
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the page's content in order, joined by an empty line."""
-    root = parsed(html)
+    return text_of(parsed(html), templates)
+
+
+def text_of(root: Element, templates: frozenset[int] | set[int] = frozenset()) -> str:
     hashes = subtree_hashes(root) if templates else {}
     tops = articles(root) or [root]
     blocks, words = [], []
@@ -212,33 +225,47 @@ def host(url: str = "url") -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
-    """(host, hashes): the subtrees that stand on at least so many pages, and such a share of the pages, of their host."""
-    source = pages.select(host().alias("host"), "html")
+def templates(pages: DataFrame, least_pages: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(host, hash) of the subtrees that stand on at least so many pages of different texts of their host, and (host, hash, html_hash) of every subtree."""
+    source = pages.select(host().alias("host"), "html", F.xxhash64("html").alias("html_hash"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 4 << 20):
-            counts: dict[tuple, int] = {}
-            for name, html in zip(batch.column("host").to_pylist(), strings(batch.column("html")), strict=True):
-                for h in {0, *subtree_hashes(parsed(html)).values()}:  # 0 counts pages
-                    counts[name, h] = counts.get((name, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "n"])
+            found: set[tuple] = set()
+            for name, html, page in zip(batch.column("host").to_pylist(), strings(batch.column("html")), batch.column("html_hash").to_pylist(), strict=True):
+                root = parsed(html)
+                text = xxh3_64_intdigest(text_of(root).encode("utf-8", "surrogatepass"))  # copies have the same
+                found.update((name, h, text - (1 << 64) if text >> 63 else text, page) for h in subtree_hashes(root).values())
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "hash", "text", "html_hash"])
 
-    counted = source.mapInArrow(task, "host string, hash bigint, n bigint").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
-    counted = written(counted, "subtrees")
-    sizes = counted.where("hash = 0").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    recurring = counted.where("hash != 0").join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") >= least_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))
+    subtrees = written(source.mapInArrow(task, "host string, hash bigint, text bigint, html_hash bigint"), "subtrees")
+    counted = subtrees.select("host", "hash", "text").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    return written(counted.select("host", "hash"), "templates"), subtrees.select("host", "hash", "html_hash")
 
 
-def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 5) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
-    found = written(templates(pages, least_pages, least_share), "templates").select(F.col("host").alias("_host"), "hashes")
-    source = pages.select("page_id", "url", "html").join(found, host().eqNullSafe(F.col("_host")), "left").select("page_id", "url", "html", "hashes")
+    found, subtrees = templates(pages, least_pages)
+    source = pages.select("page_id", "url", "html", host().alias("_host"))
+    by_host: dict[str | None, set[int]] | None = None
+    if found.count() <= MOST_BROADCAST:
+        by_host = {}
+        for r in found.collect():
+            by_host.setdefault(r["host"], set()).add(r["hash"])
+        source = source.withColumn("hashes", F.lit(None).cast("array<bigint>"))
+    else:  # of each page, those templates that stand on it
+        same = subtrees["host"].eqNullSafe(found["host"]) & (subtrees["hash"] == found["hash"])
+        own = subtrees.distinct().join(found, same, "left_semi").groupBy(F.col("host").alias("of"), "html_hash").agg(F.collect_list("hash").alias("hashes"))
+        source = source.join(own, F.col("_host").eqNullSafe(F.col("of")) & (F.xxhash64("html") == F.col("html_hash")), "left")
+    source = source.select("page_id", "url", "html", "_host", "hashes")
+    shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_host = shared.value
         for batch in chunks(batches, "html", 4 << 20):
-            texts = [main_text(html, frozenset(hashes or ())) for html, hashes in zip(strings(batch.column("html")), batch.column("hashes").to_pylist(), strict=True)]
+            known = [by_host.get(x, ()) for x in batch.column("_host").to_pylist()] if by_host is not None else [frozenset(x or ()) for x in batch.column("hashes").to_pylist()]
+            texts = [main_text(html, hashes) for html, hashes in zip(strings(batch.column("html")), known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return source.mapInArrow(task, "page_id bigint, url string, text string, n_chars bigint")

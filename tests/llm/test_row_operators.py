@@ -322,3 +322,17 @@ def test_repeated_paragraphs_of_articles_stay(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert all(r["text"] == f"Same paragraph\n\nown {r['page_id']}" for r in got)
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+PAGES = "page_id bigint, url string, html string"
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_copies_of_a_page_keep_their_text_and_sections_lose_their_notice(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "MOST_BROADCAST", most)
+    copy = "<html><body><div class=x><p>The whole story</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", copy) for i in range(8)] + [(10 + i, None, copy) for i in range(8)]
+    rows += [(100 + i, f"http://hot.example/{i}", ("<div class=y>Section line</div>" if i < 6 else "") + f"<section><p>Story {i} in many words</p></section>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert {got[r[0]] for r in rows[:16]} == {"The whole story"}
+    assert all(got[100 + i] == f"Story {i} in many words" for i in range(60))
