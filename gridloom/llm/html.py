@@ -4,8 +4,8 @@ First pass: every page's tree is walked once, each element subtree is hashed (ta
 which a hash stands are counted in Spark. Pages with the same text count once, so copies of one page don't make its content a template,
 nor is what holds a page's whole text ever one. Second pass: subtrees that recur on at least ``least_pages`` pages of their host,
 however large, are deleted, together with elements that by kind or by name aren't content (navigation, footers, adverts, forms,
-scripts, comments by readers and the like). If a page marks its article (article, main or role=main), nothing inside the mark is
-taken for a template; only elements outside it compete.
+scripts, comments by readers and the like). Inside a marked article (article, main or role=main) paragraphs and the like
+(PROSE) stay however often they recur; lists, tables and boxes there go if they recur and hold at most half of the article's text.
 
 Up to MOST_BROADCAST templates are broadcast; of more, each page gets those that stand on it by an exchange.
 
@@ -39,6 +39,8 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
 SCOPES = frozenset("table td th caption button object html body article section div main aside nav header footer form ul ol dl li".split())
+#: Inside marked articles, these and what they hold are content; of lists and tables only the whole is judged.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd thead tbody tfoot tr td th caption figcaption address summary".split())
 #: Elements that are never content, and names (in class, id, role) of those that aren't.
 DROPPED = frozenset("head script style noscript template iframe nav header footer aside form menu button select input textarea dialog svg canvas object embed audio video search title noembed noframes".split())
 NAMES = re.compile(
@@ -156,7 +158,8 @@ def articles(e: Element) -> list[Element]:
 def subtree_hashes(root: Element) -> dict[int, int]:
     """By id() of each element that may be a template: the hash of its subtree, without boilerplate.
 
-    Leaves without text can't be one, nor can what holds the whole text of its page or a marked article. Nothing inside marked articles is.
+    Leaves without text can't be one, nor can what holds the whole text of its page or a marked article. Inside
+    marked articles only block elements that hold at most half of the text are, unless they are prose or part of it.
     """
     marked = {id(x) for x in articles(root)}
     order: list[tuple[Element, Element | None, bool]] = []
@@ -165,7 +168,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
         e, top, prose = held.pop()
         order.append((e, top, prose))
         top = e if id(e) in marked else top
-        held += [(c, top, top is not None) for c in e.children if not isinstance(c, str) and not is_boilerplate(c)]
+        held += [(c, top, top is not None and (prose or c.tag in PROSE)) for c in e.children if not isinstance(c, str) and not is_boilerplate(c)]
     hashes: dict[int, int] = {}
     sizes: dict[int, int] = {}
     inside: dict[int, str] = {}
@@ -180,7 +183,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
             h = xxh3_64_intdigest(f"{e.tag}\x1e{e.names.get('class', '')}\x1e{e.names.get('id', '')}\x1e{body}".encode("utf-8", "surrogatepass"))
             hashes[id(e)] = h - (1 << 64) if h >> 63 else h
             inside[id(e)] = f"{h:016x}"
-    free = lambda e, top, prose: top is None and sizes[id(e)] < sizes[id(root)]
+    free = lambda e, top, prose: sizes[id(e)] < sizes[id(root)] if top is None else e.tag in BLOCKS and not prose and 2 * sizes[id(e)] <= sizes[id(top)]
     return {id(e): hashes[id(e)] for e, top, prose in order if id(e) in hashes and id(e) not in holds and free(e, top, prose)}
 
 

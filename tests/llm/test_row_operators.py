@@ -336,3 +336,13 @@ def test_copies_of_a_page_keep_their_text_and_sections_lose_their_notice(spark,
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
     assert {got[r[0]] for r in rows[:16]} == {"The whole story"}
     assert all(got[100 + i] == f"Story {i} in many words" for i in range(60))
+
+
+@pytest.mark.parametrize("mark", ["article", "main"])
+def test_recurring_boxes_inside_marked_articles_go(spark, mark):
+    box = "<div class=x17><p>Tell a friend</p><ul><li>by post</li></ul></div>"
+    rows = [(i, f"http://a.example/{i}", f"<{mark}><p>Same paragraph</p>{box}<div class=body><p>own story {i} of some length</p></div></{mark}>") for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<{mark}>{box}<p>own {i}</p></{mark}>") for i in range(4)]  # too few
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Same paragraph\n\nown story {i} of some length" for i in range(20))
+    assert all(got[100 + i] == f"Tell a friend\n\nby post\n\nown {i}" for i in range(4))
