@@ -1,0 +1,264 @@
+"""Context mixing over whole texts: bit predictors whose contexts cross words, adapting while a text is coded.
+
+A text is coded as its words in lower case, a space after each, and one end. Every bit is predicted by counters, in hashed tables, for
+the last 1, 2, 3, 4 and 6 bytes, for the word so far, for the word so far and the one before, and for those with the word before that.
+Counters hold all occurrences in training texts. Logits are combined by gated weights, and an adaptive map refines the result, as for
+spellings. Weights and map are learned online in one pass over all training texts, by partition, every bit without its own
+count; weights are averaged and maps summed. While a text is scored its weights go on learning, from where the corpus left them, after every
+SEGMENT bytes: from bits already coded alone, so that the probabilities of all texts sum to one at most, and a text's score depends on
+no other text of its batch. A text of over LONGEST bytes is coded in pieces, each of which starts without contexts.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from gridloom.llm.common import chunks, utf8
+
+ORDERS = (1, 2, 3, 4, 6)
+TABLE_BITS = (16, 19, 21, 21, 22, 21, 22, 21)  # of the five orders, then of one, two and three words
+STARTS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+N = len(TABLE_BITS)
+MAP_CELLS = 33
+GATES = ((N + 1) * 8, 10)  # contexts seen and the bit's place; how often two words were seen
+SEGMENT = 256  # bytes of a text between two adaptations
+BATCH_BYTES = 1 << 16
+LONGEST = 1 << 17  # bytes; a longer text is coded in pieces
+RATE = 0.25
+OWN_RATE = 0.5
+BLOCK = 1 << 17  # counters in a row of an exchange
+#: Counts as one byte: exact up to 63, then in steps of about 14 per cent.
+LEVELS = np.concatenate([np.arange(64), 63 * (1e13 / 63) ** (np.arange(1, 193) / 192)]).astype(np.float32)
+#: By the codes of both counts of a slot, zeros in the lower byte: the logit, and the binary logarithm of their sum, rounded up.
+LOGITS = (np.log((LEVELS[:, None] + np.float32(0.02)) / (LEVELS + np.float32(0.02))) * (LEVELS[:, None] + LEVELS > 0)).astype(np.float32).ravel()
+SEEN = np.ceil(np.minimum(np.log2(LEVELS[:, None] + LEVELS + 1), 9)).astype(np.int8).ravel()
+#: The same without the bit's own count, zero first.
+_FEWER = np.maximum(LEVELS - 1, 0)
+LESS = np.concatenate([(np.log((a + np.float32(0.02)) / (b + np.float32(0.02))) * (a + b > 0)).astype(np.float32).ravel() for a, b in ((LEVELS[:, None], _FEWER), (_FEWER[:, None], LEVELS))])
+SEEN_LESS = np.concatenate([np.ceil(np.minimum(np.log2(a + b + 1), 9)).astype(np.int8).ravel() for a, b in ((LEVELS[:, None], _FEWER), (_FEWER[:, None], LEVELS))])
+ODD = 0x2545F4914F6CDD1D
+INVERSE = pow(ODD, -1, 1 << 64)
+
+
+def coded(text: bytes) -> bytes:
+    words = text.lower().split()
+    words.append(b"\n")
+    return b" ".join(words)
+
+
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """What is coded of each text, in pieces of at most LONGEST bytes, and the text of each piece."""
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        t = coded(t)
+        for start in range(0, len(t), LONGEST):
+            out.append(t[start : start + LONGEST])
+            owner.append(i)
+    return out, np.array(owner, np.int64)
+
+
+def batches_of(texts: list[bytes]) -> Iterator[list[int]]:
+    """Places of texts, short ones first, in batches of bounded size; a longer text is a batch of its own."""
+    batch, size = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        if batch and size + len(texts[i]) > BATCH_BYTES:
+            yield batch
+            batch, size = [], 0
+        batch.append(i)
+        size += len(texts[i])
+    if batch:
+        yield batch
+
+
+@dataclass
+class Bits:
+    """The bits of texts laid end to end, eight for each byte: text and place in it of each byte, bits, slots by predictor, last byte."""
+
+    owner: np.ndarray
+    place: np.ndarray
+    bit: np.ndarray
+    slots: np.ndarray
+    last: np.ndarray
+
+
+def bits_of(texts: list[bytes]) -> Bits:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(data)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.arange(n)
+    # a run of bytes from s to i is hashed as the difference of two beginnings, moved to a common place
+    powers, back = np.full(n + 1, ODD, np.uint64), np.full(n + 1, INVERSE, np.uint64)
+    powers[0] = back[0] = 1
+    powers, back = np.cumprod(powers), np.cumprod(back)
+    begun = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=begun[1:])
+    # where the word of each byte starts, and the one and two words before it
+    opens = np.ones(n, bool)
+    opens[1:] = (data[:-1] == 32) | (at[1:] == first[1:])
+    number = np.cumsum(opens) - 1
+    word_at = np.flatnonzero(opens)
+    starts = [np.maximum(at - k, first) for k in ORDERS] + [np.maximum(word_at[np.maximum(number - k, 0)], first) for k in range(3)]
+    place = np.arange(8, dtype=np.uint8)
+    bit = (data[:, None] >> (7 - place)) & 1
+    partial = (np.uint64(1) << place.astype(np.uint64)) | (data.astype(np.uint64)[:, None] >> (np.uint64(8) - place.astype(np.uint64)))
+    partial *= np.uint64(0x9E3779B97F4A7C15)
+    slots = np.empty((N, n, 8), np.uint64)
+    for j, (s, own, b, start) in enumerate(zip(starts, slots, TABLE_BITS, STARTS, strict=False)):
+        c = (begun[at] - begun[s]) * back[s] + np.uint64(j + 1)
+        c *= np.uint64(0xD6E8FEB86659FD93)
+        c ^= c >> np.uint64(31)
+        np.add(c[:, None], partial, out=own)
+        own *= np.uint64(0x94D049BB133111EB)
+        own >>= np.uint64(64 - b)
+        own += np.uint64(start)
+    last = np.zeros(n, np.uint8)
+    last[1:] = np.where(at[1:] > first[1:], data[:-1], 0)
+    return Bits(owner, at - first, bit.ravel().astype(np.float32), slots.view(np.int64).reshape(N, -1), last)
+
+
+def mixed(inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip(np.einsum("ki,ki->i", inputs, np.ascontiguousarray(weights.T)), -11, 11)
+
+
+@dataclass
+class Mixer:
+    """Weights by gate, and the adaptive map's counts of bits and ones."""
+
+    first: np.ndarray
+    second: np.ndarray
+    map: np.ndarray  # (last byte, cell) x (ones, all)
+
+    @staticmethod
+    def fresh() -> Mixer:
+        return Mixer(np.full((GATES[0], N), 0.15, np.float32), np.full((GATES[1], N), 0.15, np.float32), np.zeros((256 * MAP_CELLS, 2)))
+
+    def gates(self, often: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return known.astype(np.int64) * 8 + np.tile(np.arange(8), n), often.astype(np.int64)
+
+    def refined(self, logit: np.ndarray, p: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = np.repeat(last.astype(np.int64) * MAP_CELLS, 8) + np.round((logit + 11) * ((MAP_CELLS - 1) / 22)).astype(np.int64)
+        counted = self.map[cell]
+        return np.clip((p + (counted[:, 0] + 8 * p) / (counted[:, 1] + 8)) / 2, 1e-5, 1 - 1e-5), cell
+
+    def learn(self, table: np.ndarray, texts: list[bytes]) -> None:
+        """Adapt to texts that the table counts: each bit's own count is left out."""
+        b = bits_of(texts)
+        codes = table.view("<u2")[b.slots] + (b.bit.astype(np.int32) << 16)
+        inputs, seen = LESS[codes], SEEN_LESS[codes]
+        gate1, gate2 = self.gates(seen[6], (seen > 0).sum(0), len(b.last))
+        logit = mixed(inputs, self.first.take(gate1, 0) + self.second.take(gate2, 0))
+        p = 1 / (1 + np.exp(-logit))
+        cell = self.refined(logit, p, b.last)[1]
+        missed = (b.bit - p) * inputs
+        for gate, weights in ((gate1, self.first), (gate2, self.second)):
+            n = np.bincount(gate, minlength=len(weights)) + 50
+            for k in range(N):
+                weights[:, k] += RATE / (1 + np.abs(inputs[k]).max()) * np.bincount(gate, missed[k], len(weights)) / n
+        self.map[:, 0] += np.bincount(cell, b.bit, len(self.map))
+        self.map[:, 1] += np.bincount(cell, minlength=len(self.map))
+
+    def scores(self, table: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text; each adapts weights of its own."""
+        b = bits_of(texts)
+        codes = table.view("<u2")[b.slots]
+        inputs = LOGITS[codes]
+        gate1, gate2 = self.gates(SEEN[codes[6]], (codes > 0).sum(0), len(b.last))
+        out, own, numbers = np.zeros(len(texts)), {}, np.arange(len(texts))
+        segment = b.place // SEGMENT
+        order = np.argsort(segment, kind="stable")
+        cuts = np.searchsorted(segment[order], np.arange(segment.max() + 2))
+        for k in range(len(cuts) - 1):
+            at = order[cuts[k] : cuts[k + 1]]
+            bits = (at[:, None] * 8 + np.arange(8)).ravel()
+            live, text = np.unique(b.owner[at], return_inverse=True)
+            text = np.repeat(text, 8)
+            if k == 0:
+                own = {0: np.tile(self.first, (len(live), 1, 1)), 1: np.tile(self.second, (len(live), 1, 1))}
+            elif len(live) < len(numbers):
+                own = {g: w[np.searchsorted(numbers, live)] for g, w in own.items()}
+            numbers = live
+            x, g = inputs[:, bits], (gate1[bits], gate2[bits])
+            flat = [text * n + i for n, i in zip(GATES, g, strict=True)]
+            logit = mixed(x, own[0].reshape(-1, N).take(flat[0], 0) + own[1].reshape(-1, N).take(flat[1], 0))
+            p = 1 / (1 + np.exp(-logit))
+            final, _ = self.refined(logit, p, b.last[at])
+            bit = b.bit[bits]
+            out[live] += np.bincount(text, np.log10(np.where(bit > 0, final, 1 - final)), len(live))
+            if k + 2 < len(cuts):
+                missed = (bit - p) * x
+                for i, w in own.items():
+                    width = len(live) * GATES[i]
+                    n = np.bincount(flat[i], minlength=width) + 50
+                    for j in range(N):
+                        w[:, :, j] += (OWN_RATE * np.bincount(flat[i], missed[j], width) / n).reshape(len(live), GATES[i])
+        return out
+
+
+def scored(mixer: Mixer, table: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """log10 of the probability of each text."""
+    own, owner = pieces_of(texts)
+    each = np.zeros(len(own))
+    for places in batches_of(own):
+        each[places] = mixer.scores(table, [own[i] for i in places])
+    return np.bincount(owner, each, len(texts))
+
+
+def counters(texts: DataFrame) -> np.ndarray:
+    """The predictors' counters as one byte each, over all occurrences in ``texts``; their size is fixed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * STARTS[-1], np.uint32)
+        for batch in chunks(batches, "text", 1 << 20):
+            own, _ = pieces_of(utf8(batch.column("text")))
+            for places in batches_of(own):
+                b = bits_of([own[i] for i in places])
+                bit = b.bit.astype(np.int64)
+                for slots in b.slots:
+                    np.add.at(table, slots * 2 + bit, np.uint32(1))
+        for i in range(0, len(table), BLOCK):
+            if table[i : i + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int64()), pa.array([zlib.compress(table[i : i + BLOCK].tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for x in rows["counts"]:
+            one = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+            total[: len(one)] += one
+        codes = np.searchsorted(LEVELS, total, "left").clip(0, 255).astype(np.uint8)
+        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int64()), "codes": pa.array([zlib.compress(codes.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(-(-2 * STARTS[-1] // BLOCK) * BLOCK, np.uint8)
+    for r in texts.select("text").mapInArrow(task, "block bigint, counts binary").groupBy("block").applyInArrow(added, "block bigint, codes binary").collect():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["codes"]), np.uint8)
+    return out
+
+
+def learned(texts: DataFrame, table) -> Mixer:
+    """Weights learned online from all texts by each partition, averaged by their bytes; the maps' counts are added."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, n = Mixer.fresh(), 0
+        for batch in chunks(batches, "text", 1 << 20):
+            own, _ = pieces_of(utf8(batch.column("text")))
+            for places in batches_of(own):
+                mixer.learn(table.value, [own[i] for i in places])
+            n += sum(map(len, own))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (mixer.first, mixer.second, mixer.map))], names=["n", "first", "second", "map"])
+
+    out, total = Mixer.fresh(), 0
+    sums = [np.zeros(x.shape) for x in (out.first, out.second, out.map)]
+    for r in texts.select("text").mapInArrow(task, "n bigint, first binary, second binary, map binary").collect():  # a row of fixed size for each partition
+        sums[0] += np.frombuffer(r["first"], np.float32).reshape(out.first.shape) * r["n"]
+        sums[1] += np.frombuffer(r["second"], np.float32).reshape(out.second.shape) * r["n"]
+        sums[2] += np.frombuffer(r["map"]).reshape(out.map.shape)
+        total += r["n"]
+    return Mixer((sums[0] / total).astype(np.float32), (sums[1] / total).astype(np.float32), sums[2]) if total else out

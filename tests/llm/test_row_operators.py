@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import audio, html, lm, packing, quality, secrets, toxicity
+from gridloom.llm import audio, html, lm, packing, quality, secrets, toxicity, whole
 from gridloom.llm.queries import tokenizer_path
 from tests.llm.cases import documents, frame, labels
 
@@ -290,6 +290,31 @@ def test_kinds_are_estimated_from_all_training_texts(spark):
     assert found.tokens.shape == (len(found.number) + 1, lm.KINDS)
 
 
+def test_the_order_of_words_counts(spark):
+    line = "one fine morning the quick brown fox jumped over that lazy old dog by the river bank"
+    rows = [(i, f"{line} {i}", "en", "s", 1) for i in range(60)] + [(1000, line, "en", "s", 1), (1001, " ".join(sorted(line.split())), "en", "s", 1)]
+    got = {r["doc_id"]: r for r in lm.scores(frame(spark, rows)).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"]) and got[1000]["score"] > got[1001]["score"] + 5
+
+
+def test_whole_texts_are_a_distribution(monkeypatch):
+    monkeypatch.setattr(whole, "SEGMENT", 4)  # several adaptations in a short text
+    texts = [whole.coded((r[1] or "").encode()) for r in ROWS]
+    table = np.zeros(2 * whole.STARTS[-1], np.uint32)
+    b = whole.bits_of(texts)
+    for slots in b.slots:
+        np.add.at(table, slots * 2 + b.bit.astype(np.int64), 1)
+    table = np.searchsorted(whole.LEVELS, table).clip(0, 255).astype(np.uint8)
+    mixer = whole.Mixer.fresh()
+    for places in whole.batches_of(texts):
+        mixer.learn(table, [texts[i] for i in places])
+    begun = mixer.scores(table, [b"alpha beta "])[0]
+    more = mixer.scores(table, [b"alpha beta " + bytes([c]) for c in range(256)])
+    assert (10 ** (more - begun)).sum() == pytest.approx(1, abs=1e-4)
+    alone = [mixer.scores(table, [t])[0] for t in texts]
+    assert mixer.scores(table, texts) == pytest.approx(alone, rel=1e-6)
+
+
 # HTML
 
 
