@@ -128,18 +128,24 @@ def sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, grams) of the wanted nodes, one row each: ascending upper 40 bits of their n-grams, 5 bytes each. wanted: (node, doc_id), an id with that set."""
     n = wanted.count()
     ids = wanted.select("doc_id", "node")
-    found = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "doc_id").select("text", "node")
+    unnamed = wanted.where("doc_id is null").select("node")  # only rows without an id have these sets
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
             nodes, out = [], []
             for node, s in zip(batch.column("node").to_pylist(), sets_of(utf8(batch.column("text")), k), strict=True):
-                if int.from_bytes(xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == node:  # an id may stand for several texts
-                    nodes.append(node)
+                own = int.from_bytes(xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
+                if node is None or own == node:  # an id may stand for several texts
+                    nodes.append(own)
                     out.append(s.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "grams"])
 
-    return found.mapInArrow(task, "node bigint, grams binary").dropDuplicates(["node"])
+    out = found.mapInArrow(task, "node bigint, grams binary")
+    if not unnamed.isEmpty():
+        others = docs.where("doc_id is null").select("text", F.lit(None).cast("bigint").alias("node"))
+        out = out.union(others.mapInArrow(task, "node bigint, grams binary").join(unnamed, "node", "left_semi"))
+    return out.dropDuplicates(["node"])
 
 
 def unpacked(data: bytes) -> np.ndarray:

@@ -150,6 +150,16 @@ def test_join_without_an_order_and_with_exchanged_texts(spark, monkeypatch):
     assert jaccard.join(frame(spark, [])).count() == 0
 
 
+def test_a_row_without_id_links_by_a_text_of_its_own(spark):
+    """Two texts that are alike only through a third, which rows without an id alone have."""
+    own = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(own), "en", "s", 1), (None, " ".join(own + [f"x{i}" for i in range(12)]), "en", "s", 1), (3, " ".join(own + [f"x{i}" for i in range(24)]), "en", "s", 1)]
+    rows += [(None, None, "en", "s", 1), (None, "", "en", "s", 1), (None, "quite another text that is like none of the others", "en", "s", 1)]
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, 4, 85)
+    assert [r["component_id"] for r in got if r["doc_id"] == 3] == [1]
+
+
 def test_components_of_chains_and_loops(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 200), (205, 201), (None, 3), (-7, 300)]
     got = dict(components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
