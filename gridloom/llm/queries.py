@@ -40,7 +40,7 @@ def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents")).result().drop("row", "source")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).result().drop("row", "source", "content")
 
 
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,15 +212,25 @@ def test_mixture_meets_its_targets(spark):
     assert "Python" not in mixture.result()._jdf.queryExecution().toString()
 
 
-def test_every_slot_holds_a_block_of_its_own_place(spark):
+def test_shards_draw_their_sources(spark):
     mixture = mixing.mix(frame(spark, mixing_rows(200)), block_words=16, shard_slots=8, bucket_rows=32)
     slots = mixture.slots.collect()
-    places = sorted(r["shard"] * 8 + r["slot"] for r in slots)
-    assert places == list(range(len(slots)))
-    shares = defaultdict(lambda: defaultdict(int))
+    by_source, shards = defaultdict(list), defaultdict(lambda: defaultdict(int))
     for r in slots:
-        shares[r["shard"]][r["source_no"]] += 1
-    assert len({tuple(sorted(x.items())) for x in shares.values()}) > 1  # shards differ, as draws do
+        by_source[r["source_no"]].append(r["k"])
+        shards[r["shard"]][r["source_no"]] += 1
+    for ks in by_source.values():  # every slot of a source once
+        assert sorted(ks) == list(range(len(ks)))
+    assert set(shards) == set(range(-(-len(slots) // 8)))
+    assert len({tuple(sorted(x.items())) for x in shards.values()}) > len(shards) / 2  # shards differ, as draws do
+
+
+def test_mixing_rows_without_ids_agrees_under_any_partitioning(spark):
+    """A third of the rows have no id, many of them one text; which of equal rows gets which share is free."""
+    rows = mixing_rows(300)
+    rows += [(None, rows[i % 7][1], "en", rows[i % 7][3], 1) for i in range(150)] + [(5, rows[9][1], "en", rows[9][3], 1)] * 40
+    got = [sorted(tuple(r) for r in mixing.mix(frame(spark, rows).repartition(n), block_words=16, bucket_rows=16).result().drop("row").fillna(-1).collect()) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
 
 
 def test_index_permutations(spark):
