@@ -11,6 +11,10 @@ Each stage works on all that its predecessor kept, and writes nothing of its own
 * ``packing`` cuts the documents' token ids into sequences of at most 1024, one row for each piece.
 
 All but the last return the columns of ``docs``, whatever these are besides doc_id, text, source and n_chars.
+
+Nulls: rows without an id are never dropped as near copies; rows without a text pass the first three stages, and have no words to mix. Of
+repeated rows one stays, unless they have no id. Ties (equal ids, equal hashes) are decided by hash. A very long text is one document in
+every stage, and is cut only into sequences. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,13 +53,16 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    result = mixing.mix(docs).result()
-    times = F.col("taken") / F.greatest("size", F.lit(1))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    copies = (F.floor(times) + (drawn < times - F.floor(times)).cast("int")).cast("int")
-    plan = written(result.select(F.col("doc_id").alias("_gl_id"), copies.alias("_gl_copies")).groupBy("_gl_id").agg(F.max("_gl_copies").alias("_gl_copies")).where("_gl_copies > 0"), "copies")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_gl_id")))
-    return joined.withColumn("_gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("_gl_copies")))).select(docs.columns)
+    """Rows of equal id and text share what the mixture takes of them."""
+    result = mixing.mix(docs).result().where("size > 0")
+    plan = result.groupBy("doc_id", "content").agg((F.sum("taken") / F.sum("size")).alias("_gl_times")).where("_gl_times > 0")
+    plan = written(plan.select(F.col("doc_id").alias("_gl_id"), F.col("content").alias("_gl_content"), "_gl_times"), "copies")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.xxhash64("text") == F.col("_gl_content")))
+    row = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # else rows without an id and of one text would all be drawn alike
+    drawn = F.pmod(F.xxhash64("doc_id", "_gl_content", row, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    whole = F.floor("_gl_times")
+    copies = (whole + (drawn < F.col("_gl_times") - whole).cast("int")).cast("int")
+    return joined.withColumn("_gl_copies", copies).withColumn("_gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("_gl_copies")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
