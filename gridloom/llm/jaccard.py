@@ -213,14 +213,28 @@ def picked(percent: int, buckets: int):
     return of_block
 
 
-def best(table: pa.Table) -> pa.Table:
-    """Of each node of a bucket, the two pairs of most shared n-grams."""
-    a, b, _, _, shared = added(table)
-    order = np.lexsort((b, -shared, a))
-    a, b = a[order], b[order]
-    starts = np.flatnonzero(np.diff(a, prepend=-1))
-    place = np.arange(len(a)) - np.repeat(starts, np.diff(starts, append=len(a)))
-    return pa.table({"a": np.maximum(a, b)[place < 2], "b": np.minimum(a, b)[place < 2]})
+def possible(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """Whether so many n-grams shared by two prefixes leave the overlap possible that the sizes ask for.
+
+    An n-gram that both sets have, but not both prefixes, lies behind the prefix that ends first, so there are at most as
+    many as n-grams behind the longer rest.
+    """
+    rest = np.maximum((n_a * percent + 99) // 100, (n_b * percent + 99) // 100) - 1
+    return shared + rest >= ((n_a + n_b) * percent + 99 + percent) // (100 + percent)
+
+
+def best(percent: int):
+    def of_bucket(table: pa.Table) -> pa.Table:
+        """Of each node of a bucket, the two pairs of most shared n-grams, if these are enough though only columns of the picked node count."""
+        rows = added(table)
+        a, b, n_a, n_b, shared = rows[:, possible(rows[2], rows[3], rows[4], percent)]
+        order = np.lexsort((b, -shared, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        place = np.arange(len(a)) - np.repeat(starts, np.diff(starts, append=len(a)))
+        return pa.table({"a": np.maximum(a, b)[place < 2], "b": np.minimum(a, b)[place < 2]})
+
+    return of_bucket
 
 
 def partners(n: np.ndarray, label: np.ndarray, column: np.ndarray, owner: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -269,16 +283,10 @@ def multiplied(percent: int, buckets: int):
     return of_block
 
 
-def possible(percent: int):
+def enough(percent: int):
     def of_bucket(table: pa.Table) -> pa.Table:
-        """The pairs whose count leaves the overlap possible that their sizes ask for.
-
-        An n-gram that both sets have, but not both prefixes, lies behind the prefix that ends first, so there are at most as
-        many as n-grams behind the longer rest.
-        """
         a, b, n_a, n_b, shared = added(table)
-        rest = np.maximum((n_a * percent + 99) // 100, (n_b * percent + 99) // 100) - 1
-        good = shared + rest >= ((n_a + n_b) * percent + 99 + percent) // (100 + percent)
+        good = possible(n_a, n_b, shared, percent)
         return pa.table({"a": np.maximum(a, b)[good], "b": np.minimum(a, b)[good]})
 
     return of_bucket
@@ -339,13 +347,13 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     # each node's two best pairs with picked nodes; most copies are linked by these
     deal = lambda of, count, choose: blocks_of(of, blocks).groupBy("block").applyInArrow(count, BLOCKS).groupBy("block").applyInArrow(choose, "a bigint, b bigint")
-    stars = written(deal(own.withColumn("label", F.col("node")), picked(percent, blocks), best).distinct(), "stars")
+    stars = written(deal(own.withColumn("label", F.col("node")), picked(percent, blocks), best(percent)).distinct(), "stars")
     links = written(verified(stars, sets_in(docs, stars, nodes, k), percent), "links")
     labels = components(links)
 
     # then nodes of different components are multiplied, and pairs that can't be similar enough discarded
     labelled = own.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
-    pairs = deal(labelled, multiplied(percent, blocks), possible(percent))
+    pairs = deal(labelled, multiplied(percent, blocks), enough(percent))
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = written(verified(pairs, sets_in(docs, pairs, nodes, k), percent), "links")
