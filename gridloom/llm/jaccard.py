@@ -7,12 +7,12 @@ with a similarity of at least ``percent`` must meet in their first n - ceil(perc
 The columns of the matrix are dealt into blocks by n-gram. A task packs its nodes' n-grams of a block into one row of bytes, so that
 what crosses the exchange is six bytes for each. Each block multiplies its columns and counts the n-grams that a pair of
 nodes has in common; counts are added over all blocks, and a pair is discarded if its sizes, or its count and the most
-n-grams that it may share beyond its prefixes, can't come to the overlap that its sizes ask for. For the pairs that are
-left the overlap of whole sets is counted, on 64 bits of each n-gram.
+n-grams that it may share beyond its prefixes, can't come to the overlap that its sizes ask for, or if its sketches differ too much. For
+the pairs that are left the overlap of whole sets is counted, on 64 bits of each n-gram.
 
 Large groups of near copies are never multiplied out. First each n-gram counts its nodes only against two picked ones; a node's best pairs
-of those, once verified, join most copies into components. Then only nodes of different components are multiplied. Pairs
-inside one component can't change any result, so no link between components is lost.
+of those, once verified, join most copies into components, and ROUNDS rounds of pairs picked by hash most that these missed. Then only nodes of
+different components are multiplied. Pairs inside one component can't change any result, so no link between components is lost.
 
 Sets are told apart by 128 bits of their content. Nulls: a null text has no n-grams and no links; a null id takes part in links, and
 a component's id is the smallest that isn't null. Rows with equal ids are linked only if their texts are. Repeated rows are one node. Ties
@@ -40,9 +40,12 @@ SAMPLE = 32  # one document of so many is counted for the order of n-grams
 MOST_COMMON = 200_000  # so many of the commonest n-grams are ordered by count, all others by hash
 MOST_BROADCAST = 1_000_000  # ids (16 MB) that may be sent to all executors; more are joined by an exchange of the texts
 BLOCK_ENTRIES = 400_000  # n-grams in a block of columns, about
+SKETCH = 1024  # bits
+ROUNDS = 2  # of picked pairs with sketches, before all pairs that are left
 CELLS = 4_000_000  # pairs that a block counts at a time
 
-ROWS = "row bigint, doc_id bigint, high bigint, low bigint, n bigint, prefix binary"
+ROWS = "row bigint, doc_id bigint, high bigint, low bigint, n bigint, prefix binary, bits binary"
+PAIRS = "a bigint, b bigint"
 BLOCKS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -87,7 +90,11 @@ def common(docs: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(row, doc_id, high, low, n, prefix) of every row: a number, its set's identity, size and first n-grams in the global order."""
+    """(row, doc_id, high, low, n, prefix, bits) of every row: a number, its set's identity, size, first n-grams in the global order and sketch.
+
+    A sketch has a bit for each class of hashes, the parity of how many n-grams fall into it. Where two sketches differ,
+    so do the sets: the number of differing bits is at most that of n-grams that only one set has.
+    """
     rows = common(docs, k).collect()  # bounded by MOST_COMMON
     rows.sort()
     grams, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -112,19 +119,22 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out = []
             for s in sets_of(utf8(batch.column("text")), k):
                 n = len(s)
-                out.append((*identity(s), n, prefix(s, n - least_overlap(n, percent) + 1 if n else 0).tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], names=["row", "doc_id", "high", "low", "n", "prefix"])
+                out.append((*identity(s), n, prefix(s, n - least_overlap(n, percent) + 1 if n else 0).tobytes(), np.packbits((np.bincount((s >> 20) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], names=["row", "doc_id", "high", "low", "n", "prefix", "bits"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(task, ROWS)
 
 
 def blocks_of(nodes: DataFrame, blocks: int) -> DataFrame:
-    """(block, payload): for each task and block of columns, its nodes' (node, n, label) and an ascending list of (n-gram, node)."""
+    """(block, payload): for each task and block of columns, its nodes' (node, n, label, sketch if there is one) and an ascending list of (n-gram, node)."""
+    sketched = "bits" in nodes.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "prefix", CHUNK_BYTES):
             about = np.stack([np.asarray(batch.column(c)) for c in ("node", "n", "label")])
+            if sketched:
+                about = np.vstack([about, np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<i8").reshape(len(batch), -1).T])
             each = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
             owner = np.repeat(np.arange(len(each)), list(map(len, each)))
             gram = mixed(np.concatenate(each)) if each else np.zeros(0, np.uint64)
@@ -137,27 +147,25 @@ def blocks_of(nodes: DataFrame, blocks: int) -> DataFrame:
                 own, grams = owner[edges[b] : edges[b + 1]], short[edges[b] : edges[b + 1]]
                 used, number = np.unique(own, return_inverse=True)
                 kind = "<u2" if len(used) <= 65536 else "<u4"
-                rows.append((int(b), np.array([len(used), len(grams)], "<i8").tobytes() + about[:, used].astype("<i8").tobytes() + grams.tobytes() + number.astype(kind).tobytes()))
+                rows.append((int(b), np.array([len(about), len(used), len(grams)], "<i8").tobytes() + about[:, used].astype("<i8").tobytes() + grams.tobytes() + number.astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "payload"])
 
-    return nodes.select("node", "n", "label", "prefix").mapInArrow(task, BLOCKS)
+    return nodes.select("node", "n", "label", "prefix", *["bits"] * sketched).mapInArrow(task, BLOCKS)
 
 
-def columns_of(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node, n, label) of a block's nodes, and its entries that share their n-gram with others: column number and node, by column."""
+def columns_of(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: (node, n, label, sketch if any) of its nodes; its entries that share their n-gram with others: column number and node, by column."""
     about, grams, owner, first = [], [], [], 0
     for data in payloads:
-        nodes, n = np.frombuffer(data, "<i8", 2).tolist()
-        about.append(np.frombuffer(data, "<i8", 3 * nodes, 16).reshape(3, nodes))
-        at = 16 + 24 * nodes
+        facts, nodes, n = np.frombuffer(data, "<i8", 3).tolist()
+        about.append(np.frombuffer(data, "<i8", facts * nodes, 24).reshape(facts, nodes))
+        at = 24 + 8 * facts * nodes
         grams.append(np.frombuffer(data, "<u4", n, at))
         owner.append(np.frombuffer(data, "<u2" if nodes <= 65536 else "<u4", n, at + 4 * n).astype(np.int64) + first)
         first += nodes
-    node, n, label = np.concatenate(about, 1)
-    gram, owner = np.concatenate(grams), np.concatenate(owner)
-    # a node that stands in several payloads is one
-    node, one, number = np.unique(node, return_index=True, return_inverse=True)
-    n, label, owner = n[one], label[one], number[owner]
+    about, gram, owner = np.concatenate(about, 1), np.concatenate(grams), np.concatenate(owner)
+    _, one, number = np.unique(about[0], return_index=True, return_inverse=True)  # a node may stand in several payloads
+    about, owner = about[:, one], number[owner]
     order = np.lexsort((owner, gram))
     gram, owner = gram[order], owner[order]
     new = np.ones(len(gram), bool)
@@ -165,18 +173,32 @@ def columns_of(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1
     column, owner = column[often], owner[often]
-    return node, n, label, np.unique(column, return_inverse=True)[1] if len(column) else column, owner
+    return about, np.unique(column, return_inverse=True)[1] if len(column) else column, owner
 
 
 def sized_alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(x, y) * 100 >= np.maximum(x, y) * percent
 
 
-def counted(pairs: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray, n: np.ndarray, buckets: int, by_first: bool) -> pa.Table:
-    """(bucket, payload): how often each pair (a, b) of a block's nodes stands in ``pairs``, packed (a, b, size of a, of b, count) by bucket of a or of the pair."""
+def counted(pairs: list[tuple[np.ndarray, np.ndarray]], about: np.ndarray, buckets: int, percent: int, by_first: bool, most: int | None = None, seed: int = 0) -> pa.Table:
+    """(bucket, payload): how often each pair (a, b) of the block's nodes stands in ``pairs``, packed (a, b, size of a, of b, count) by bucket of a or of the pair.
+
+    Pairs whose sketches differ in more bits than their sizes allow are left out; of the others, ``most`` for each a are picked by hash if that is given.
+    """
+    node, n = about[0], about[1]
     a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
     pair, shared = np.unique(a * len(node) + b, return_counts=True)
     a, b = pair // max(len(node), 1), pair % max(len(node), 1)
+    if len(about) > 3:
+        differing = sum((np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in about[3:].view(np.uint64)), np.zeros(len(a), np.int64))
+        both = n[a] + n[b]
+        alike = differing <= both - 2 * ((both * percent + 99 + percent) // (100 + percent))
+        a, b, shared = a[alike], b[alike], shared[alike]
+    if most:
+        order = np.lexsort((mixed((node[a] * 31 + node[b] + seed).view(np.uint64)), a))
+        a, b, shared = a[order], b[order], shared[order]
+        few = np.arange(len(a)) - np.repeat(x := np.flatnonzero(np.diff(a, prepend=-1)), np.diff(x, append=len(a))) < most
+        a, b, shared = a[few], b[few], shared[few]
     rows = np.stack([node[a], node[b], n[a], n[b], shared]).astype("<i8")
     bucket = (mixed(rows[0].view(np.uint64) if by_first else (rows[0] * 31 + rows[1]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -197,7 +219,8 @@ def added(table: pa.Table) -> np.ndarray:
 def picked(percent: int, buckets: int):
     def of_block(table: pa.Table) -> pa.Table:
         """Each column's nodes against those two of them that have the smallest and the largest hash; a is the other node, b the picked one."""
-        node, n, _, column, owner = columns_of(table["payload"].to_pylist())
+        about, column, owner = columns_of(table["payload"].to_pylist())
+        node, n = about[0], about[1]
         place = np.argsort(np.argsort(mixed(node.view(np.uint64)), kind="stable"), kind="stable")
         order = np.lexsort((place[owner], column))
         column, owner = column[order], owner[order]
@@ -208,7 +231,7 @@ def picked(percent: int, buckets: int):
             to = np.repeat(owner[edge], ends - starts + 1)
             good = (to != owner) & sized_alike(n[to], n[owner], percent)
             pairs.append((owner[good], to[good]))
-        return counted(pairs, node, n, buckets, True)
+        return counted(pairs, about, buckets, percent, True)
 
     return of_block
 
@@ -223,11 +246,11 @@ def possible(n_a: np.ndarray, n_b: np.ndarray, shared: np.ndarray, percent: int)
     return shared + rest >= ((n_a + n_b) * percent + 99 + percent) // (100 + percent)
 
 
-def best(percent: int):
+def best(percent: int, sure: bool = True):
     def of_bucket(table: pa.Table) -> pa.Table:
-        """Of each node of a bucket, the two pairs of most shared n-grams, if these are enough though only columns of the picked node count."""
+        """Of each node of a bucket, the two pairs of most shared n-grams, if these are enough (``sure``) though only columns of the picked node count."""
         rows = added(table)
-        a, b, n_a, n_b, shared = rows[:, possible(rows[2], rows[3], rows[4], percent)]
+        a, b, n_a, n_b, shared = rows[:, possible(rows[2], rows[3], rows[4], percent)] if sure else rows
         order = np.lexsort((b, -shared, a))
         a, b = a[order], b[order]
         starts = np.flatnonzero(np.diff(a, prepend=-1))
@@ -264,25 +287,42 @@ def partners(n: np.ndarray, label: np.ndarray, column: np.ndarray, owner: np.nda
             start = stop
 
 
-def multiplied(percent: int, buckets: int):
+def multiplied(percent: int, buckets: int, both_ways: bool, most: int | None = None, seed: int = 0):
     def of_block(table: pa.Table) -> pa.Table:
         """All pairs of each column's nodes that have different labels and sizes alike, with how many columns they share."""
-        node, n, label, column, owner = columns_of(table["payload"].to_pylist())
+        about, column, owner = columns_of(table["payload"].to_pylist())
+        _, n, label = about[:3]
         if len(column):  # columns of one label alone have no pair
             low, high = np.full(column[-1] + 1, 2**63 - 1), np.full(column[-1] + 1, -(2**63))
             np.minimum.at(low, column, label[owner])
             np.maximum.at(high, column, label[owner])
             several = (low < high)[column]
             column, owner = np.unique(column[several], return_inverse=True)[1], owner[several]
-        pairs = []
+        pairs, out, held = [], [], 0
         for x, y in partners(n, label, column, owner, percent) if len(column) else ():
             good = (label[x] != label[y]) & sized_alike(n[x], n[y], percent)
-            pairs.append((np.minimum(x, y)[good], np.maximum(x, y)[good]))
-        return counted(pairs, node, n, buckets, False)
+            x, y = x[good], y[good]
+            pairs.append((np.minimum(x, y), np.maximum(x, y)))
+            if both_ways:
+                pairs.append(pairs[-1][::-1])
+            held += len(x)
+            if held > CELLS:
+                out.append(counted(pairs, about, buckets, percent, both_ways, most, seed))
+                pairs, held = [], 0
+        return pa.concat_tables([*out, counted(pairs, about, buckets, percent, both_ways, most, seed)])
 
     return of_block
 
 
+def concerned(percent: int):
+    def of_bucket(table: pa.Table) -> pa.Table:
+        """The nodes of a bucket that have a pair whose count may do."""
+        rows = added(table)
+        return pa.table({"node": np.unique(rows[0][possible(rows[2], rows[3], rows[4], percent)])})
+
+    return of_bucket
+
+
 def enough(percent: int):
     def of_bucket(table: pa.Table) -> pa.Table:
         a, b, n_a, n_b, shared = added(table)
@@ -346,14 +386,28 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     own = rows.select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node")
 
     # each node's two best pairs with picked nodes; most copies are linked by these
-    deal = lambda of, count, choose: blocks_of(of, blocks).groupBy("block").applyInArrow(count, BLOCKS).groupBy("block").applyInArrow(choose, "a bigint, b bigint")
-    stars = written(deal(own.withColumn("label", F.col("node")), picked(percent, blocks), best(percent)).distinct(), "stars")
+    deal = lambda of, count, choose, schema: blocks_of(of, blocks).groupBy("block").applyInArrow(count, BLOCKS).groupBy("block").applyInArrow(choose, schema)
+    stars = written(deal(own.withColumn("label", F.col("node")), picked(percent, blocks), best(percent), PAIRS).distinct(), "stars")
     links = written(verified(stars, sets_in(docs, stars, nodes, k), percent), "links")
     labels = components(links)
 
-    # then nodes of different components are multiplied, and pairs that can't be similar enough discarded
+    # then nodes of different components are multiplied: first for the nodes that may have a pair,
     labelled = own.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
-    pairs = deal(labelled, multiplied(percent, blocks), enough(percent))
+    left = written(deal(labelled, multiplied(percent, blocks, True), concerned(percent), "node bigint"), "concerned")
+    left = written(rows.select(F.col("row").alias("node"), "n", "prefix", "bits").join(left, "node"), "sketched")
+    closer = lambda: left.join(labels, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("label", "node").alias("label"))
+    # for some of their pairs, picked by hash, so that a group of copies that missed the picked nodes grows together as well,
+    for seed in range(1, ROUNDS + 1):
+        more = deal(closer(), multiplied(percent, blocks, True, 2, seed), best(percent, False), PAIRS).distinct()
+        more = written(more.join(stars, ["a", "b"], "left_anti"), "stars")
+        found = written(verified(more, sets_in(docs, more, nodes, k), percent), "links")
+        stars = stars.union(more)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = components(links)
+    # and for all that are left
+    pairs = deal(closer(), multiplied(percent, blocks, False), enough(percent), PAIRS)
     pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = written(verified(pairs, sets_in(docs, pairs, nodes, k), percent), "links")
