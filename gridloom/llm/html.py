@@ -11,12 +11,14 @@ Up to MOST_BROADCAST templates are broadcast; of more, each page gets those that
 
 Nulls: a null html is an empty page with an empty text; a null url is a host of its own. Ids are passed on. Repeated rows count as
 one page and get equal results; an empty table gives an empty result; other columns are ignored. Markup that ends early
-or never closes is read as browsers do: a block closes open paragraphs, an end tag closes what it contains.
+or never closes is read as browsers do: a block closes open paragraphs, an end tag closes what it contains. A very long page is one
+batch; its tree is walked without recursion. Ties don't arise: a template either recurs often enough or doesn't.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -41,18 +43,22 @@ ENDS = {
 SCOPES = frozenset("table td th caption button object html body article section div main aside nav header footer form ul ol dl li".split())
 #: Inside marked articles, these and what they hold are content; of lists and tables only the whole is judged.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd thead tbody tfoot tr td th caption figcaption address summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never content, and names (in class, id, role) of those that aren't.
 DROPPED = frozenset("head script style noscript template iframe nav header footer aside form menu button select input textarea dialog svg canvas object embed audio video search title noembed noframes".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis(?:ement|ing)|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|respond|replies|pagination|pager|widget|toolbar|skip-link|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies pagination pager widget toolbar search".split()
 )
+#: What may stand beside such a name in a class or id (site-header, comment_list) without making it another thing, as in section-header or share-price.
+BESIDE = frozenset("site page main top bottom left right global primary secondary sub side skip link links list item items box bar block area container wrap wrapper inner button buttons form slot unit text post posts article articles entry user reader section content panel group row column col 1 2 3".split())
+#: With these a header is that of an article or of a part of it.
+OWN = frozenset("section article entry post content".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 MOST_BROADCAST = 300_000  # templates; more are joined to pages by an exchange
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)>?", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Element:
@@ -78,6 +84,12 @@ def parsed(html: str) -> Element:
     """The tree of a page; children are elements and texts with their references decoded."""
     root = Element("#root", {})
     stack, at, n = [root], 0, len(html)
+    is_open: Counter[str] = Counter()  # tags on the stack, so that it is only searched for what is there
+
+    def close(i: int) -> None:
+        is_open.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
@@ -88,32 +100,30 @@ def parsed(html: str) -> Element:
         at = m.end()
         tag = m[2]
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if is_open[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES and tag not in BLOCKS:  # a stray end of an inline element
                     break
             continue
-        if tag in BLOCKS:  # ends an open paragraph
+        if tag in BLOCKS and is_open["p"]:  # ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPES:
                     break
         if tag in ENDS:
             ended, scope = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(is_open[x] for x in ended) else ():
                 if stack[i].tag in scope:
                     break
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    close(i)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
         element = Element(tag, attributes(m[3]))
@@ -122,10 +132,9 @@ def parsed(html: str) -> Element:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*>?", re.IGNORECASE).search(html, at)
             element.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(element)
-        elif tag not in VOID and tag not in ("svg", "path", "use"):  # HTML ignores the slash
+        elif tag not in VOID and not (tag in ("svg", "path", "use") and m[3].rstrip().endswith("/")):  # elsewhere HTML ignores the slash
             stack.append(element)
+            is_open[tag] += 1
     return root
 
 
@@ -139,7 +148,12 @@ def is_boilerplate(e: Element) -> bool:
         return True
     if e.tag in ("article", "main", "body", "html", "h1"):
         return False
-    return any(NAMES.search(names[k]) for k in ("class", "id") if k in names)
+    for name in (x for k in ("class", "id") if k in names for x in names[k].split()):
+        parts = [x for x in re.split("[_-]+", name) if x]
+        known = {x for x in parts if x in NAMES}
+        if known and all(x in NAMES or x in BESIDE for x in parts) and not (known == {"header"} and not OWN.isdisjoint(parts)):
+            return True
+    return False
 
 
 def articles(e: Element) -> list[Element]:
@@ -187,6 +201,17 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return {id(e): hashes[id(e)] for e, top, prose in order if id(e) in hashes and id(e) not in holds and free(e, top, prose)}
 
 
+def descendants(e: Element) -> Iterator[Element]:
+    """In page order, without boilerplate and what headings hold."""
+    held = list(reversed(e.children))
+    while held:
+        x = held.pop()
+        if not isinstance(x, str) and not is_boilerplate(x):
+            yield x
+            if x.tag not in HEADINGS:
+                held += reversed(x.children)
+
+
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks of the page's content in order, joined by an empty line."""
     return text_of(parsed(html), templates)
@@ -194,7 +219,9 @@ def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) ->
 
 def text_of(root: Element, templates: frozenset[int] | set[int] = frozenset()) -> str:
     hashes = subtree_hashes(root) if templates else {}
-    tops = articles(root) or [root]
+    marked = articles(root)
+    tops = marked or [root]
+    top = {id(x) for x in tops}
     blocks, words = [], []
 
     def end_block() -> None:
@@ -210,10 +237,12 @@ def text_of(root: Element, templates: frozenset[int] | set[int] = frozenset()) -
             end_block()
         elif isinstance(x, str):
             words.append(x)
-        elif (x in tops and x.tag not in DROPPED) or (not is_boilerplate(x) and hashes.get(id(x)) not in templates):
+        elif x.tag == "header" and marked and id(x) not in top:  # an article's own: its headings
+            held += reversed([y for y in descendants(x) if y.tag in HEADINGS])
+        elif (id(x) in top and x.tag not in DROPPED) or (not is_boilerplate(x) and hashes.get(id(x)) not in templates):
             if x.tag == "br":
                 words.append(" ")
-            elif x.tag in BLOCKS or x in tops or x.tag == "#root":
+            elif x.tag in BLOCKS or id(x) in top or x.tag == "#root":
                 end_block()
                 held.append(None)
                 held += reversed(x.children)
