@@ -11,7 +11,7 @@ the samples read back from that file. Per payload:
   (``frames_per_block`` x ``n_mels``; the last block is padded with zeros) and the time span of each block and segment.
 
 Everything is a function of the payload alone and computed in one pass without an exchange; long payloads are framed
-in blocks, so that memory is bounded. Nulls: a null text is an empty one, a null doc_id is passed on. Repeated rows
+in blocks, and memory follows the longest payload (about 20 bytes for each of its samples, in one task); a very long text is a batch of its own. Nulls: a null text is an empty one, a null doc_id is passed on. Repeated rows
 give repeated results, an empty table an empty one; other columns are ignored.
 """
 
@@ -35,6 +35,7 @@ RATE, UP, DOWN = 8000, 1, 2
 FRAME, HOP, N_MELS, FRAMES_PER_BLOCK = 128, 64, 16, 32
 PAD_TO, PAD_BYTE, TAIL = 576, 255, 32
 
+SPANS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))  # seconds
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_bytes", T.LongType()),
@@ -46,6 +47,7 @@ SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()),
     T.StructField("n_frames", T.LongType()),
     T.StructField("n_segments", T.LongType()),
+    T.StructField("segments", T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))),
     T.StructField("media", T.BinaryType()),
     T.StructField("tensors", T.BinaryType()),
 ])
@@ -182,7 +184,7 @@ def features(docs: DataFrame, keep_media: bool = True) -> DataFrame:
                 mel, spans, step = analyse(media)
                 stored = tensors(mel, spans, step)
                 told = f"mels={N_MELS};frames={len(mel)};segments={len(spans)};mean={float(mel.mean()):.3f};tensors={zlib.crc32(stored):08x}"
-                rows.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), told, len(mel), len(spans), media if keep_media else None, stored if keep_media else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=SCHEMA.names)
+                rows.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), told, len(mel), len(spans), [{"start": a * step, "end": b * step} for a, b in spans], media if keep_media else None, stored if keep_media else None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), SPANS, pa.binary(), pa.binary()), strict=True)], names=SCHEMA.names)
 
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)

@@ -5,13 +5,13 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import audio, html, lm, packing, quality, secrets, toxicity, whole
+from gridloom.llm import audio, html, lm, packing, quality, secrets, toxicity
 from gridloom.llm.queries import tokenizer_path
 from tests.llm.cases import documents, frame, labels
 
@@ -297,22 +297,30 @@ def test_the_order_of_words_counts(spark):
     assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"]) and got[1000]["score"] > got[1001]["score"] + 5
 
 
-def test_whole_texts_are_a_distribution(monkeypatch):
-    monkeypatch.setattr(whole, "SEGMENT", 4)  # several adaptations in a short text
-    texts = [whole.coded((r[1] or "").encode()) for r in ROWS]
-    table = np.zeros(2 * whole.STARTS[-1], np.uint32)
-    b = whole.bits_of(texts)
-    for slots in b.slots:
-        np.add.at(table, slots * 2 + b.bit.astype(np.int64), 1)
-    table = np.searchsorted(whole.LEVELS, table).clip(0, 255).astype(np.uint8)
-    mixer = whole.Mixer.fresh()
-    for places in whole.batches_of(texts):
-        mixer.learn(table, [texts[i] for i in places])
-    begun = mixer.scores(table, [b"alpha beta "])[0]
-    more = mixer.scores(table, [b"alpha beta " + bytes([c]) for c in range(256)])
-    assert (10 ** (more - begun)).sum() == pytest.approx(1, abs=1e-4)
-    alone = [mixer.scores(table, [t])[0] for t in texts]
-    assert mixer.scores(table, texts) == pytest.approx(alone, rel=1e-6)
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+
+
+def test_texts_that_stand_twice_score_apart(spark):
+    """A text's share of the other training texts, by brute force, is the least that its score says."""
+    got = lm.scores(frame(spark, ROWS)).collect()
+    training = Counter(b" ".join(lowered(r[1])) for r in ROWS if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1)
+    n, doubled = sum(training.values()), sum(v for v in training.values() if v > 1)
+    weight = (doubled + 0.5) / (n + 1)
+    texts = defaultdict(list)
+    for r in ROWS:
+        texts[r[0]].append(b" ".join(lowered(r[1])))
+    seen = 0
+    for r in got:
+        if len(set(texts[r["doc_id"]])) == 1:
+            others = training[texts[r["doc_id"]][0]] - (not r["held_out"])
+            if others:
+                seen += 1
+                assert r["score"] >= math.log10(weight * others / (n - 1)) - 1e-9
+                assert r["n_tokens"] < 5 or r["score"] / r["n_tokens"] > -0.7
+            elif r["n_tokens"] > 20:
+                assert r["score"] / r["n_tokens"] < -0.7
+    assert seen >= 4
 
 
 # HTML
@@ -327,9 +335,30 @@ def test_main_text():
     assert html.main_text(PAGE) == "Head & shoulders\n\nOne two\n\nthree <four>\n\na\n\nb"
     assert html.main_text("") == "" and html.main_text("<p>x") == "x" and html.main_text("plain &amp text") == "plain & text"
     assert html.main_text("<div><p>a<table><tr><td>1<td>2</table>b</div><!-- c --><aside>no</aside>") == "a\n\n1\n\n2\n\nb"
+    assert html.main_text("<p title=it's>a</p><p>b</p>") == "a\n\nb" and html.main_text("<!--><p>x</p>") == "x" and html.main_text("<![CDATA[a]]>b") == "b"
+    assert html.main_text("<article><header><h1>Title</h1><div>by</div></header><p>x</p></article>") == "Title\n\nx"
+    assert html.main_text("<p class=share-price>1</p><p class='section-header'>2</p><p class='site-header'>3</p><p id=comment-list>4</p>") == "1\n\n2"
+    assert html.main_text("<b>" * 20000 + "<p></i>" * 20000 + "x") == "x"
     assert html.main_text("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == "deep\n\ner"
 
 
+def test_templates_counted_by_brute_force(spark):
+    """Pages without marks or names: what stands on five pages of different texts goes, whatever stands on fewer stays; repeated rows count once."""
+    rows = [(i, "http://a.example/x", f"<div><span>on all</span></div><div><b>box {i % 4}</b></div><p>text {i}</p>") for i in range(12)]
+    rows += [(None, "http://a.example/x", "<div><i>rare</i></div><p>one</p>")] * 9
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'clash' as host", "'clash' as hash", "'clash' as text")
+    got = Counter((r["page_id"], r["text"]) for r in html.extract(df.repartition(3)).collect())
+    pages = defaultdict(set)
+    for _, _, source in rows:
+        root = html.parsed(source)
+        for h in html.subtree_hashes(root).values():
+            pages[h].add(html.text_of(root))
+    recurring = {h for h, texts in pages.items() if len(texts) >= 5}
+    assert len(recurring) == 2  # the box and the text in it
+    assert got == Counter((r[0], html.main_text(r[2], recurring)) for r in rows)
+    assert got[(3, "box 3\n\ntext 3")] == 1 and got[(None, "rare\n\none")] == 9
+
+
 def test_templates_are_removed_per_host(spark):
     def page(i, body):
         return f"<body><div class=x><span>Our site since 1999</span> {'' if i else ''}</div><section><p>{body}</p></section></body>"
