@@ -332,6 +332,11 @@ def enough(percent: int):
     return of_bucket
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table of two or three numbers a row, sent to all executors if it has at most MOST_BROADCAST rows; beyond, an exchange joins it."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, grams) of the wanted nodes, one row each: their ascending n-grams. wanted: (node, doc_id, high, low), an id with that set."""
     n = wanted.count()
@@ -361,7 +366,7 @@ def sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Only a's sets and, once per b, b's cross an exchange."""
-    of_a = pairs.select("a", "b").join(grams.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), "a")
+    of_a = grams.select(F.col("node").alias("a"), F.col("grams").alias("of_a")).join(small(pairs.select("a", "b")), "a")
     both = of_a.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("of_b")), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +399,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # then nodes of different components are multiplied: first for the nodes that may have a pair,
     labelled = own.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
     left = written(deal(labelled, multiplied(percent, blocks, True), concerned(percent), "node bigint"), "concerned")
-    left = written(rows.select(F.col("row").alias("node"), "n", "prefix", "bits").join(left, "node"), "sketched")
+    left = written(rows.select(F.col("row").alias("node"), "n", "prefix", "bits").join(small(left), "node"), "sketched")
     closer = lambda: left.join(labels, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("label", "node").alias("label"))
     # for some of their pairs, picked by hash, so that a group of copies that missed the picked nodes grows together as well,
     for seed in range(1, ROUNDS + 1):
