@@ -108,10 +108,11 @@ def rows(cells: DataFrame, r0: int, c0: int, r1: int, c1: int) -> DataFrame:
     return dense(cells, r0, c0, r1, c1).groupBy("row").agg(F.transform(packed, lambda x: x["token"]).alias("tokens"))
 
 
-def columns(cells: DataFrame, r0: int, c0: int, r1: int, c1: int) -> DataFrame:
-    """(col, tokens): the window's columns as arrays."""
+def columns(cells: DataFrame, r0: int, c0: int, r1: int, c1: int, block_rows: int = 10_000) -> DataFrame:
+    """(col, block, tokens): the window's columns as arrays, in blocks of so many rows, so that no array grows with the sheet."""
     packed = F.sort_array(F.collect_list(F.struct("row", "token")))
-    return dense(cells, r0, c0, r1, c1).groupBy("col").agg(F.transform(packed, lambda x: x["token"]).alias("tokens"))
+    block = F.expr(f"(row - {r0}) div {block_rows}").alias("block")
+    return dense(cells, r0, c0, r1, c1).groupBy("col", block).agg(F.transform(packed, lambda x: x["token"]).alias("tokens"))
 
 
 def bounds(cells: DataFrame) -> DataFrame:

@@ -34,6 +34,24 @@ def size() -> Column:
     return (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
 
 
+def shifted(rows: int | Column = 0, columns: int | Column = 0) -> Column:
+    """The range moved; null if it would begin before the first row or column."""
+    r0, c0 = F.col("r0") + rows, F.col("c0") + columns
+    return F.when((r0 > 0) & (c0 > 0), F.struct(r0.alias("r0"), c0.alias("c0"), (F.col("r1") + rows).alias("r1"), (F.col("c1") + columns).alias("c1")))
+
+
+def grown(right: int = 0, down: int = 0, left: int = 0, up: int = 0) -> Column:
+    """The range with so many more cells at each side; negative numbers shrink it."""
+    return F.struct((F.col("r0") - up).alias("r0"), (F.col("c0") - left).alias("c0"), (F.col("r1") + down).alias("r1"), (F.col("c1") + right).alias("c1"))
+
+
+def edge(ranges: DataFrame, side: str) -> DataFrame:
+    """The cells (row, col) of the top, bottom, left or right line of each range."""
+    line = {"top": ("r0", "c0", "r0", "c1"), "bottom": ("r1", "c0", "r1", "c1"), "left": ("r0", "c0", "r1", "c0"), "right": ("r0", "c1", "r1", "c1")}[side]
+    lines = ranges.select(F.explode(F.sequence(line[0], line[2])).alias("row"), *[F.col(x).alias(f"_{i}") for i, x in enumerate((line[1], line[3]))])
+    return lines.select("row", F.explode(F.sequence("_0", "_1")).alias("col"))
+
+
 def expanded(ranges: DataFrame) -> DataFrame:
     """The distinct cells (row, col) of all ranges."""
     lines = ranges.select(F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1")

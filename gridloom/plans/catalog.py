@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import coords, dates, formula, tokens
+from gridloom.functions import coords, dates, formula, tokens, units
 from gridloom.operators import cells as C
 from gridloom.operators import cover, filters, pivot, ranges
 from gridloom.streaming import events as stream
@@ -81,9 +81,10 @@ def iter_rows_dense(spark, sf_dir):
     return C.rows(cells, 1, 1, C.bounds(cells).first()["r1"], 3).select("row", F.array_join("tokens", "~").alias("line"))
 
 
-@query(PARTS + "SELECT col, array_to_string(list(token ORDER BY row), '~') AS line FROM cells WHERE row BETWEEN 1 AND 50 GROUP BY col")
+@query(PARTS + "SELECT col, CAST((row - 1) // 1000 AS BIGINT) AS block, array_to_string(list(token ORDER BY row), '~') AS line FROM cells GROUP BY ALL")
 def iter_columns(spark, sf_dir):
-    return C.columns(part_cells(spark, sf_dir), 1, 1, 50, 6).select("col", F.array_join("tokens", "~").alias("line"))
+    cells = part_cells(spark, sf_dir)
+    return C.columns(cells, 1, 1, C.bounds(cells).first()["r1"], 6, 1000).select("col", "block", F.array_join("tokens", "~").alias("line"))
 
 
 @query("""WITH e AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS col, CAST(user_id AS VARCHAR) AS token FROM events)
@@ -109,9 +110,9 @@ def complement_filter(spark, sf_dir):
     return C.select_lines(order_cells(spark, sf_dir), rows=kept).select("row", "col", "token")
 
 
-@query(ORDERS + "SELECT row, col, token FROM cells WHERE col = 2 AND row <= 500")
+@query(ORDERS + "SELECT row, col, token FROM cells WHERE col = 2")
 def column_selection(spark, sf_dir):
-    return C.select_lines(order_cells(spark, sf_dir), rows="1:500", columns="B").select("row", "col", "token")
+    return C.select_lines(order_cells(spark, sf_dir), columns="B").select("row", "col", "token")
 
 
 @query(ORDERS + "SELECT row, col, token FROM cells WHERE (row BETWEEN 1 AND 20 AND col = 1) OR (row BETWEEN 10 AND 60 AND col = 2)")
@@ -562,3 +563,46 @@ def session_windows(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# units, colours, passwords
+
+
+@query("""SELECT p_partkey, CAST(trunc(p_retailprice * 9525) AS BIGINT) AS pixel_emu, CAST(trunc(p_size * 360000) AS BIGINT) AS emu, round_even(p_size * 1000 / 360000, 4) AS cm, CAST(p_size * 1440 AS BIGINT) AS dxa,
+p_size * 72 / 96 AS points, CAST(ceil(p_size * 96 / 72) AS BIGINT) AS pixels, CAST(p_size * 60000 AS BIGINT) AS angle, round_even(p_size * 1001 / 60000, 2) AS degrees FROM part""")
+def unit_conversions(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", units.to_emu(F.col("p_retailprice"), units.EMU_PIXEL).alias("pixel_emu"), units.to_emu(size, units.EMU_CM).alias("emu"), units.from_emu(size * 1000, units.EMU_CM).alias("cm"),
+        units.inch_to_dxa(size).alias("dxa"), units.pixels_to_points(size).alias("points"), units.points_to_pixels(size).alias("pixels"), units.degrees_to_angle(size).alias("angle"), units.angle_to_degrees(size * 1001).alias("degrees"),
+    )
+
+
+@query("SELECT p_partkey, right(printf('FF%06X', p_partkey * 7919 % 16777216), 6) AS short FROM part")
+def short_colours(spark, sf_dir):
+    colour = F.concat(F.lit("FF"), F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0"))
+    return table(spark, sf_dir, "part").select("p_partkey", units.short_colour(colour).alias("short"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, [CAST(ascii(p_name[i]) AS BIGINT) << i FOR i IN range(1, length(p_name) + 1)] AS v FROM part)
+SELECT p_partkey, CASE WHEN length(p_name) <= 40 THEN printf('%X', xor(xor(coalesce(list_reduce([(x & 32767) | (x >> 15) FOR x IN v], lambda a, b: xor(a, b)), 0), length(p_name)), 52811)) END AS hash FROM p""")
+def password_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", units.password_hash(F.col("p_name")).alias("hash"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, CAST(p_partkey AS INTEGER) AS r0, p_size AS c0, CAST(p_partkey + p_size AS INTEGER) AS r1, p_size + 3 AS c1 FROM part)
+SELECT k, CASE WHEN r0 - 9 > 0 AND c0 - 2 > 0 THEN concat_ws(',', r0 - 9, c0 - 2, r1 - 9, c1 - 2) END AS shifted, concat_ws(',', r0, c0 - 1, r1 + 2, c1 + 1) AS grown FROM r""")
+def range_shift(spark, sf_dir):
+    key = F.col("p_partkey")
+    r = table(spark, sf_dir, "part").select(key.alias("k"), key.cast("int").alias("r0"), F.col("p_size").alias("c0"), (key + F.col("p_size")).cast("int").alias("r1"), (F.col("p_size") + 3).alias("c1"))
+    told = lambda x: F.concat_ws(",", *[x[s].cast("string") for s in ranges.SIDES])
+    moved = ranges.shifted(-9, -2)
+    return r.select("k", F.when(moved.isNotNull(), told(moved)).alias("shifted"), told(ranges.grown(1, 2, 1, 0)).alias("grown"))
+
+
+@query("""WITH r AS (SELECT CAST(p_partkey AS INTEGER) AS r0, p_size AS c0, CAST(p_partkey + p_size AS INTEGER) AS r1, p_size + 3 AS c1 FROM part)
+SELECT 'bottom' AS side, r1 AS row, CAST(unnest(range(c0, c1 + 1)) AS INTEGER) AS col FROM r UNION ALL SELECT 'left', CAST(unnest(range(r0, r1 + 1)) AS INTEGER), c0 FROM r""")
+def range_edges(spark, sf_dir):
+    key = F.col("p_partkey")
+    r = table(spark, sf_dir, "part").select(key.cast("int").alias("r0"), F.col("p_size").alias("c0"), (key + F.col("p_size")).cast("int").alias("r1"), (F.col("p_size") + 3).alias("c1"))
+    return ranges.edge(r, "bottom").select(F.lit("bottom").alias("side"), "row", "col").union(ranges.edge(r, "left").select(F.lit("left"), "row", "col"))
