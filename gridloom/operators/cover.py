@@ -37,21 +37,57 @@ def rectangles(cells: DataFrame, key: str = "token", lock: Column | None = None)
     return joined.select("sheet", key, "r0", "c0", "r1", "c1")
 
 
-def strides(rects: DataFrame, key: str = "token") -> DataFrame:
-    """(sheet, key, c0, c1, r0, r1, step, n): rectangles of one row, in greedy progressions of three or more with a step over 1; others alone."""
-    single = rects.where("r0 = r1").groupBy("sheet", key, "c0", "c1").agg(F.sort_array(F.collect_list("r0")).alias("rows"))
-    spans = F.expr("""aggregate(rows, struct(cast(array() as array<struct<r0:int,r1:int,step:int,n:int>>) as done, cast(null as int) as first, cast(null as int) as last, 0 as step, 0 as n), (s, x) ->
-        case when s.n = 0 then struct(s.done as done, x as first, x as last, 0 as step, 1 as n)
-             when s.n = 1 then struct(s.done as done, s.first as first, x as last, x - s.first as step, 2 as n)
-             when x - s.last = s.step then struct(s.done as done, s.first as first, x as last, s.step as step, s.n + 1 as n)
-             when s.n >= 3 and s.step > 1 then struct(concat(s.done, array(struct(s.first as r0, s.last as r1, s.step as step, s.n as n))) as done, x as first, x as last, 0 as step, 1 as n)
-             else struct(concat(s.done, array(struct(s.first as r0, s.first as r1, 1 as step, 1 as n))) as done, s.last as first, x as last, x - s.last as step, 2 as n) end,
-        s -> case when s.n >= 3 and s.step > 1 then concat(s.done, array(struct(s.first as r0, s.last as r1, s.step as step, s.n as n)))
-             when s.n = 1 then concat(s.done, array(struct(s.first as r0, s.first as r1, 1 as step, 1 as n)))
-             when s.n = 2 then concat(s.done, array(struct(s.first as r0, s.first as r1, 1 as step, 1 as n), struct(s.last as r0, s.last as r1, 1 as step, 1 as n)))
-             else s.done end)""")
-    out = single.select("sheet", key, "c0", "c1", F.explode(spans).alias("s")).select("sheet", key, "c0", "c1", "s.r0", "s.r1", "s.step", "s.n")
-    tall = rects.where("r0 < r1").select("sheet", key, "c0", "c1", "r0", "r1", F.lit(1).alias("step"), (F.col("r1") - F.col("r0") + 1).alias("n"))
+def before(df: DataFrame, by: list[str], order: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, block: int = 65536) -> DataFrame:
+    """``df`` with what its rows before in the order of ``order`` gave: the last value that isn't null of each in ``last``, the sum of each in ``total``.
+
+    Windows run over blocks of ``order`` and then over one row a block, so that no task has all rows of a group. Groups may be null.
+    """
+    last, total = last or {}, total or {}
+    names = {f"_v{i}": v for i, v in enumerate([*last.values(), *total.values()])}
+    held = df.withColumns({"_k": F.struct(*by), "_b": F.floor(F.col(order) / block), **names})
+    held = written(held, "running")
+    inside = Window.partitionBy("_k", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    kept, summed = list(names)[: len(last)], list(names)[len(last) :]
+    ends = held.groupBy("_k", "_b").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in kept], *[F.sum(v).alias(v) for v in summed])
+    ends = ends.select("_k", "_b", *[F.last(v, ignorenulls=True).over(over).alias("e" + v) for v in kept], *[F.coalesce(F.sum(v).over(over), F.lit(0)).alias("e" + v) for v in summed])
+    own = {n: F.last(v, ignorenulls=True).over(inside) for n, v in zip(last, kept, strict=True)} | {n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in zip(total, summed, strict=True)}
+    out = held.withColumns(own).join(ends, ["_k", "_b"])
+    out = out.withColumns({n: F.coalesce(n, "e" + v) for n, v in zip(last, kept, strict=True)} | {n: F.col(n) + F.col("e" + v) for n, v in zip(total, summed, strict=True)})
+    return out.select(*df.columns, *last, *total)
+
+
+def strides(rects: DataFrame, key: str = "token", block: int = 65536) -> DataFrame:
+    """(sheet, key, c0, c1, r0, r1, step, n): rectangles of one row, in greedy progressions of three or more with a step over 1; others alone.
+
+    Rows with the same distance to the one before form a stretch of ``m`` such distances, and the greedy choice passes from stretch to
+    stretch only whether the first row is still free. A stretch of three or more always takes its last row, one of two does so if its
+    first row was free, all others leave it. So it follows from the last stretch not of two, and the number of those of two since.
+    """
+    by = ["sheet", key, "c0", "c1"]
+    rects = written(rects, "rects")
+    points = before(rects.where("r0 = r1").select(*by, F.col("r0").alias("x")), by, "x", {"prev": F.col("x")}, {"i": F.lit(1)}, block)
+    points = before(points.withColumn("d", F.col("x") - F.col("prev")), by, "x", {"d_before": F.col("d")}, None, block)
+    points = points.withColumn("start", F.when(~F.coalesce(F.col("d") == F.col("d_before"), F.lit(False)), F.col("x")))
+    points = before(points, by, "x", {"start_before": F.col("start")}, None, block)
+    stretch = F.coalesce("start", "start_before").alias("stretch")
+    found = points.groupBy(*by, stretch).agg(F.min(F.coalesce("prev", "x")).alias("a"), F.max("x").alias("z"), F.count("d").cast("int").alias("m"), F.max("d").alias("d"), F.max("i").alias("i")).drop("stretch")
+    two = (F.col("m") == 2) & (F.col("d") > 1)
+    taken = F.when(~F.coalesce(two, F.lit(False)), F.struct(F.coalesce((F.col("m") > 2) & (F.col("d") > 1), F.lit(False)).cast("int").alias("v"), F.col("i").alias("i")))
+    found = before(found, by, "z", {"told": taken}, None, block)
+    # 1 if the first row is taken: as the last stretch that settles it says, turned at each stretch of two distances since
+    used = F.coalesce((F.col("told.v") + (F.col("i") - F.col("m") - F.col("told.i")) / 2) % 2, F.lit(0)).cast("int")
+    found = found.withColumn("o", used).withColumn("long", F.coalesce((F.col("d") > 1) & (F.col("m") - F.col("o") >= 2), F.lit(False)))
+    ends = rects.where("r0 = r1").groupBy(F.struct(*by).alias("_k")).agg(F.max("r0").alias("end"))
+    found = found.withColumn("_k", F.struct(*by)).join(ends, "_k")
+    first, span = F.col("a") + F.coalesce(F.col("d") * F.col("o"), F.lit(0)), lambda r0, r1, step, n: F.struct(r0.cast("int").alias("r0"), r1.cast("int").alias("r1"), step.cast("int").alias("step"), n.cast("int").alias("n"))
+    one = F.lit(1)
+    alone = F.when(F.col("m") > F.col("o"), F.transform(F.sequence(first, F.col("z") - F.col("d"), F.col("d")), lambda x: span(x, x, one, one)))
+    tail = F.when(F.col("z") == F.col("end"), F.array(span(F.col("z"), F.col("z"), one, one)))
+    none = F.array().cast("array<struct<r0:int,r1:int,step:int,n:int>>")
+    spans = F.when(F.col("long"), F.array(span(first, F.col("z"), F.col("d"), F.col("m") - F.col("o") + 1))).otherwise(F.concat(F.coalesce(alone, none), F.coalesce(tail, none)))
+    out = found.select(*by, F.explode(spans).alias("s")).select(*by, "s.r0", "s.r1", "s.step", "s.n")
+    tall = rects.where("r0 < r1").select(*by, "r0", "r1", F.lit(1).alias("step"), (F.col("r1") - F.col("r0") + 1).alias("n"))
     return out.unionByName(tall)
 
 
@@ -125,8 +161,9 @@ def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int
     gap = F.when(F.col("gap") >= jump, 3).otherwise(F.ceil(F.coalesce("gap", F.lit(0)) / 4))
     cell = F.when(F.col("at") == 1, F.col("c") + 1 + gap).when(F.col("at") == 2, F.col("c") + 1).when(F.col("at") == 3, -2 * F.col("c")).otherwise(0)
     label = F.when(F.col("labelled"), cost(F.col("row").cast("string")) + 1).otherwise(0)
-    grid = marked.groupBy("sheet", "row").agg((F.sum(cell) + 1 + F.max(label)).alias("g")).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
-    spans = written(strides(rectangles(cells)).withColumn("text", span_text()), "spans").withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
+    grid = marked.groupBy("sheet", "row", "labelled").agg(F.sum(cell).alias("cells")).withColumn("g", F.col("cells") + 1 + label).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
+    spans = strides(rectangles(cells)).withColumn("text", span_text()).withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
+    spans = written(spans.drop("text"), "spans")
     index = spans.groupBy("sheet", "token").agg(F.sum(F.col("text_cost") + 1).alias("t"), F.first("c").alias("c")).groupBy("sheet").agg(F.sum(F.col("t") + F.col("c") + 1).cast("long").alias("index"))
     width = F.col("c1") - F.col("c0") + 1
     per_row = lambda c: F.when(width >= 3, c + 3).otherwise(width * (c + 1))

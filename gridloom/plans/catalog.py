@@ -183,7 +183,12 @@ def inverted_index(spark, sf_dir):
     return rects.groupBy("token").agg(F.array_join(F.transform(each, lambda s: s["text"]), ",").alias("spans"))
 
 
-@query(None)
+@query("WITH RECURSIVE cells AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, 1 AS col, event_type AS token FROM events)" + RUNS + """, p AS (SELECT *, row_number() OVER w AS i, lead(r0) OVER w - r0 AS d FROM rects WHERE r0 = r1 WINDOW w AS (PARTITION BY token, c0, c1 ORDER BY r0)),
+q AS (SELECT *, coalesce(d = lag(d) OVER (PARTITION BY token, c0, c1 ORDER BY i), false) AS same FROM p), g AS (SELECT *, count(*) FILTER (NOT same) OVER (PARTITION BY token, c0, c1 ORDER BY i) AS g FROM q),
+e AS (SELECT *, CASE WHEN d > 1 AND max(i) OVER x - i >= 1 THEN max(i) OVER x + 1 ELSE i END AS stop FROM g WINDOW x AS (PARTITION BY token, c0, c1, g)),
+walk AS (SELECT token, c0, c1, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT w.token, w.c0, w.c1, e.stop + 1 FROM walk w JOIN e USING (token, c0, c1, i) WHERE e.d IS NOT NULL)
+SELECT token, e.r0, z.r1, c0, c1, CASE WHEN e.stop > e.i THEN e.d ELSE 1 END AS step, CAST(z.i - e.i + 1 AS INTEGER) AS n FROM walk JOIN e USING (token, c0, c1, i) JOIN e AS z ON z.token = e.token AND z.c0 = e.c0 AND z.c1 = e.c1 AND z.i = e.stop
+UNION ALL SELECT token, r0, r1, c0, c1, 1, CAST(r1 - r0 + 1 AS INTEGER) FROM rects WHERE r0 < r1""")
 def stride_spans(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.lit("s").alias("sheet"), (F.col("event_id") + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.col("event_type").alias("token"))
     return cover.strides(cover.rectangles(e)).select("token", "r0", "r1", "c0", "c1", "step", "n")

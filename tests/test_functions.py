@@ -129,6 +129,26 @@ def test_strides(spark):
         assert got == sorted(model(rows))
 
 
+def test_strides_over_edges_of_blocks(spark):
+    rng, rects, want = random.Random(3), [], []
+    for k in range(60):
+        rows = [rng.randint(1, 5)]
+        for _ in range(rng.randint(0, 25)):
+            rows.append(rows[-1] + rng.choice([1, 2, 2, 3, 4] if k % 2 else [2, 2, 2, 3]))
+        rects += [("S", k or None, 1, 1, r, r) for r in rows]
+        i = 0
+        while i < len(rows):
+            j = i + 1
+            while j < len(rows) and rows[j] - rows[j - 1] == rows[i + 1] - rows[i] > 1:
+                j += 1
+            j = j if j - i >= 3 else i + 1
+            want.append((k, rows[i], rows[j - 1], rows[i + 1] - rows[i] if j - i >= 3 else 1, j - i))
+            i = j
+    df = spark.createDataFrame(rects, "sheet string, token int, c0 int, c1 int, r0 int, r1 int")
+    assert sorted((x["token"] or 0, *x[4:]) for x in cover.strides(df, block=7).collect()) == sorted(want)
+    assert not cover.strides(df.limit(0)).collect()
+
+
 def test_locked_cells_stay_alone(spark):
     df = spark.createDataFrame([("S", r, 1, "t", r in (3, 4)) for r in range(1, 7)], "sheet string, row int, col int, token string, l boolean")
     assert sorted((x["r0"], x["r1"]) for x in cover.rectangles(df, lock=F.col("l")).collect()) == [(1, 2), (3, 3), (4, 4), (5, 6)]
