@@ -164,6 +164,26 @@ def merged(cells: DataFrame, spec: str) -> DataFrame:
     return cells.where(~in_rects([(r0, c0, r1, c1)]) | ((F.col("row") == r0) & (F.col("col") == c0)))
 
 
+def unmerged(merges: DataFrame, cells: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
+    """Merged ranges without one of them, and the cells without what it covered but its upper left cell."""
+    r0, c0, r1, c1 = coords.bounds(spec)
+    is_it = (F.col("r0") == r0) & (F.col("c0") == c0) & (F.col("r1") == r1) & (F.col("c1") == c1)
+    if merges.where(is_it).isEmpty():
+        raise ValueError(f"{spec} isn't merged")
+    return merges.where(~is_it), merged(cells, spec)
+
+
+def printed(cells: DataFrame, area: str, rows: str | None = None, columns: str | None = None) -> DataFrame:
+    """Cells of a print area such as A1:C9,E1:F9, of its title rows (1:2) along its columns and title columns (A:B) along its rows."""
+    rects = [coords.bounds(x) for x in area.split(",")]
+    (top, left), (bottom, right) = ([f(r[i] for r in rects) for i in at] for f, at in ((min, (0, 1)), (max, (2, 3))))
+    if rows:
+        rects.append((coords.bounds(rows)[0], left, coords.bounds(rows)[2], right))
+    if columns:
+        rects.append((top, coords.bounds(columns)[1], bottom, coords.bounds(columns)[3]))
+    return cells.where(in_rects(rects))
+
+
 def appended(cells: DataFrame, more: DataFrame) -> DataFrame:
     """``more`` (cells with rows from 1) below the last row of its sheet."""
     last = cells.groupBy("sheet").agg(F.max("row").alias("_last"))

@@ -45,6 +45,34 @@ def grown(right: int = 0, down: int = 0, left: int = 0, up: int = 0) -> Column:
     return F.struct((F.col("r0") - up).alias("r0"), (F.col("c0") - left).alias("c0"), (F.col("r1") + down).alias("r1"), (F.col("c1") + right).alias("c1"))
 
 
+def covers(held: Column, r0: Column, c0: Column, r1: Column | None = None, c1: Column | None = None) -> Column:
+    """Whether one of an array of ranges has the whole range, or the cell, in it."""
+    r1, c1 = r0 if r1 is None else r1, c0 if c1 is None else c1
+    return F.exists(held, lambda r: (r["r0"] <= r0) & (r["c0"] <= c0) & (r["r1"] >= r1) & (r["c1"] >= c1))
+
+
+def added(held: Column, one: Column) -> Column:
+    """An array of ranges with one more, unless it has that already."""
+    return F.when(covers(held, *[one[s] for s in SIDES]), held).otherwise(F.array_append(held, one))
+
+
+def removed(held: Column, one: Column) -> Column:
+    """An array of ranges without one of them; null if it isn't one of them."""
+    return F.when(F.array_contains(held, one), F.array_remove(held, one))
+
+
+def ordered(held: Column) -> Column:
+    """Ranges by first column, first row, last column, last row."""
+    turned = F.transform(held, lambda r: F.struct(r["c0"], r["r0"], r["c1"], r["r1"], r.alias("r")))
+    return F.transform(F.sort_array(turned), lambda t: t["r"])
+
+
+def offset(rows: int = 0, columns: int = 0) -> Column:
+    """(row, col) so many places from a cell; null before the first row or column."""
+    row, col = F.col("row") + rows, F.col("col") + columns
+    return F.when((row > 0) & (col > 0), F.struct(row.alias("row"), col.alias("col")))
+
+
 def edge(ranges: DataFrame, side: str) -> DataFrame:
     """The cells (row, col) of the top, bottom, left or right line of each range."""
     line = {"top": ("r0", "c0", "r0", "c1"), "bottom": ("r1", "c0", "r1", "c1"), "left": ("r0", "c0", "r1", "c0"), "right": ("r0", "c1", "r1", "c1")}[side]

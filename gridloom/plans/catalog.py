@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import coords, dates, formula, tokens, units
+from gridloom.functions import coords, dates, formula, texts, tokens, units
 from gridloom.operators import cells as C
-from gridloom.operators import cover, filters, pivot, ranges
+from gridloom.operators import cover, dimensions, filters, pivot, ranges
 from gridloom.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,3 +612,167 @@ def range_edges(spark, sf_dir):
     key = F.col("p_partkey")
     r = table(spark, sf_dir, "part").select(key.cast("int").alias("r0"), F.col("p_size").alias("c0"), (key + F.col("p_size")).cast("int").alias("r1"), (F.col("p_size") + 3).alias("c1"))
     return ranges.edge(r, "bottom").select(F.lit("bottom").alias("side"), "row", "col").union(ranges.edge(r, "left").select(F.lit("left"), "row", "col"))
+
+
+# texts as typed, names, print settings
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_retailprice WHEN 1 THEN -p_size WHEN 3 THEN p_size * 100.0 WHEN 4 THEN p_size END AS number,
+CASE p_partkey % 7 WHEN 5 THEN (p_size + 0.5) / 100 WHEN 6 THEN p_size / 100 END AS percentage FROM part""")
+def text_numbers(spark, sf_dir):
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    forms = [F.col("p_retailprice").cast("string"), F.concat(F.lit("-"), size), F.concat(F.lit("0"), size), F.concat(size, F.lit("e2")), F.concat(size, F.lit(".")), F.concat(size, F.lit(".5%")), F.concat(size, F.lit(" %"))]
+    typed = F.coalesce(*[F.when(kind == i, form) for i, form in enumerate(forms)])
+    return table(spark, sf_dir, "part").select("p_partkey", texts.number(typed).alias("number"), texts.percentage(typed).alias("percentage"))
+
+
+@query("SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN ((hour(ts) * 60 + minute(ts)) * 60 + second(ts)) * 1000000 WHEN 1 THEN (hour(ts) * 60 + minute(ts)) * 60000000 ELSE -1 END AS BIGINT) AS clock, CAST(minute(ts) * 60000000 + microsecond(ts) AS BIGINT) AS fine FROM events")
+def text_times(spark, sf_dir):
+    ts, kind = F.col("ts"), F.col("event_id") % 3
+    clock = F.when(kind == 0, F.date_format(ts, "HH:mm:ss")).when(kind == 1, F.date_format(ts, "HH:mm")).otherwise(F.date_format(ts, "HH:mm:"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(texts.time_of_day(clock), F.lit(-1)).cast("long").alias("clock"), texts.time_of_day(F.date_format(ts, "mm:ss.SSSSSS")).alias("fine"))
+
+
+@query("""WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), w AS (SELECT DISTINCT p_type, 'brand#' || (p_partkey % 9) AS wanted FROM part)
+SELECT p_type, wanted, wanted || CASE WHEN bool_or(lower(p_brand) = wanted) THEN CAST(1 + max(coalesce(TRY_CAST(substr(p_brand, length(wanted) + 1) AS BIGINT), 0)) FILTER (starts_with(lower(p_brand), wanted)) AS VARCHAR) ELSE '' END AS name
+FROM w JOIN b USING (p_type) GROUP BY p_type, wanted""")
+def free_sheet_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy("p_type").agg(F.collect_set("p_brand").alias("names"))  # a few brands
+    wanted = part.select("p_type", F.concat(F.lit("brand#"), (F.col("p_partkey") % 9).cast("string")).alias("wanted")).distinct()
+    return wanted.join(names, "p_type").select("p_type", "wanted", texts.free_name(F.col("names"), F.col("wanted")).alias("name"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN replace(p_name, '''', '''''') END AS sheet, CASE WHEN p_partkey % 4 IN (1, 3) THEN p_size || ':' || (p_size + 3) END AS rows,
+CASE WHEN p_partkey % 4 IN (2, 3) THEN 'A' END AS first_col, CASE WHEN p_partkey % 4 IN (2, 3) THEN 'BC' END AS last_col, 'A' || p_size || ':C' || (p_size + 9) || ' E2 7:9' AS areas FROM part""")
+def print_settings(spark, sf_dir):
+    n, size = F.col("p_partkey") % 4, F.col("p_size")
+    sheet = F.concat(coords.quote_sheet(F.col("p_name")), F.lit("!"))
+    rows, cols = F.concat(sheet, F.format_string("$%d:$%d", size, size + 3)), F.concat(sheet, F.lit("$A:$BC"))
+    titles = F.when(n == 1, rows).when(n == 2, cols).when(n == 3, F.concat_ws(",", rows, cols)).otherwise(F.lit("no titles"))
+    area = F.concat(sheet, F.format_string("$A$%d:$C$%d,", size, size + 9), sheet, F.lit("$E$2,"), sheet, F.lit("$7:$9"))
+    return table(spark, sf_dir, "part").select("p_partkey", texts.print_titles(titles).alias("t"), F.array_join(texts.print_areas(area), " ").alias("areas")).select("p_partkey", "t.sheet", F.when(F.col("t.first_row").isNotNull(), F.concat_ws(":", F.col("t.first_row").cast("string"), F.col("t.last_row").cast("string"))).alias("rows"), "t.first_col", "t.last_col", "areas")
+
+
+@query("""SELECT p_partkey, p_name AS left_text, 'Arial,Bold' AS left_font, p_size AS left_size, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS center_text,
+CASE WHEN p_partkey % 2 = 0 THEN 'FF00A1' END AS center_color, p_type AS right_text FROM part""")
+def header_footers(spark, sf_dir):
+    center = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("&C&KFF00A1"), "p_brand")).otherwise("")
+    parts = texts.header_parts(F.concat(F.lit('&L&"Arial,Bold"&'), F.col("p_size").cast("string"), F.lit(" "), "p_name", center, F.lit("&R"), "p_type"))
+    left, middle, right = (texts.header_codes(parts[x]) for x in ("left", "center", "right"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", left["text"].alias("left_text"), left["font"].alias("left_font"), left["size"].alias("left_size"), middle["text"].alias("center_text"), middle["color"].alias("center_color"), right["text"].alias("right_text"),
+    )
+
+
+@query("""SELECT p_partkey, 'a' || p_size || ':3' AS sorted, CASE WHEN p_partkey % 70 BETWEEN 1 AND p_size THEN true ELSE p_partkey % 70 BETWEEN p_size + 2 AND p_size + 9 END AS held,
+CAST(CASE WHEN p_partkey % 70 BETWEEN 1 AND p_size OR p_partkey % 70 BETWEEN p_size + 2 AND p_size + 9 THEN 2 ELSE 3 END AS INTEGER) AS n_added, CAST(1 AS INTEGER) AS n_removed FROM part""")
+def range_sets(spark, sf_dir):
+    size, row = F.col("p_size"), (F.col("p_partkey") % 70).cast("int")
+    made = lambda *sides: F.struct(*[(s if not isinstance(s, int) else F.lit(s)).cast("int").alias(n) for s, n in zip(sides, ranges.SIDES, strict=True)])
+    low, high = made(size + 2, 2, size + 9, 8), made(1, 1, size, 5)
+    held, cell = F.array(low, high), made(row, 3, row, 3)
+    told = F.array_join(F.transform(ranges.ordered(held), lambda r: F.when(r["c0"] == 1, F.concat(F.lit("a"), r["r1"].cast("string"))).otherwise((r["c0"] + 1).cast("string"))), ":")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", told.alias("sorted"), ranges.covers(held, row, F.lit(3)).alias("held"), F.size(ranges.added(held, cell)).alias("n_added"), F.size(ranges.removed(held, low)).alias("n_removed")
+    )
+
+
+@query(ORDERS + "SELECT row, col, CASE WHEN row > 3 THEN concat_ws(',', row - 3, col + 2) END AS there FROM cells")
+def offset_cells(spark, sf_dir):
+    to = ranges.offset(-3, 2)
+    return order_cells(spark, sf_dir).select("row", "col", F.when(to.isNotNull(), F.concat_ws(",", to["row"].cast("string"), to["col"].cast("string"))).alias("there"))
+
+
+@query(PARTS + "SELECT row, col, token FROM cells WHERE row BETWEEN 5 AND 90 AND col BETWEEN 2 AND 3 OR row BETWEEN 40 AND 60 AND col = 5 OR row = 1 AND col BETWEEN 2 AND 5 OR row BETWEEN 5 AND 90 AND col = 1")
+def print_area_cells(spark, sf_dir):
+    return C.printed(part_cells(spark, sf_dir), "B5:C90,E40:E60", "1:1", "A:A").select("row", "col", "token")
+
+
+# settings of rows, dictionaries, styles
+
+
+@query("""WITH r AS (SELECT o_orderkey AS row, o_orderstatus = 'P' AS hidden FROM orders), i AS (SELECT *, row - row_number() OVER (PARTITION BY hidden ORDER BY row) AS i FROM r)
+SELECT hidden, min(row) AS first, max(row) AS last FROM i GROUP BY hidden, i""")
+def row_stretches(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.lit("s").alias("sheet"), F.col("o_orderkey").alias("row"), (F.col("o_orderstatus") == "P").alias("hidden"))
+    return dimensions.stretches(rows, ["hidden"]).select("hidden", "first", "last")
+
+
+@query("""SELECT p_type AS sheet, p_partkey AS row, 0 AS outline_level, p_size > 40 AS hidden FROM part WHERE p_partkey NOT BETWEEN 20 AND 60
+UNION ALL SELECT DISTINCT p_type, CAST(unnest(range(20, 61)) AS BIGINT), 2, true FROM part""")
+def outline_rows(spark, sf_dir):
+    dims = table(spark, sf_dir, "part").select(F.col("p_type").alias("sheet"), F.col("p_partkey").alias("row"), F.lit(0).alias("outline_level"), (F.col("p_size") > 40).alias("hidden"))
+    return dimensions.outlined(dims, 20, 60, 2, True)
+
+
+@query("SELECT p_size, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS place FROM (SELECT p_size, min(p_partkey) AS f FROM part GROUP BY p_size)")
+def value_dictionary(spark, sf_dir):
+    return dimensions.dictionary(table(spark, sf_dir, "part"), "p_size", "p_partkey")
+
+
+@query("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, s) AS canonical FROM (SELECT *, nullif(p_size, 1) AS s FROM part)")
+def canonical_styles(spark, sf_dir):
+    styles = table(spark, sf_dir, "part").withColumn("s", F.nullif(F.col("p_size"), F.lit(1)))
+    return dimensions.canonical(styles, "p_partkey", ["p_brand", "s"]).select("p_partkey", "canonical")
+
+
+@query("SELECT l_partkey AS style, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def style_usage(spark, sf_dir):
+    return dimensions.usage(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("style")), "style")
+
+
+@query(ORDERS + ", spans AS (SELECT unnest(range(p_partkey * 10, p_partkey * 10 + 9, 1 + p_size % 4)) AS row FROM part) SELECT row, col, token FROM cells WHERE row NOT IN (SELECT row FROM spans)")
+def outside_strides(spark, sf_dir):
+    key = (F.col("p_partkey") * 10).cast("int")
+    spans = table(spark, sf_dir, "part").select(F.lit("Sheet1").alias("sheet"), key.alias("r0"), (key + 8).alias("r1"), (1 + F.col("p_size") % 4).alias("step"))
+    return dimensions.outside_strides(order_cells(spark, sf_dir), spans).select("row", "col", "token")
+
+
+# further kinds of filters, formats, totals and pivots
+
+
+@query("SELECT p_partkey, contains(lower(p_type), 'a') AS has, NOT contains(lower(p_name), 're') AS lacks, starts_with(lower(p_name), 'red') AS begins, ends_with(lower(p_type), 's') AS ends FROM part")
+def cf_text_rules(spark, sf_dir):
+    rule = lambda name, kind, text: filters.text_rule(F.col(name), kind, text)
+    return table(spark, sf_dir, "part").select("p_partkey", rule("p_type", "containsText", "A").alias("has"), rule("p_name", "notContains", "RE").alias("lacks"), rule("p_name", "beginsWith", "Red").alias("begins"), rule("p_type", "endsWith", "S").alias("ends"))
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_retailprice) = 1 AS hit FROM part")
+def cf_unique(spark, sf_dir):
+    return filters.duplicated(table(spark, sf_dir, "part"), "p_retailprice", unique=True).select("p_partkey", "hit")
+
+
+_PERIODS = {
+    "M5": "month(o_orderdate) = 5", "today": "CAST(o_orderdate AS DATE) = DATE '1997-03-14'", "yesterday": "CAST(o_orderdate AS DATE) = DATE '1997-03-13'", "tomorrow": "CAST(o_orderdate AS DATE) = DATE '1997-03-15'",
+    "yearToDate": "year(o_orderdate) = 1997 AND CAST(o_orderdate AS DATE) <= DATE '1997-03-14'", "thisMonth": "strftime(o_orderdate, '%Y%m') = '199703'", "lastMonth": "strftime(o_orderdate, '%Y%m') = '199702'",
+    "nextMonth": "strftime(o_orderdate, '%Y%m') = '199704'", "thisQuarter": "year(o_orderdate) = 1997 AND quarter(o_orderdate) = 1", "lastQuarter": "year(o_orderdate) = 1996 AND quarter(o_orderdate) = 4",
+    "nextQuarter": "year(o_orderdate) = 1997 AND quarter(o_orderdate) = 2", "thisYear": "year(o_orderdate) = 1997", "lastYear": "year(o_orderdate) = 1996", "nextYear": "year(o_orderdate) = 1998",
+    "lastWeek": "CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-02' AND DATE '1997-03-08'", "nextWeek": "CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-16' AND DATE '1997-03-22'",
+    "belowAverage": "o_totalprice < (SELECT avg(o_totalprice) FROM orders)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, o_orderkey FROM orders WHERE {held}" for kind, held in _PERIODS.items()))
+def dynamic_periods(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    found = [filters.dynamic(orders, "o_totalprice" if kind == "belowAverage" else "o_orderdate", kind, "1997-03-14").select(F.lit(kind).alias("kind"), "o_orderkey") for kind in _PERIODS]
+    return reduce(DataFrame.union, found)
+
+
+@query("""SELECT l_returnflag, CAST(count(l_discount) AS BIGINT) AS nums, min(l_quantity) AS least, round(stddev_samp(l_tax), 8) AS dev, round(stddev_pop(l_tax), 8) AS dev_p, round(var_samp(l_tax), 8) AS var_s, round(var_pop(l_tax), 8) AS var_p,
+round(product(1 + l_discount / 1000000), 8) AS prod FROM lineitem GROUP BY 1""")
+def pivot_aggregates(spark, sf_dir):
+    named = {"nums": ("countNums", "l_discount"), "least": ("min", "l_quantity"), "dev": ("stdDev", "l_tax"), "dev_p": ("stdDevp", "l_tax"), "var_s": ("var", "l_tax"), "var_p": ("varp", "l_tax"), "prod": ("product", "near_one")}
+    lines = table(spark, sf_dir, "lineitem").withColumn("near_one", 1 + F.col("l_discount") / 1000000)
+    out = lines.groupBy("l_returnflag").agg(*[pivot.AGGREGATES[f](c).alias(name) for name, (f, c) in named.items()])
+    return out.select("l_returnflag", "nums", "least", *[F.round(x, 8).alias(x) for x in named if x not in ("nums", "least")])
+
+
+@query(_FLAGS + """, b AS (SELECT *, max(n) FILTER (flag = 'N') OVER (PARTITION BY status) AS of FROM g) SELECT flag, status, round(n / sum(n) OVER (PARTITION BY flag), 8) AS of_row, round(n / sum(n) OVER (PARTITION BY status), 8) AS of_col,
+round(n / of, 8) AS of_base, round((n - of) / of, 8) AS beyond_base FROM b""")
+def pivot_shown_as(spark, sf_dir):
+    out = flag_counts(spark, sf_dir)
+    for name, kind in (("of_row", "percentOfRow"), ("of_col", "percentOfCol"), ("of_base", "percent"), ("beyond_base", "percentDiff")):
+        out = pivot.shown_as(out, "n", kind, "flag", "status", "N").withColumnRenamed("shown", name)
+    return out.select("flag", "status", *[F.round(x, 8).alias(x) for x in ("of_row", "of_col", "of_base", "beyond_base")])
