@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import audio, html, jaccard, lm, mixing, packing, quality, secrets, substrings, toxicity
+from gridloom.llm import audio, audit, html, jaccard, lm, mixing, packing, quality, secrets, substrings, toxicity
 from gridloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False).drop("ids")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES: dict[str, Query] = {
     "op1_site_templates": op1_site_templates,
     "op2_context_mixing": op2_context_mixing,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_sparse_product_join": op8_sparse_product_join,
     "op9_audio_features": op9_audio_features,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: DuckDB's SQL for those queries that SQL can express.
@@ -87,4 +92,16 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS p FROM dup),
 kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS text FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) t ANTI JOIN gone USING (doc_id, p) GROUP BY t.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) AS C,
+  regexp_matches(text, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS E FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t)),
+g AS (SELECT f.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+h AS (SELECT part, x.letter, x.bit, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM (SELECT part, good, toxic, A::INT + 2 * B::INT + 4 * C::INT + 8 * D::INT + 16 * E::INT AS m FROM g) CROSS JOIN (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(letter, bit) GROUP BY ALL),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) a(l), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(l), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) c(l), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) d(l), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) e(l)
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS letter, CAST(CASE WHEN step > 1 THEN 1 << (ascii(filter_order[1]) - 65) ELSE 0 END + CASE WHEN step > 2 THEN 1 << (ascii(filter_order[2]) - 65) ELSE 0 END + CASE WHEN step > 3 THEN 1 << (ascii(filter_order[3]) - 65) ELSE 0 END + CASE WHEN step > 4 THEN 1 << (ascii(filter_order[4]) - 65) ELSE 0 END AS INTEGER) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (SELECT h.part, filter_order, step, s.letter, sum(n) FILTER (m & (coalesce(before, 0) | bit) = 0) AS kept, sum(n) FILTER (m & coalesce(before, 0) = 0 AND m & bit > 0) AS removed, sum(n) FILTER (m & coalesce(before, 0) > 0 AND m & bit > 0) AS redundant,
+  sum(n) FILTER (m = bit) AS unique_fails, sum(good) FILTER (m & coalesce(before, 0) = 0 AND m & bit > 0) AS good_lost, sum(toxic) FILTER (m & coalesce(before, 0) = 0 AND m & bit > 0) AS toxic_lost FROM s JOIN h ON h.letter = s.letter GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""",
 }
