@@ -37,6 +37,22 @@ def sheetify(df: DataFrame, order: list[str], columns: list[str] | None = None,
     return cells
 
 
+def plain_value(c: Column, kind: str) -> Column:
+    """The text of a value that a workbook's cell holds: texts as they are, dates and times in ISO form."""
+    return c if kind == "string" else tokens.datetime_token(c) if kind.startswith("timestamp") else F.date_format(c, "yyyy-MM-dd") if kind == "date" else tokens.token(c, kind)
+
+
+def value_cells(df: DataFrame, order: list[str], columns: list[str] | None = None, header: bool = False, sheet: str = "Sheet1") -> DataFrame:
+    """Like ``sheetify``, with plain values (sheet, row, col, kind, value) as ``workbook.save`` takes them."""
+    columns, kinds = columns or df.columns, dict(df.dtypes)
+    rows = numbered(df.select(*dict.fromkeys([*order, *columns])), order, "_row", 2 if header else 1)
+    packed = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(tokens.kind_of_type(kinds[c])).alias("kind"), plain_value(F.col(c), kinds[c]).alias("value")) for i, c in enumerate(columns, 1)])
+    cells = rows.select(F.col("_row").alias("row"), F.explode(packed).alias("c")).select(F.lit(sheet).alias("sheet"), "row", "c.col", "c.kind", "c.value").where("value is not null")
+    if header:
+        cells = df.sparkSession.createDataFrame([(sheet, 1, i, "text", c) for i, c in enumerate(columns, 1)], cells.schema).unionByName(cells)
+    return cells
+
+
 def in_rects(rects: list[tuple[int, int, int, int]]) -> Column:
     out = F.lit(False)
     for r0, c0, r1, c1 in rects:

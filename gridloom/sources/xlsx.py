@@ -2,9 +2,9 @@
 
 ``spark.read.format("gridloom_xlsx").option("relation", R).load(path)`` reads one relation of one or more workbooks (a path, or
 several with commas between): cells, sheets, merged, hyperlinks, comments, row_dims, col_dims, defined_names, validations,
-cond_formats, tables, properties or strings. Each sheet of each file is a partition of its own, since a zip member can't be split; sheets are
-parsed as a stream, so memory doesn't follow their size. ``df.write.format("gridloom_xlsx").option("path", P).save()`` writes cells
-(sheet, row, col, token) as a workbook: tasks write row fragments, the commit puts them together in row order.
+cond_formats, tables, properties or strings. Here each sheet of each file is a partition of its own; ``gridloom.sources.workbook`` splits sheets, reads
+from any store that Spark reads and writes whole workbooks. ``df.write.format("gridloom_xlsx").option("path", P).save()`` writes cells
+(sheet, row, col, token) of a small workbook on a local folder: tasks write row fragments, the commit puts them together in row order.
 
 Only members of the archive itself are read, by their names; documents with a DOCTYPE are refused.
 """
@@ -24,12 +24,14 @@ from pathlib import Path
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from gridloom.functions.coords import bounds, index, letters
+from gridloom.functions.coords import bounds, letters
+from gridloom.sources import scan
+from gridloom.sources.scan import MAIN, number, parse, text_of
 
-MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Number formats that workbooks use without defining them and that show dates or durations.
 BUILTIN_DATES = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
@@ -51,19 +53,13 @@ SCHEMAS = {
 }
 
 
-def parse(data: bytes) -> ET.Element:
-    if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data:
-        raise ValueError("documents with a DOCTYPE aren't read")
-    return ET.fromstring(data)
-
-
 class Package:
     """A workbook's archive: parts by name, and what its main part says of the sheets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, content: bytes | None = None):
         if path.lower().endswith((".xls", ".xlsb")):
             raise ValueError(f"{path}: only .xlsx, .xlsm, .xltx and .xltm are read")
-        self.path, self.zip = path, zipfile.ZipFile(path)
+        self.path, self.zip = path, zipfile.ZipFile(path if content is None else io.BytesIO(content))
         self.names = {n.lower(): n for n in self.zip.namelist()}
         types = self.part("[Content_Types].xml")
         kinds = {x.get("PartName", "").lstrip("/"): x.get("ContentType", "") for x in types if x.tag.endswith("Override")}
@@ -105,17 +101,35 @@ class Package:
 
     def strings(self) -> list[str]:
         for name in self.related(self.main, "sharedStrings"):
-            return [text_of(x) for x in self.part(name)]
+            return [s for _, data in scan.string_pieces(self.open(name)) for s in scan.strings_of(data)]
         return []
 
-    def date_styles(self) -> list[bool]:
-        """For each cell style whether its number format shows a date or a duration."""
+    def open(self, name: str):
+        return self.zip.open(self.names[name.lower()])
+
+    def pieces(self, part: str, size: int = 2 << 20) -> Iterator[scan.Piece]:
+        """Pieces of a sheet, whatever its XML is like."""
+        try:
+            yield from scan.pieces(self.open(part), size)
+        except scan.Odd:
+            yield from scan.rewritten_pieces(self.open(part), size)
+
+    def compressed(self, name: str) -> tuple[int, bytes]:
+        """(method, bytes) of a member as it stands in the archive."""
+        found = self.zip.getinfo(self.names[name.lower()])
+        self.zip.fp.seek(found.header_offset + 26)
+        skipped = sum(int.from_bytes(self.zip.fp.read(2), "little") for _ in range(2))
+        self.zip.fp.seek(skipped, 1)
+        return found.compress_type, self.zip.fp.read(found.compress_size)
+
+    def date_styles(self) -> frozenset[int]:
+        """The cell styles whose number format shows a date or a duration."""
         for name in self.related(self.main, "styles"):
             root = self.part(name)
             formats = {int(x.get("numFmtId", -1)): x.get("formatCode", "") for x in root.iter(f"{MAIN}numFmt")}
             ids = [int(x.get("numFmtId", 0)) for x in root.iterfind(f"{MAIN}cellXfs/{MAIN}xf")]
-            return [shows_date(formats[i]) if i in formats else i in BUILTIN_DATES for i in ids]
-        return []
+            return frozenset(k for k, i in enumerate(ids) if (shows_date(formats[i]) if i in formats else i in BUILTIN_DATES))
+        return frozenset()
 
 
 def shows_date(code: str) -> bool:
@@ -123,101 +137,24 @@ def shows_date(code: str) -> bool:
     return code.lower() != "general" and bool(re.search("[dmhys]", bare))
 
 
-def text_of(x: ET.Element) -> str:
-    """The text of a shared or inline string, its runs joined, without phonetic hints."""
-    out = []
-    for child in x:
-        if child.tag == f"{MAIN}t":
-            out.append(child.text or "")
-        elif child.tag == f"{MAIN}r":
-            out += [t.text or "" for t in child.iterfind(f"{MAIN}t")]
-    return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), "".join(out))
-
-
-def events(package: Package, part: str) -> Iterator[tuple[str, ET.Element]]:
-    """Ends of elements of a sheet; rows are dropped once they were seen."""
-    data = package.zip.open(package.names[part.lower()])
-    head = data.read(4096)
-    if b"<!DOCTYPE" in head:
-        raise ValueError("documents with a DOCTYPE aren't read")
-    stack: list[ET.Element] = []
-    for event, x in ET.iterparse(io.BufferedReader(_Joined(head, data)), ("start", "end")):
-        if event == "start":
-            stack.append(x)
-        else:
-            stack.pop()
-            yield x.tag.removeprefix(MAIN), x
-            if x.tag == f"{MAIN}row":
-                x.clear()
-                if stack:
-                    stack[-1].remove(x)
-
-
-class _Joined(io.RawIOBase):
-    def __init__(self, head: bytes, rest):
-        self.head, self.rest = head, rest
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, into) -> int:
-        data = self.head[: len(into)] or self.rest.read(len(into))
-        self.head = self.head[len(into) :]
-        into[: len(data)] = data
-        return len(data)
-
-
-def cells(package: Package, number: int) -> Iterator[tuple]:
-    """Rows of the relation cells. A missing coordinate is the next one; shared formulas are shifted from their master."""
-    from gridloom.functions.formula import translate
-
-    name, _, part, _ = package.sheets[number]
+def cells(package: Package, at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of the relation cells, a piece of the sheet at a time."""
+    name, _, part, _ = package.sheets[at]
     strings, dates = package.strings(), package.date_styles()
-    masters: dict[str, tuple[int, int, str]] = {}
-    row = seq = 0
-    for tag, x in events(package, part):
-        if tag != "row":
-            continue
-        row, col = int(x.get("r") or row + 1), 0
-        for c in x.iterfind(f"{MAIN}c"):
-            ref = c.get("r")
-            if ref and (m := re.fullmatch(r"([A-Z]{1,3})(\d+)", ref)):
-                col, at = index(m[1]), int(m[2])
-            else:
-                col, at = col + 1, row
-            kind, style, seq = c.get("t", "n"), int(c.get("s") or 0), seq + 1
-            v, f, inline = c.find(f"{MAIN}v"), c.find(f"{MAIN}f"), c.find(f"{MAIN}is")
-            value = v.text if v is not None else None
-            is_date = style < len(dates) and dates[style] and kind == "n"
-            if kind == "s":
-                value = strings[int(value)] if value is not None and int(value) < len(strings) else None
-            elif kind == "inlineStr":
-                value = text_of(inline) if inline is not None else None
-            elif kind == "b" and value is not None:
-                value = "TRUE" if int(value) else "FALSE"
-            formula = formula_kind = formula_ref = None
-            if f is not None:
-                formula_kind, formula_ref, si = f.get("t", "normal"), f.get("ref"), f.get("si")
-                formula = "=" + (f.text or "")
-                if formula_kind == "shared" and si is not None:
-                    if f.text and si not in masters:
-                        masters[si] = (at, col, formula)
-                    elif not f.text and si in masters:
-                        r, k, text = masters[si]
-                        formula = translate(text, at - r, col - k)
-            name_of_kind = {"n": "date" if is_date else "number", "d": "date", "b": "bool", "e": "error"}.get(kind, "text")
-            if value is None and formula is None and not style:
-                continue
-            yield package.path, name, number, at, col, seq, name_of_kind if value is not None or formula else None, value, formula, formula_kind, formula_ref, style, is_date
+    for piece in package.pieces(part):
+        columns = scan.cell_columns(piece, dates, strings)
+        n = len(columns[0])
+        same = [pa.array([package.path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([at] * n, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*same, *columns[:5], *columns[6:]], names=[c.split()[0] for c in SCHEMAS["cells"].split(", ")])
 
 
 def flag(x: ET.Element, name: str) -> bool:
     return x.get(name) in ("1", "true")
 
 
-def sheet_rows(package: Package, number: int, relation: str) -> Iterator[tuple]:
+def sheet_rows(package: Package, at: int, relation: str) -> Iterator[tuple]:
     """Rows of a sheet's other relations; the cells themselves are passed over."""
-    name, _, part, _ = package.sheets[number]
+    name, _, part, _ = package.sheets[at]
     where, links = (package.path, name), package.relations(part)
     if relation == "comments":
         for target in package.related(part, "comments"):
@@ -233,23 +170,29 @@ def sheet_rows(package: Package, number: int, relation: str) -> Iterator[tuple]:
             t = package.part(target)
             yield *where, t.get("displayName"), t.get("ref"), [c.get("name") for c in t.iter(f"{MAIN}tableColumn")], int(t.get("totalsRowCount") or 0) > 0
         return
-    ranges = ""
-    for tag, x in events(package, part):
+    rest = None
+    for piece in package.pieces(part):
+        if relation == "row_dims":
+            for row, given in scan.row_settings(piece):
+                if any(given.get(k) for k in ("ht", "hidden", "outlineLevel")):
+                    yield *where, row, float(given["ht"]) if given.get("ht") else None, given.get("hidden") in ("1", "true"), number(given.get("outlineLevel"))
+        rest = piece.rest or rest
+    if relation == "row_dims":
+        return
+    for x in parse(rest).iter():
+        tag = x.tag.removeprefix(MAIN)
         if relation == "merged" and tag == "mergeCell":
             yield *where, *bounds(x.get("ref"))
         elif relation == "hyperlinks" and tag == "hyperlink":
             yield *where, *bounds(x.get("ref")), links.get(x.get(f"{REL}id"), (None, None))[1], x.get("location"), x.get("tooltip")
-        elif relation == "row_dims" and tag == "row" and any(x.get(k) for k in ("ht", "hidden", "outlineLevel")):
-            yield *where, int(x.get("r") or 0), float(x.get("ht")) if x.get("ht") else None, flag(x, "hidden"), int(x.get("outlineLevel") or 0)
         elif relation == "col_dims" and tag == "col":
-            yield *where, int(x.get("min")), int(x.get("max")), float(x.get("width")) if x.get("width") else None, flag(x, "hidden"), int(x.get("outlineLevel") or 0)
+            yield *where, number(x.get("min")), number(x.get("max")), float(x.get("width")) if x.get("width") else None, flag(x, "hidden"), number(x.get("outlineLevel"))
         elif relation == "validations" and tag == "dataValidation":
             text = lambda n, x=x: (y.text if (y := x.find(f"{MAIN}{n}")) is not None else None)
             yield *where, x.get("sqref"), x.get("type", "none"), x.get("operator", "between"), text("formula1"), text("formula2"), flag(x, "allowBlank")
         elif relation == "cond_formats" and tag == "conditionalFormatting":
-            ranges = x.get("sqref")
             for rule in x.iterfind(f"{MAIN}cfRule"):
-                yield *where, ranges, rule.get("type"), rule.get("operator"), int(rule.get("priority") or 0), [f.text or "" for f in rule.iterfind(f"{MAIN}formula")], int(rule.get("dxfId")) if rule.get("dxfId") else None
+                yield *where, x.get("sqref"), rule.get("type"), rule.get("operator"), number(rule.get("priority")), [f.text or "" for f in rule.iterfind(f"{MAIN}formula")], number(rule.get("dxfId")) if rule.get("dxfId") else None
 
 
 def book_rows(package: Package, relation: str) -> Iterator[tuple]:
@@ -258,7 +201,7 @@ def book_rows(package: Package, relation: str) -> Iterator[tuple]:
         yield from ((package.path, i, s) for i, s in enumerate(package.strings()))
     elif relation == "sheets":
         for number, (name, state, part, _) in enumerate(package.sheets):
-            found = re.search(rb'<dimension[^>]*ref="([^"]*)"', package.zip.open(package.names[part.lower()]).read(8192))
+            found = re.search(rb'<(?:\w+:)?dimension[^>]*ref="([^"]*)"', package.open(part).read(8192))
             yield package.path, name, number, state, found[1].decode() if found else None, package.date1904
     elif relation == "defined_names":
         for x in package.book.iterfind(f"{MAIN}definedNames/{MAIN}definedName"):
@@ -371,7 +314,7 @@ def cell_xml(row: int, col: int, token: str | None) -> str:
     if token.startswith("#"):
         return f'<c r="{ref}" t="e"><v>{escape(token)}</v></c>'
     text = json.loads(token) if token.startswith('"') else token
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", lambda m: f"_x{ord(m[0]):04X}_", text)[:32_767]
+    text = re.sub(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)", lambda m: f"_x{ord(m[0]):04X}_", text[:32_767])
     return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from gridloom.plans import catalog
+from gridloom.plans import books, catalog
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +21,7 @@ def tables(spark, tmp_path_factory):
         "orders": ([(i, rng.randint(0, 89), rng.choice("OFP"), round(rng.uniform(900, 300000), 2), datetime.datetime(1995, 1, 1) + datetime.timedelta(days=rng.randint(0, 2000)), rng.choice(["1-URGENT", "2-HIGH", "5-LOW"])) for i in range(700)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
         "lineitem": ([(rng.randint(0, 699), rng.randint(1, 299), 1, rng.randint(1, 7), float(rng.randint(1, 50)), round(rng.uniform(900, 9000), 2), rng.randint(0, 10) / 100, rng.randint(0, 8) / 100, rng.choice("ANR"), rng.choice("FO"), datetime.datetime(2024, rng.randint(1, 6), 3)) for _ in range(900)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
         "events": ([(i, day(), rng.randint(0, 40), rng.choice(["view", "click", "error"]), round(rng.uniform(0, 100), 2), f'{{"k": {i % 9}}}') for i in range(800)], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"),
+        "supplier": ([(i, f"S<{i}>", rng.randint(0, 24), float(i)) for i in range(40)], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
         "documents": ([(i, rng.choice(["plain text", "=x", "a|b", "12", "line\nbreak \"q\"", "", "it's"]), "en", "s", 1) for i in range(60)], "doc_id bigint, text string, lang string, source string, n_chars bigint"),
     }
     duck = duckdb.connect()
@@ -38,13 +39,16 @@ def rows_of(frame, columns):
 NOT_HERE = {"text_token_quoting"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, SQL = catalog.QUERIES | books.QUERIES, catalog.SQL | books.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     where, duck = tables
-    got = catalog.QUERIES[name](spark, where).toPandas()
-    if name not in catalog.SQL or name in NOT_HERE:
+    got = QUERIES[name](spark, where).toPandas()
+    if name not in SQL or name in NOT_HERE:
         assert len(got)
         return
-    want = duck.sql(catalog.SQL[name]).df()
+    want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got, sorted(got.columns)) == rows_of(want, sorted(got.columns))
