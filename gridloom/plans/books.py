@@ -170,7 +170,7 @@ def workbook_rules(spark, sf_dir):
     return read(spark, saved(first_cell(spark), cond_formats=rules), "cond_formats").withColumn("formula", F.array_join("formulas", ";")).drop("formulas", "style")
 
 
-@query("SELECT 'S' AS sheet, 'T_' || r_regionkey AS name, 'A' || (10 * r_regionkey + 1) || ':C' || (10 * r_regionkey + 5) AS ref, ['key', r_name, 'a <&> \"b\"'] AS columns, r_regionkey % 2 = 1 AS totals_row FROM region")
+@query("SELECT 'S' AS sheet, 'T_' || r_regionkey AS name, 'A' || (10 * r_regionkey + 1) || ':C' || (10 * r_regionkey + 5) AS ref, 'key~' || r_name || '~a <&> \"b\"' AS columns, r_regionkey % 2 = 1 AS totals_row FROM region")
 def workbook_tables(spark, sf_dir):
     tables = table(spark, sf_dir, "region").selectExpr("'S' AS sheet", "'T_' || r_regionkey AS name", "'A' || (10 * r_regionkey + 1) || ':C' || (10 * r_regionkey + 5) AS ref", "array('key', r_name, 'a <&> \"b\"') AS columns", "r_regionkey % 2 = 1 AS totals_row")
     return read(spark, saved(first_cell(spark), tables=tables), "tables").withColumn("columns", F.array_join("columns", "~"))
