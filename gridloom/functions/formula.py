@@ -137,6 +137,28 @@ def canonical(formula: str, row: int, col: int) -> str:
     return "".join([*out, CELL.sub(offset, formula[at:])])
 
 
+def rendered(template: str, row: int, col: int) -> str | None:
+    """The formula of a canonical form at a cell; None if a reference leaves the sheet."""
+    lost = False
+
+    def reference(m: re.Match) -> str:
+        nonlocal lost
+        c, r = (int(m[2]) + (0 if m[1] == "C" else col)), (int(m[4]) + (0 if m[3] == "R" else row))
+        lost |= not (1 <= c <= LAST_COLUMN and 1 <= r <= MAX_ROW)
+        return "" if lost else f"{'$' if m[1] == 'C' else ''}{letters(c)}{'$' if m[3] == 'R' else ''}{r}"
+
+    out = re.sub("\x01([cC])(-?\\d+)([rR])(-?\\d+)\x02", reference, template)
+    return None if lost else out
+
+
+def template(formula: str, row: int, col: int) -> str | None:
+    """The canonical form, if it gives the formula back at its cell; None for a formula that must stand alone."""
+    if not formula.startswith("=") or "\x01" in formula or "\n" in formula or "\r" in formula:
+        return None
+    found = canonical(formula, row, col)
+    return found if rendered(found, row, col) == formula else None
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("value", "type", "subtype")])))
 def formula_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
@@ -152,8 +174,8 @@ def _shift(f):
     return shifted
 
 
-#: Columns: (formula, rows, cols) for the first two, (formula, row, col) for the third.
-formula_translate, formula_fill, formula_canonical = _shift(translate), _shift(fill), _shift(canonical)
+#: Columns: (formula, rows, cols) for the first two, (formula, row, col) for the others.
+formula_translate, formula_fill, formula_canonical, formula_template = _shift(translate), _shift(fill), _shift(canonical), _shift(template)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType()) for n in ("sideways", "downwards")]))

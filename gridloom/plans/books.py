@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
+from gridloom.operators import formulas
 from gridloom.plans.catalog import table
 from gridloom.sources import workbook
 from gridloom.sources.scratch import new_path
@@ -182,3 +183,49 @@ def workbook_properties(spark, sf_dir):
     of = table(spark, sf_dir, "region")
     told = of.selectExpr("'Region ' || r_regionkey AS name", "r_name || ' & co' AS value").union(of.selectExpr("'title' AS name", "count(*) || ' regions' AS value"))
     return read(spark, saved(first_cell(spark), properties=told), "properties")
+
+
+# formulas
+
+
+def order_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas of many shapes over all orders: filled down and to the side, anchored, periodic, of whole columns, one of a kind, with line breaks, arrays and data tables."""
+    rows = C.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    row = F.col("row").cast("string")
+    of = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    one = lambda col, text, kind="normal", ref=None: F.struct(F.lit(col).alias("col"), text.alias("formula"), F.lit(kind).alias("formula_kind"), (ref if ref is not None else F.lit(None).cast("string")).alias("formula_ref"))
+    periodic = F.when(F.col("row") % 4 == 0, of("=C", row, "/4")).when(F.col("row") % 4 == 1, of("=C", row, "&\"it's C1\"")).otherwise(of("=C", row, "+", F.col("o_orderkey").cast("string")))
+    odd = F.when(F.col("o_orderstatus") == "F", of("=1+\n", row)).when(F.col("o_orderstatus") == "O", of("no formula ", row)).otherwise(of("='S 1'!A", row, "+$B", row, "+C$1+$D$2"))
+    each = F.array(
+        one(1, of("=C", row, "*D", row)), one(2, of("=D", row, "*E", row)), one(6, periodic), one(7, of("=SUM(A:A)+C", row)), one(8, of("=SUM(B:B)+D", row)), one(9, of("=SUM(1:1)+1")), one(11, odd),
+        one(12, of("=SUM(A", row, ":B", row, "*2)"), "array", of("L", row, ":M", row)), one(14, of("ref=N", row, ":O", row, " dt2D=1 r1=A1 r2=B", row), "dataTable"),
+    )
+    return rows.select(F.lit("S").alias("sheet"), "row", F.explode(each).alias("c")).select("sheet", "row", "c.*")
+
+
+_FORMULAS = """WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row, o_orderkey AS k, o_orderstatus AS s FROM orders),
+f AS (SELECT row, 1 AS col, '=C' || row || '*D' || row AS formula, 'normal' AS formula_kind, NULL AS formula_ref FROM r UNION ALL SELECT row, 2, '=D' || row || '*E' || row, 'normal', NULL FROM r
+UNION ALL SELECT row, 6, CASE row % 4 WHEN 0 THEN '=C' || row || '/4' WHEN 1 THEN '=C' || row || '&"it''s C1"' ELSE '=C' || row || '+' || k END, 'normal', NULL FROM r
+UNION ALL SELECT row, 7, '=SUM(A:A)+C' || row, 'normal', NULL FROM r UNION ALL SELECT row, 8, '=SUM(B:B)+D' || row, 'normal', NULL FROM r UNION ALL SELECT row, 9, '=SUM(1:1)+1', 'normal', NULL FROM r
+UNION ALL SELECT row, 11, CASE s WHEN 'F' THEN '=1+' || chr(10) || row WHEN 'O' THEN 'no formula ' || row ELSE '=''S 1''!A' || row || '+$B' || row || '+C$1+$D$2' END, 'normal', NULL FROM r
+UNION ALL SELECT row, 12, '=SUM(A' || row || ':B' || row || '*2)', 'array', 'L' || row || ':M' || row FROM r UNION ALL SELECT row, 14, 'ref=N' || row || ':O' || row || ' dt2D=1 r1=A1 r2=B' || row, 'dataTable', NULL FROM r) """
+
+
+@query(_FORMULAS + "SELECT CAST(row AS INTEGER) AS row, col, formula, formula_kind, coalesce(formula_ref, '-') AS formula_ref FROM f")
+def formula_section(spark, sf_dir):
+    """All formulas, decoded from the section's lines."""
+    found = formulas.decoded(formulas.lines(order_formulas(spark, sf_dir)))
+    return found.select("row", "col", "formula", "formula_kind", F.coalesce("formula_ref", F.lit("-")).alias("formula_ref"))
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS row FROM orders), n AS (SELECT count(*) AS n FROM orders), b AS (SELECT DISTINCT row // 65536 AS b FROM r),
+c AS (SELECT CASE WHEN n > 1 THEN 'A1:B' || n ELSE 'A1:B1' END || '=C1*D1' AS line FROM n
+UNION ALL SELECT 'G1' || CASE WHEN n > 1 THEN ':G' || n ELSE '' END || '=SUM(A:A)+C1' FROM n UNION ALL SELECT 'H1' || CASE WHEN n > 1 THEN ':H' || n ELSE '' END || '=SUM(B:B)+D1' FROM n
+UNION ALL SELECT 'I' || row || '=SUM(1:1)+1' FROM r
+UNION ALL SELECT CASE WHEN n < 4 THEN NULL WHEN n < 8 THEN 'F4' WHEN n < 12 THEN 'F4,F8' ELSE 'F4:F' || (n - n % 4) || '/4' END || '=C4/4' FROM n
+UNION ALL SELECT CASE WHEN n < 5 THEN 'F1' WHEN n < 9 THEN 'F1,F5' ELSE 'F1:F' || (n - (n - 1) % 4) || '/4' END || '=C1&"it''s C1"' FROM n)
+SELECT line FROM c WHERE line IS NOT NULL""")
+def formula_lines(spark, sf_dir):
+    """The lines of formulas that are filled, periodic, or not safe to be filled in a direction."""
+    cells = order_formulas(spark, sf_dir).where("col in (1, 2, 7, 8, 9) or (col = 6 and row % 4 < 2)")
+    return formulas.lines(cells).select("line")

@@ -273,6 +273,8 @@ def cell_columns(piece: Piece, dates: frozenset[int], strings: list[str] | None
                 told = attributes(f[1])
                 formula_kind, ref, si = told.get("t", "normal"), told.get("ref"), told.get("si")
                 formula = "=" + text(f[2] or b"")
+                if formula_kind == "dataTable":  # it has no text, but settings
+                    formula = " ".join(f"{k}={v}" for k, v in told.items() if k != "t")
                 if formula_kind == "shared" and si is not None:
                     if f[2]:
                         masters.setdefault(si, (row, col, formula))

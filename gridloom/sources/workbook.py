@@ -274,10 +274,11 @@ def cells_xml(cells_: DataFrame, date1904: bool = False) -> DataFrame:
     df = df.withColumn("_serial", serial)
     shown = F.when(F.col("_serial") == F.floor("_serial"), F.floor("_serial").cast("string")).otherwise(F.col("_serial").cast("string"))
     style = F.when((kind == "date") & (F.coalesce("style", F.lit(0)) == 0), F.when(value.rlike("[0-9]:[0-9]"), DATETIME).otherwise(DATE)).otherwise(F.coalesce("style", F.lit(0)))
+    table = F.concat(F.lit('<f t="dataTable" '), F.regexp_replace("_formula", r"(\w+)=(\S+)", '$1="$2"'), F.lit("/>"))
     told = F.concat(F.lit("<f"), xml_attribute("t", F.when(F.col("formula_kind") != "normal", F.col("formula_kind"))), xml_attribute("ref", F.col("formula_ref")), xml_attribute("si", F.col("formula_group")), F.when(F.col("_formula") == "", "/>").otherwise(F.concat(F.lit(">"), F.col("_formula"), F.lit("</f>"))))
     content = F.when(kind == "date", shown).when(kind == "bool", F.when(F.upper(value).isin("TRUE", "1"), "1").otherwise("0")).otherwise(F.col("_text"))
     inline = (kind == "text") & F.col("formula").isNull()
-    df = df.withColumns({"_style": style, "_told": F.when(F.col("formula").isNotNull(), told).otherwise(""), "_content": content, "_inline": inline})
+    df = df.withColumns({"_style": style, "_told": F.when(F.col("formula_kind") == "dataTable", table).when(F.col("formula").isNotNull(), told).otherwise(""), "_content": content, "_inline": inline})
     space = F.when(value.rlike(r"^\s|\s$|\n"), ' xml:space="preserve"').otherwise("")
     body = F.when(F.col("_content").isNull(), F.col("_told")).when(F.col("_inline"), F.concat(F.lit("<is><t"), space, F.lit(">"), F.col("_content"), F.lit("</t></is>"))).otherwise(F.concat(F.col("_told"), F.lit("<v>"), F.col("_content"), F.lit("</v>")))
     mark = F.when(F.col("_content").isNull(), "").when(F.col("_inline"), ' t="inlineStr"').when(kind == "text", ' t="str"').when(kind == "bool", ' t="b"').when(kind == "error", ' t="e"').otherwise("")
