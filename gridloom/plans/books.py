@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
-from gridloom.operators import formulas
+from gridloom.operators import formulas, styles
 from gridloom.plans.catalog import table
 from gridloom.sources import workbook
-from gridloom.sources.scratch import new_path
+from gridloom.sources.scratch import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,3 +229,70 @@ def formula_lines(spark, sf_dir):
     """The lines of formulas that are filled, periodic, or not safe to be filled in a direction."""
     cells = order_formulas(spark, sf_dir).where("col in (1, 2, 7, 8, 9) or (col = 6 and row % 4 < 2)")
     return formulas.lines(cells).select("line")
+
+
+# styles
+
+
+def styled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cells a part: keys in fonts by brand, prices in fills, borders and number formats by size and type; many combinations occur."""
+    rows = C.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type", "p_retailprice"), ["p_partkey"])
+    none = "string(null)"
+    keys = rows.selectExpr(
+        "row", "1 AS col", "string(p_partkey) AS value", "concat(if(p_size > 25, 'b ', ''), 'color(rgb=FF', substr(md5(p_brand), 1, 6), ') sz:11 name:Calibri') AS font", f"{none} AS fill",
+        f"{none} AS border", "if(p_size % 5 = 0, '0000', 'General') AS num_fmt", "if(p_size % 4 = 0, 'horizontal=center wrapText=1', null) AS alignment",
+    )
+    prices = rows.selectExpr(
+        "row", "2 AS col", "string(p_retailprice) AS value", f"{none} AS font", "if(p_size > 40, concat('patternFill(patternType=solid fgColor(rgb=FF', substr(md5(p_type), 1, 6), '))'), null) AS fill",
+        "if(p_size % 3 = 0, 'left right top(style=thin color(auto=1)) bottom diagonal', null) AS border", "case p_size % 4 when 0 then '#,##0.00' when 1 then '#,##0.00 \"EUR (net)\"' else 'General' end AS num_fmt", f"{none} AS alignment",
+    )
+    return keys.union(prices).selectExpr("'S' AS sheet", "row", "col", "'number' AS kind", "value", "font", "fill", "border", "num_fmt", "alignment")
+
+
+_STYLED = """WITH r AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS row, * FROM part),
+c AS (SELECT row, 1 AS col, CASE WHEN p_size > 25 THEN 'b ' ELSE '' END || 'color(rgb=FF' || left(md5(p_brand), 6) || ') sz:11 name:Calibri' AS font, 'patternFill(patternType=none)' AS fill, 'left right top bottom diagonal' AS border,
+CASE WHEN p_size % 5 = 0 THEN '0000' ELSE 'General' END AS num_fmt, CASE WHEN p_size % 4 = 0 THEN 'horizontal=center wrapText=1' ELSE '-' END AS alignment FROM r
+UNION ALL SELECT row, 2, 'sz:11 name:Calibri', CASE WHEN p_size > 40 THEN 'patternFill(patternType=solid fgColor(rgb=FF' || left(md5(p_type), 6) || '))' ELSE 'patternFill(patternType=none)' END,
+CASE WHEN p_size % 3 = 0 THEN 'left right top(style=thin color(auto=1)) bottom diagonal' ELSE 'left right top bottom diagonal' END, CASE p_size % 4 WHEN 0 THEN '#,##0.00' WHEN 1 THEN '#,##0.00 "EUR (net)"' ELSE 'General' END, '-' FROM r) """
+_SHOWN = ["row", "col", "font", "fill", "border", "num_fmt"]
+
+
+@query(_STYLED + "SELECT * FROM c")
+def workbook_styles(spark, sf_dir):
+    """Styles of a written workbook in full for each cell: pools are numbered, written, read back and joined."""
+    cells, parts, formats = styles.pooled(styled_parts(spark, sf_dir))
+    path = saved(cells, styles=styles.stylesheet(parts, formats))
+    found = styles.resolved(workbook.cells(spark, path), workbook.relation(spark, path, "cell_styles"), workbook.relation(spark, path, "style_parts"), ["file"])
+    return found.select(*_SHOWN, F.coalesce("alignment", F.lit("-")).alias("alignment"))
+
+
+@query(_STYLED + "SELECT * FROM c")
+def style_sections(spark, sf_dir):
+    """The same by way of a document: the style table's and the style map's lines are decoded, and joined; cells that the map doesn't name have style 0."""
+    cells, parts, formats = styles.pooled(styled_parts(spark, sf_dir))
+    cells = written(cells, "styled")
+    formats_, parts_ = styles.decoded_table(styles.style_table(formats, parts, cells))
+    mapped = styles.decoded_map(styles.style_map(cells)).withColumnRenamed("style", "_style")
+    found = cells.select("sheet", "row", "col").join(mapped, ["sheet", "row", "col"], "left").withColumn("style", F.coalesce("_style", F.lit(0)))
+    return styles.resolved(found, formats_, parts_).select(*_SHOWN, F.coalesce("alignment", F.lit("-")).alias("alignment"))
+
+
+@query(_STYLED + """SELECT DISTINCT CASE WHEN font LIKE 'b %' THEN 'b' ELSE '' END AS font, CASE WHEN fill LIKE '%solid%' THEN 'patternFill(patternType=solid)' ELSE 'patternFill(patternType=none)' END AS fill, num_fmt,
+CAST(count(*) OVER (PARTITION BY font LIKE 'b %', fill LIKE '%solid%', num_fmt) AS BIGINT) AS cells FROM c""")
+def style_projection(spark, sf_dir):
+    """Bold, pattern and number format alone: what remains different, and how many cells have it."""
+    cells, parts, formats = styles.pooled(styled_parts(spark, sf_dir))
+    kept, parts, canonical = styles.projected(formats, parts, ["font.b", "fill.patternType", "numFmt"])
+    cells = cells.select("row", "col", "style").join(F.broadcast(canonical), "style").select("row", "col", F.col("canonical").alias("style"))  # a row a style
+    return styles.resolved(cells, kept, parts).groupBy("style", "font", "fill", "num_fmt").agg(F.count("*").alias("cells")).drop("style")
+
+
+@query(_STYLED + """SELECT font, fill, border, num_fmt, alignment, CAST(count(*) AS BIGINT) AS cells FROM c
+WHERE (font, fill, border, num_fmt, alignment) <> ('sz:11 name:Calibri', 'patternFill(patternType=none)', 'left right top bottom diagonal', 'General', '-') GROUP BY ALL""")
+def style_usage_of_workbook(spark, sf_dir):
+    """How many cells of a written workbook use each style but the first."""
+    cells, parts, formats = styles.pooled(styled_parts(spark, sf_dir))
+    path = saved(cells, styles=styles.stylesheet(parts, formats))
+    used = workbook.cells(spark, path).where("style > 0").groupBy("file", "style").agg(F.count("*").alias("cells"))
+    found = styles.resolved(used, workbook.relation(spark, path, "cell_styles"), workbook.relation(spark, path, "style_parts"), ["file"])
+    return found.select(*_SHOWN[2:], F.coalesce("alignment", F.lit("-")).alias("alignment"), "cells")

@@ -62,7 +62,7 @@ def relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     if name in ("cells", "strings"):
         return cells(spark, path) if name == "cells" else strings(spark, path)
     schema = xlsx.SCHEMAS[name]
-    of_book = name in ("sheets", "defined_names", "properties")
+    of_book = name in xlsx.OF_BOOK
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for book in opened(batches):

@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from gridloom.functions.compact import encode_items
 from gridloom.functions.coords import bounds, letters
+from gridloom.functions.formats import BUILTIN
 from gridloom.sources import scan
 from gridloom.sources.scan import MAIN, number, parse, text_of
 
@@ -50,9 +52,17 @@ SCHEMAS = {
     "tables": "file string, sheet string, name string, ref string, columns array<string>, totals_row boolean",
     "properties": "file string, name string, value string",
     "strings": "file string, idx int, text string",
+    "style_parts": "file string, kind string, id int, text string",
+    "cell_styles": "file string, style int, font int, fill int, border int, num_fmt string, alignment string, protection string, quote_prefix boolean, pivot_button boolean, name string",
+    "rule_styles": "file string, id int, text string",
 }
 
 
+OF_STYLES = ("style_parts", "cell_styles", "rule_styles")
+#: Relations of a workbook as a whole.
+OF_BOOK = ("sheets", "defined_names", "properties", "strings", *OF_STYLES)
+
+
 class Package:
     """A workbook's archive: parts by name, and what its main part says of the sheets."""
 
@@ -122,10 +132,13 @@ class Package:
         self.zip.fp.seek(skipped, 1)
         return found.compress_type, self.zip.fp.read(found.compress_size)
 
+    def stylesheet(self) -> ET.Element | None:
+        return next((self.part(name) for name in self.related(self.main, "styles")), None)
+
     def date_styles(self) -> frozenset[int]:
         """The cell styles whose number format shows a date or a duration."""
-        for name in self.related(self.main, "styles"):
-            root = self.part(name)
+        root = self.stylesheet()
+        if root is not None:
             formats = {int(x.get("numFmtId", -1)): x.get("formatCode", "") for x in root.iter(f"{MAIN}numFmt")}
             ids = [int(x.get("numFmtId", 0)) for x in root.iterfind(f"{MAIN}cellXfs/{MAIN}xf")]
             return frozenset(k for k, i in enumerate(ids) if (shows_date(formats[i]) if i in formats else i in BUILTIN_DATES))
@@ -195,7 +208,31 @@ def sheet_rows(package: Package, at: int, relation: str) -> Iterator[tuple]:
                 yield *where, x.get("sqref"), rule.get("type"), rule.get("operator"), number(rule.get("priority")), [f.text or "" for f in rule.iterfind(f"{MAIN}formula")], number(rule.get("dxfId")) if rule.get("dxfId") else None
 
 
+def style_rows(package: Package, relation: str) -> Iterator[tuple]:
+    """Pools of styles: parts and rules in compact XML, cell formats with the ids of their parts."""
+    root = package.stylesheet()
+    if root is None:
+        return
+    if relation == "rule_styles":
+        for i, x in enumerate(root.iterfind(f"{MAIN}dxfs/{MAIN}dxf")):
+            yield package.path, i, encode_items(x)
+    elif relation == "style_parts":
+        for kind in ("font", "fill", "border"):
+            for i, x in enumerate(root.iterfind(f"{MAIN}{kind}s/{MAIN}{kind}")):
+                yield package.path, kind, i, encode_items(x)
+    else:
+        codes = BUILTIN | {number(x.get("numFmtId")): x.get("formatCode", "") for x in root.iter(f"{MAIN}numFmt") if x.get("numFmtId")}
+        names = {number(x.get("xfId")): x.get("name") for x in root.iterfind(f"{MAIN}cellStyles/{MAIN}cellStyle")}
+        for i, x in enumerate(root.iterfind(f"{MAIN}cellXfs/{MAIN}xf")):
+            told = [encode_items(y) or None if (y := x.find(f"{MAIN}{k}")) is not None else None for k in ("alignment", "protection")]
+            at = number(x.get("numFmtId"))
+            yield package.path, i, *[number(x.get(f"{k}Id")) for k in ("font", "fill", "border")], codes.get(at, f"format {at}"), *told, flag(x, "quotePrefix"), flag(x, "pivotButton"), names.get(number(x.get("xfId")))
+
+
 def book_rows(package: Package, relation: str) -> Iterator[tuple]:
+    if relation in OF_STYLES:
+        yield from style_rows(package, relation)
+        return
     names = [s[0] for s in package.sheets]
     if relation == "strings":
         yield from ((package.path, i, s) for i, s in enumerate(package.strings()))
@@ -232,7 +269,7 @@ class XlsxReader(DataSourceReader):
             self.paths += [str(x) for x in sorted(path.glob("*.xls[xm]"))] if path.is_dir() else [str(path)]
 
     def partitions(self) -> list[InputPartition]:
-        if self.relation in ("sheets", "defined_names", "properties", "strings"):
+        if self.relation in OF_BOOK:
             return [SheetPartition(p, None) for p in self.paths]
         out = []
         for p in self.paths:
