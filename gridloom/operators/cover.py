@@ -9,6 +9,9 @@ from gridloom.functions import coords, tokens
 from gridloom.sources.scratch import written
 
 
+BLOCK = 65536  # rows that one task joins before what touches is joined over blocks
+
+
 def runs(cells: DataFrame, key: str = "token") -> DataFrame:
     """(sheet, row, key, c0, c1): adjacent columns with equal keys."""
     island = F.col("col") - F.row_number().over(Window.partitionBy("sheet", "row", key).orderBy("col"))
@@ -18,8 +21,8 @@ def runs(cells: DataFrame, key: str = "token") -> DataFrame:
 def rectangles(cells: DataFrame, key: str = "token", lock: Column | None = None) -> DataFrame:
     """(sheet, key, r0, c0, r1, c1): equal runs of consecutive rows as one rectangle; locked cells' runs stay alone.
 
-    The partitions are those of one key and one pair of columns. Very common keys are spread by blocks of rows first, whose
-    rectangles are then joined where they touch, so that no task has all runs of a key.
+    Runs are joined inside blocks of rows first; only rectangles that touch a block's edge meet over blocks, at most two a block, key and pair of
+    columns. So no task has all runs of a common key.
     """
     if lock is not None:
         cells = cells.withColumn("_lock", F.when(lock, F.col("row")).otherwise(0))
@@ -28,13 +31,15 @@ def rectangles(cells: DataFrame, key: str = "token", lock: Column | None = None)
     else:
         by = ["sheet", key, "c0", "c1"]
         found = runs(cells, key)
-    block = F.floor(F.col("row") / 65536)
     island = F.col("row") - F.row_number().over(Window.partitionBy(*by, "_b").orderBy("row"))
-    parts = found.withColumn("_b", block).withColumn("_i", island).groupBy(*by, "_b", "_i").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
-    w = Window.partitionBy(*by).orderBy("r0")
-    touched = (F.col("r0") != F.lag("r1").over(w) + 1) | F.lag("r1").over(w).isNull() | (F.floor(F.col("r0") / 65536) == F.floor(F.lag("r1").over(w) / 65536))
-    joined = parts.withColumn("_g", F.sum(touched.cast("int")).over(w)).groupBy(*by, "_g").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"))
-    return joined.select("sheet", key, "r0", "c0", "r1", "c1")
+    parts = found.withColumn("_b", F.floor(F.col("row") / BLOCK)).withColumn("_i", island).groupBy(*by, "_b", "_i").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
+    touches = (F.col("r0") % BLOCK == 0) | (F.col("r1") % BLOCK == BLOCK - 1)
+    along = Window.partitionBy(*by).orderBy("r0")
+    edge = parts.where(touches).withColumn("_new", (F.col("r0") != F.coalesce(F.lag("r1").over(along), F.lit(-1)) + 1).cast("int"))
+    edge = edge.withColumn("_g", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edge.groupBy(*by, "_g").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1"))
+    names = ["sheet", key, "r0", "c0", "r1", "c1"]
+    return parts.where(~touches).select(names).unionByName(joined.select(names))
 
 
 def before(df: DataFrame, by: list[str], order: str, last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, block: int = 65536) -> DataFrame:
@@ -98,9 +103,12 @@ def span_text() -> Column:
 
 
 def index_lines(spans: DataFrame, key: str = "token") -> DataFrame:
-    """The inverted index: (sheet, line, first_row, first_col), a line for each key with all its spans, to be ordered by its first cell."""
+    """The inverted index: (sheet, line, first_row, first_col), a line for each key and block of rows with its spans, to be ordered by its first cell.
+
+    Sheets of up to ``BLOCK`` rows have one line a key; beyond, no line grows with the sheet.
+    """
     each = F.struct("r0", "c0", span_text().alias("text"))
-    out = spans.groupBy("sheet", key).agg(F.sort_array(F.collect_list(each)).alias("spans"))
+    out = spans.groupBy("sheet", key, F.floor(F.col("r0") / BLOCK)).agg(F.sort_array(F.collect_list(each)).alias("spans"))
     line = F.concat(F.array_join(F.transform("spans", lambda s: s["text"]), ","), F.lit("="), F.col(key))
     return out.select("sheet", line.alias("line"), F.col("spans")[0]["r0"].alias("first_row"), F.col("spans")[0]["c0"].alias("first_col"))
 
@@ -134,9 +142,9 @@ def fields(cells: DataFrame, anchor: int = 10) -> DataFrame:
     return out.withColumn("text", text)
 
 
-def grid_lines(cells: DataFrame, anchor: int = 10, jump: int = 4) -> DataFrame:
-    """(sheet, row, line): the sheet's grid form, fields from the smallest column on, a bar for each step, COL= after a jump."""
-    start = cells.groupBy("sheet").agg(F.min("col").alias("start"))
+def grid_lines(cells: DataFrame, anchor: int = 10, jump: int = 4, start: DataFrame | None = None) -> DataFrame:
+    """(sheet, row, line): the sheet's grid form, fields from the smallest column (or ``start`` of its sheet) on, a bar for each step, COL= after a jump."""
+    start = cells.groupBy("sheet").agg(F.min("col").alias("start")) if start is None else start
     ordered = F.sort_array(F.collect_list(F.struct("col", "n", "text")))
     lines = fields(cells, anchor).groupBy("sheet", "row", "labelled").agg(ordered.alias("f")).join(F.broadcast(start), "sheet")
     body = F.expr(f"""aggregate(f, struct('' as text, start as at, true as first), (s, x) -> struct(concat(s.text, if(s.first, '', '|'),
@@ -149,6 +157,32 @@ def grid_lines(cells: DataFrame, anchor: int = 10, jump: int = 4) -> DataFrame:
 _LETTERS = "(case when x.col <= 26 then chr(64 + x.col) when x.col <= 702 then concat(chr(65 + floor((x.col - 27) / 26)), chr(65 + (x.col - 27) % 26)) else concat(chr(65 + floor((x.col - 703) / 676)), chr(65 + floor((x.col - 703) / 26) % 26), chr(65 + (x.col - 703) % 26)) end)"
 
 
+def block_gains(spans: DataFrame, anchor: int = 10, min_block_rows: int = 3) -> DataFrame:
+    """Those of spans (n rows of one token) that cost less as ranges than in a grid by more than two, with what they gain.
+
+    In a grid the rows of a block below its first are ditto marks, unless they are labelled or the token costs no more than a mark.
+    """
+    cost = tokens.token_cost
+    spans = spans.withColumn("text", span_text()).withColumns({"_t": cost(F.col("text")), "_c": cost(F.col("token"))})
+    width = F.col("c1") - F.col("c0") + 1
+    per_row = lambda c: F.when(width >= 3, c + 3).otherwise(width * (c + 1))
+    n = F.col("n").cast("long")
+    full = F.when((F.col("step") == 1) & (F.col("_c") > 1), F.least(1 + F.floor(n / anchor), n)).otherwise(n)
+    in_grid = full * per_row(F.col("_c")) + (n - full) * per_row(F.lit(1))
+    tall = (n >= 3) & ((F.col("step") > 1) | (n >= min_block_rows))
+    return spans.where(tall).withColumn("gain", in_grid - (F.col("_t") + F.col("_c") + 2)).where("gain > 2").drop("text", "_t", "_c")
+
+
+def residual(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col, token) that none of the spans covers; the spans must be of ``strides(rectangles(cells))``.
+
+    Spans are made of whole runs, so runs are taken out by their first cell, and no cell of a span is made.
+    """
+    covered = spans.select("sheet", F.explode(F.sequence("r0", "r1", "step")).alias("row"), "c0")
+    left = runs(cells).join(covered, ["sheet", "row", "c0"], "left_anti")
+    return left.select("sheet", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "token")
+
+
 def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int = 3) -> DataFrame:
     """(sheet, grid, index, hybrid, encoding): estimated tokens of the three text forms, and the one to choose."""
     cost = tokens.token_cost
@@ -165,14 +199,8 @@ def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int
     spans = strides(rectangles(cells)).withColumn("text", span_text()).withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
     spans = written(spans.drop("text"), "spans")
     index = spans.groupBy("sheet", "token").agg(F.sum(F.col("text_cost") + 1).alias("t"), F.first("c").alias("c")).groupBy("sheet").agg(F.sum(F.col("t") + F.col("c") + 1).cast("long").alias("index"))
-    width = F.col("c1") - F.col("c0") + 1
-    per_row = lambda c: F.when(width >= 3, c + 3).otherwise(width * (c + 1))
-    n = F.col("n").cast("double")
-    full = F.when((F.col("step") == 1) & (F.col("c") > 1), F.least(1 + n / anchor, n)).otherwise(n)
-    in_grid = full * per_row(F.col("c")) + (n - full) * per_row(F.lit(1))
-    gain = in_grid - (F.col("text_cost") + F.col("c") + 2)
-    blocks = spans.where(n >= min_block_rows).withColumn("gain", gain).where("gain > 0").groupBy("sheet").agg(F.sum("gain").alias("gain"), F.count("*").alias("blocks"))
-    out = grid.join(index, "sheet").join(blocks, "sheet", "left").withColumn("hybrid", F.when(F.col("blocks") > 0, F.floor(F.col("grid") - F.col("gain")).cast("long")))
+    chosen = block_gains(spans, anchor, min_block_rows).groupBy("sheet").agg(F.sum("gain").alias("gain"), F.count("*").alias("blocks"))
+    out = grid.join(index, "sheet").join(chosen, "sheet", "left").withColumn("hybrid", F.when(F.col("blocks") > 0, F.greatest(F.col("grid") - F.col("gain"), F.lit(0)).cast("long")))
     choice = (
         F.when((F.col("index") < 0.85 * F.col("grid")) & (F.col("hybrid").isNull() | (F.col("index") < F.col("hybrid"))), "index")
         .when(F.col("hybrid") < 0.92 * F.col("grid"), "hybrid").otherwise("grid")

@@ -1,6 +1,6 @@
 """The text form of sheets, as lines in a DataFrame, and its decoder.
 
-A document is (sheet, part, line_no, text): "grid" lines are rows with bars between fields, "index" lines are a token after
+A document is (sheet, part, line_no, text): "grid" lines are rows with bars between fields, "index" and "block" lines are a token after
 its spans. Lines of a grid know their row by their label or by the line before, so the decoder needs one running value:
 the last label and the lines since. That is found per range of lines and carried over by a join, not by one task.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import coords
 from gridloom.operators import cover
+from gridloom.operators.cells import numbered
+from gridloom.sources.scratch import written
 
 QUOTED = re.compile(r'"(?:[^"\\]|\\.)*"')
 SPAN = re.compile(r"([A-Z]{1,3})(\d+)(?::([A-Z]{1,3})(\d+))?(?:/(\d+))?")
@@ -23,17 +26,35 @@ CHUNK = 1000  # lines of a running value's range
 
 
 def encoded(cells: DataFrame, encoding: str = "grid") -> DataFrame:
-    """(sheet, part, line_no, text) of all sheets in one encoding."""
+    """(sheet, part, line_no, text) of all sheets in one encoding, or with "auto" of each sheet in the one that costs least.
+
+    "hybrid" has lines of blocks, ranges of one token that cost less so, and grid lines of all other cells.
+    """
+    if encoding == "auto":
+        cells = written(cells.select("sheet", "row", "col", "token"), "cells")
+        choice = written(cover.costs(cells).select("sheet", F.col("encoding").alias("_encoding")), "choice")  # a row a sheet
+        own = cells.join(F.broadcast(choice), "sheet")
+        return reduce(DataFrame.unionByName, [encoded(own.where(F.col("_encoding") == e).drop("_encoding"), e) for e in ("grid", "index", "hybrid")])
+    if encoding not in ("grid", "index", "hybrid"):
+        raise ValueError(f"{encoding} isn't an encoding")
+    start = cells.groupBy("sheet").agg(F.min("col").alias("start"))
+    head = start.select("sheet", F.lit("start").alias("part"), F.lit(0).alias("line_no"), coords.column_letters(F.col("start")).alias("text"))
     if encoding == "grid":
-        start = cells.groupBy("sheet").agg(F.min("col").alias("c"))
-        head = start.select("sheet", F.lit("start").alias("part"), F.lit(0).alias("line_no"), coords.column_letters(F.col("c")).alias("text"))
-        lines = cover.grid_lines(cells)
-        return head.unionByName(lines.select("sheet", F.lit("grid").alias("part"), F.col("row").alias("line_no"), F.col("line").alias("text")))
+        return head.unionByName(_grid(cells, start))
+    spans = cover.strides(cover.rectangles(cells))
     if encoding == "index":
-        lines = cover.index_lines(cover.strides(cover.rectangles(cells)))
-        number = F.row_number().over(Window.partitionBy("sheet").orderBy("first_row", "first_col"))  # one line for each distinct token
-        return lines.select("sheet", F.lit("index").alias("part"), number.alias("line_no"), F.col("line").alias("text"))
-    raise ValueError(f"{encoding} isn't an encoding")
+        return _index(cover.index_lines(spans), "index")
+    spans = written(cover.block_gains(spans), "blocks")
+    return head.unionByName(_index(cover.index_lines(spans), "block")).unionByName(_grid(cover.residual(cells, spans), start))
+
+
+def _grid(cells: DataFrame, start: DataFrame) -> DataFrame:
+    return cover.grid_lines(cells, start=start).select("sheet", F.lit("grid").alias("part"), F.col("row").alias("line_no"), F.col("line").alias("text"))
+
+
+def _index(lines: DataFrame, part: str) -> DataFrame:
+    """Numbered in the order of their first cells, over all sheets."""
+    return numbered(lines, ["sheet", "first_row", "first_col"], "line_no").select("sheet", F.lit(part).alias("part"), "line_no", F.col("line").alias("text"))
 
 
 def fields(line: str, start: int) -> tuple[int | None, list[tuple[int, str]]]:
@@ -64,7 +85,7 @@ def fields(line: str, start: int) -> tuple[int | None, list[tuple[int, str]]]:
 
 def decoded(lines: DataFrame) -> DataFrame:
     """(sheet, row, col, token) of a document."""
-    grid, index = lines.where("part = 'grid'"), lines.where("part = 'index'")
+    grid, index = lines.where("part = 'grid'"), lines.where("part in ('index', 'block')")
     start = lines.where("part = 'start'").select("sheet", F.col("text").alias("start"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,4 +120,4 @@ def decoded(lines: DataFrame) -> DataFrame:
 
     found = index.select("sheet", "text").mapInArrow(spans, "sheet string, r0 int, c0 int, r1 int, c1 int, step int, token string")
     found = found.select("sheet", F.explode(F.sequence("r0", "r1", "step")).alias("row"), "c0", "c1", "token").select("sheet", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "token")
-    return filled.unionByName(found)
+    return filled.withColumn("row", F.col("row").cast("int")).unionByName(found)

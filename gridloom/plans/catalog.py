@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import coords, dates, formula, texts, tokens, units
 from gridloom.operators import cells as C
-from gridloom.operators import cover, dimensions, filters, pivot, ranges
+from gridloom.operators import cover, dimensions, document, filters, pivot, ranges
+from gridloom.sources.scratch import written
 from gridloom.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,19 +178,35 @@ def index_cover(spark, sf_dir):
     return cover.rectangles(order_cells(spark, sf_dir)).select("token", "r0", "c0", "r1", "c1")
 
 
-@query(ORDERS + RUNS + """SELECT token, string_agg(CASE WHEN r0 = r1 AND c0 = c1 THEN chr(CAST(64 + c0 AS INTEGER)) || r0 ELSE chr(CAST(64 + c0 AS INTEGER)) || r0 || ':' || chr(CAST(64 + c1 AS INTEGER)) || r1 END, ',' ORDER BY r0, c0) AS spans FROM rects GROUP BY token""")
+@query(ORDERS + RUNS + """SELECT string_agg(CASE WHEN r0 = r1 AND c0 = c1 THEN chr(CAST(64 + c0 AS INTEGER)) || r0 ELSE chr(CAST(64 + c0 AS INTEGER)) || r0 || ':' || chr(CAST(64 + c1 AS INTEGER)) || r1 END, ',' ORDER BY r0, c0) || '=' || token AS line
+FROM rects GROUP BY token, r0 // 65536""")
 def inverted_index(spark, sf_dir):
-    rects = cover.rectangles(order_cells(spark, sf_dir)).withColumn("step", F.lit(1))
-    each = F.sort_array(F.collect_list(F.struct("r0", "c0", cover.span_text().alias("text"))))
-    return rects.groupBy("token").agg(F.array_join(F.transform(each, lambda s: s["text"]), ",").alias("spans"))
+    return cover.index_lines(cover.rectangles(order_cells(spark, sf_dir)).withColumn("step", F.lit(1))).select("line")
 
 
-@query("WITH RECURSIVE cells AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, 1 AS col, event_type AS token FROM events)" + RUNS + """, p AS (SELECT *, row_number() OVER w AS i, lead(r0) OVER w - r0 AS d FROM rects WHERE r0 = r1 WINDOW w AS (PARTITION BY token, c0, c1 ORDER BY r0)),
+#: Spans of rects: greedy progressions of three or more, all others alone; needs WITH RECURSIVE.
+SPANS = """, p AS (SELECT *, row_number() OVER w AS i, lead(r0) OVER w - r0 AS d FROM rects WHERE r0 = r1 WINDOW w AS (PARTITION BY token, c0, c1 ORDER BY r0)),
 q AS (SELECT *, coalesce(d = lag(d) OVER (PARTITION BY token, c0, c1 ORDER BY i), false) AS same FROM p), g AS (SELECT *, count(*) FILTER (NOT same) OVER (PARTITION BY token, c0, c1 ORDER BY i) AS g FROM q),
 e AS (SELECT *, CASE WHEN d > 1 AND max(i) OVER x - i >= 1 THEN max(i) OVER x + 1 ELSE i END AS stop FROM g WINDOW x AS (PARTITION BY token, c0, c1, g)),
-walk AS (SELECT token, c0, c1, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT w.token, w.c0, w.c1, e.stop + 1 FROM walk w JOIN e USING (token, c0, c1, i) WHERE e.d IS NOT NULL)
-SELECT token, e.r0, z.r1, c0, c1, CASE WHEN e.stop > e.i THEN e.d ELSE 1 END AS step, CAST(z.i - e.i + 1 AS INTEGER) AS n FROM walk JOIN e USING (token, c0, c1, i) JOIN e AS z ON z.token = e.token AND z.c0 = e.c0 AND z.c1 = e.c1 AND z.i = e.stop
-UNION ALL SELECT token, r0, r1, c0, c1, 1, CAST(r1 - r0 + 1 AS INTEGER) FROM rects WHERE r0 < r1""")
+walk AS (SELECT token, c0, c1, CAST(1 AS BIGINT) AS i FROM e WHERE i = 1 UNION ALL SELECT w.token, w.c0, w.c1, e.stop + 1 FROM walk w JOIN e USING (token, c0, c1, i) WHERE e.d IS NOT NULL),
+spans AS (SELECT token, e.r0, z.r1, c0, c1, CASE WHEN e.stop > e.i THEN e.d ELSE 1 END AS step, CAST(z.i - e.i + 1 AS INTEGER) AS n FROM walk JOIN e USING (token, c0, c1, i) JOIN e AS z ON z.token = e.token AND z.c0 = e.c0 AND z.c1 = e.c1 AND z.i = e.stop
+UNION ALL SELECT token, r0, r1, c0, c1, 1, CAST(r1 - r0 + 1 AS INTEGER) FROM rects WHERE r0 < r1) """
+
+
+def sql_cost(x: str) -> str:
+    """Estimated tokens of a text of letters, digits and single signs, whose spaces stand before letters or digits."""
+    share = lambda pattern, per: f"coalesce(list_sum(list_transform(regexp_extract_all({x}, '{pattern}'), lambda w: CAST(ceil(length(w) / {per}.0) AS BIGINT))), 0)"
+    return f"CAST({share('[A-Za-z]+', 6)} + {share('[0-9]+', 3)} + len(regexp_extract_all({x}, '[^A-Za-z0-9 ]')) AS BIGINT)"
+
+
+_ADDRESS = "chr(CAST(64 + c0 AS INTEGER)) || r0 || CASE WHEN r0 = r1 AND c0 = c1 THEN '' ELSE ':' || chr(CAST(64 + c1 AS INTEGER)) || r1 END || CASE WHEN step > 1 THEN '/' || step ELSE '' END"
+#: What spans cost as ranges, and what those gain that cost less so than as at most two columns of a grid.
+GAINS = f""", priced AS (SELECT *, {sql_cost("token")} AS c, {sql_cost(_ADDRESS)} AS t FROM spans),
+full_ AS (SELECT *, CASE WHEN step = 1 AND c > 1 THEN least(1 + n // 10, n) ELSE n END AS whole FROM priced),
+gains AS (SELECT *, (c1 - c0 + 1) * (whole * (c + 1) + (n - whole) * 2) - (t + c + 2) AS gain FROM full_ WHERE n >= 3), chosen AS (SELECT * FROM gains WHERE gain > 2) """
+
+
+@query("WITH RECURSIVE cells AS (SELECT CAST(event_id + 1 AS INTEGER) AS row, 1 AS col, event_type AS token FROM events)" + RUNS + SPANS + "SELECT token, r0, r1, c0, c1, step, n FROM spans")
 def stride_spans(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.lit("s").alias("sheet"), (F.col("event_id") + 1).cast("int").alias("row"), F.lit(1).alias("col"), F.col("event_type").alias("token"))
     return cover.strides(cover.rectangles(e)).select("token", "r0", "r1", "c0", "c1", "step", "n")
@@ -211,15 +228,47 @@ def grid_lines(spark, sf_dir):
     return cover.grid_lines(order_cells(spark, sf_dir)).select("row", "line")
 
 
-@query(None)
+@query("WITH RECURSIVE " + ORDERS[5:] + RUNS + SPANS + GAINS + f""", marked AS (SELECT row, col, {sql_cost("token")} AS c, row = 1 OR row % 10 = 0 AS labelled, coalesce(lag(token) OVER (PARTITION BY col ORDER BY row) = token, false) AS same FROM cells),
+lines AS (SELECT row, 1 + sum(CASE WHEN same AND NOT labelled AND c > 1 THEN 2 ELSE c + 1 END) + max(CASE WHEN labelled THEN {sql_cost("CAST(row AS VARCHAR)")} + 1 ELSE 0 END) AS g FROM marked GROUP BY row),
+x AS (SELECT (SELECT sum(g) FROM lines) AS grid, (SELECT sum(t + 1) FROM priced) + (SELECT sum(c + 1) FROM (SELECT DISTINCT token, c FROM priced)) AS index, (SELECT sum(gain) FROM chosen) AS gain, (SELECT count(*) FROM chosen) AS blocks),
+y AS (SELECT *, CASE WHEN blocks > 0 THEN greatest(grid - gain, 0) END AS hybrid FROM x)
+SELECT 'Sheet1' AS sheet, CAST(grid AS BIGINT) AS grid, CAST(index AS BIGINT) AS index, CAST(hybrid AS BIGINT) AS hybrid, CAST(blocks AS BIGINT) AS blocks,
+CASE WHEN index < 0.85 * grid AND (hybrid IS NULL OR index < hybrid) THEN 'index' WHEN hybrid < 0.92 * grid THEN 'hybrid' ELSE 'grid' END AS encoding FROM y""")
 def encoding_costs(spark, sf_dir):
     return cover.costs(order_cells(spark, sf_dir))
 
 
+@query("WITH RECURSIVE " + ORDERS[5:] + RUNS + SPANS + GAINS + "SELECT token, r0, r1, c0, c1, step, n, CAST(gain AS BIGINT) AS gain FROM chosen")
+def hybrid_blocks(spark, sf_dir):
+    """The blocks of a hybrid document, with what they gain."""
+    return cover.block_gains(cover.strides(cover.rectangles(order_cells(spark, sf_dir)))).select("token", "r0", "r1", "c0", "c1", "step", "n", "gain")
+
+
+@query("WITH RECURSIVE " + ORDERS[5:] + RUNS + SPANS + GAINS + ", covered AS (SELECT CAST(unnest(range(r0, r1 + 1, step)) AS INTEGER) AS row, c0, c1 FROM chosen) SELECT row, col, token FROM cells c WHERE NOT EXISTS (SELECT 1 FROM covered x WHERE x.row = c.row AND c.col BETWEEN c0 AND c1)")
+def hybrid_residual(spark, sf_dir):
+    """What a hybrid document writes as a grid."""
+    cells = written(order_cells(spark, sf_dir), "cells")
+    return cover.residual(cells, cover.block_gains(cover.strides(cover.rectangles(cells)))).select("row", "col", "token")
+
+
+@query(ORDERS + "SELECT row, col, token FROM cells")
+def decoded_hybrid(spark, sf_dir):
+    """Cells read back from blocks and grid lines."""
+    return document.decoded(document.encoded(order_cells(spark, sf_dir), "hybrid")).select("row", "col", "token")
+
+
+@query(ORDERS + "SELECT row, col, token FROM cells")
+def decoded_index(spark, sf_dir):
+    return document.decoded(document.encoded(order_cells(spark, sf_dir), "index")).select("row", "col", "token")
+
+
+@query(ORDERS + "SELECT row, col, token FROM cells")
+def decoded_grid(spark, sf_dir):
+    return document.decoded(document.encoded(order_cells(spark, sf_dir), "grid")).select("row", "col", "token")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS mismatches")
 def encode_decode_roundtrip(spark, sf_dir):
-    from gridloom.operators import document
-
     cells = part_cells(spark, sf_dir)
     back = document.decoded(document.encoded(cells, "grid"))
     a, b = (x.select("sheet", "row", "col", "token") for x in (cells, back))
@@ -228,8 +277,6 @@ def encode_decode_roundtrip(spark, sf_dir):
 
 @query("SELECT CAST(0 AS BIGINT) AS mismatches")
 def index_decode_roundtrip(spark, sf_dir):
-    from gridloom.operators import document
-
     cells = order_cells(spark, sf_dir)
     back = document.decoded(document.encoded(cells, "index"))
     a, b = (x.select("sheet", "row", "col", "token") for x in (cells, back))
@@ -283,7 +330,13 @@ def text_token_quoting(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tokens.text_token(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS ch FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS x FROM documents)),
+k AS (SELECT *, unicode(ch) AS u, lead(unicode(ch)) OVER w AS following, lag(unicode(ch)) OVER w AS before FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT *, CASE WHEN u BETWEEN 65 AND 90 OR u BETWEEN 97 AND 122 THEN 'L' WHEN u BETWEEN 48 AND 57 THEN 'D' WHEN u <= 127 THEN ch END AS kind FROM k),
+runs AS (SELECT doc_id, kind, count(*) AS n, arg_max(following, i) AS following FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS g FROM t WHERE kind IS NOT NULL) GROUP BY doc_id, kind, g),
+a AS (SELECT doc_id, sum(CASE WHEN kind = 'L' THEN ceil(n / 6.0) WHEN kind = 'D' THEN ceil(n / 3.0) WHEN kind = ' ' AND n = 1 AND coalesce(following BETWEEN 48 AND 57 OR following BETWEEN 65 AND 90 OR following BETWEEN 97 AND 122, false) THEN 0 ELSE ceil(n / 4.0) END) AS cost FROM runs GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS cost FROM t WHERE u >= 2048 OR (u BETWEEN 128 AND 2047 AND NOT coalesce(before BETWEEN 65 AND 90 OR before BETWEEN 97 AND 122, false)) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(a.cost, 0) + coalesce(b.cost, 0) AS BIGINT) AS cost FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def text_token_costs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.token_cost(F.col("text")).alias("cost"))
 
@@ -722,10 +775,11 @@ def style_usage(spark, sf_dir):
     return dimensions.usage(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("style")), "style")
 
 
-@query(ORDERS + ", spans AS (SELECT unnest(range(p_partkey * 10, p_partkey * 10 + 9, 1 + p_size % 4)) AS row FROM part) SELECT row, col, token FROM cells WHERE row NOT IN (SELECT row FROM spans)")
+@query(ORDERS + """, spans AS (SELECT unnest(range(p_partkey * 10, p_partkey * 10 + 9, 1 + p_size % 4)) AS row, 1 + p_size % 2 AS c0, 2 AS c1 FROM part)
+SELECT row, col, token FROM cells c WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.row = c.row AND c.col BETWEEN c0 AND c1)""")
 def outside_strides(spark, sf_dir):
     key = (F.col("p_partkey") * 10).cast("int")
-    spans = table(spark, sf_dir, "part").select(F.lit("Sheet1").alias("sheet"), key.alias("r0"), (key + 8).alias("r1"), (1 + F.col("p_size") % 4).alias("step"))
+    spans = table(spark, sf_dir, "part").select(F.lit("Sheet1").alias("sheet"), key.alias("r0"), (1 + F.col("p_size") % 2).alias("c0"), (key + 8).alias("r1"), F.lit(2).alias("c1"), (1 + F.col("p_size") % 4).alias("step"))
     return dimensions.outside_strides(order_cells(spark, sf_dir), spans).select("row", "col", "token")
 
 
