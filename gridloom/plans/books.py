@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
-from gridloom.operators import formulas, styles
+from gridloom.operators import formulas, overlaps, rules, styles
 from gridloom.plans.catalog import table
 from gridloom.sources import workbook
 from gridloom.sources.scratch import new_path, written
@@ -296,3 +296,62 @@ def style_usage_of_workbook(spark, sf_dir):
     used = workbook.cells(spark, path).where("style > 0").groupBy("file", "style").agg(F.count("*").alias("cells"))
     found = styles.resolved(used, workbook.relation(spark, path, "cell_styles"), workbook.relation(spark, path, "style_parts"), ["file"])
     return found.select(*_SHOWN[2:], F.coalesce("alignment", F.lit("-")).alias("alignment"), "cells")
+
+
+# rules and ranges that overlap
+
+
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT CAST(p_partkey * 3 + 1 AS INTEGER) AS r0, CAST(1 + p_size % 4 AS INTEGER) AS c0, CAST(p_partkey * 3 + 1 + p_size % 5 AS INTEGER) AS r1, CAST(1 + p_size % 4 + p_size % 2 AS INTEGER) AS c1 FROM part),
+n AS (SELECT *, row_number() OVER (ORDER BY r0, c0, r1, c1) AS id FROM g), l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON b.r0 BETWEEN a.r0 - 4 AND a.r1 AND b.r1 >= a.r0 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+w AS (SELECT id, id AS m FROM n UNION SELECT w.id, l.b FROM w JOIN l ON w.m = l.a), f AS (SELECT id, min(m) AS m FROM w GROUP BY id)
+SELECT n.r0, n.c0, n.r1, n.c1, o.r0 AS group_row, o.c0 AS group_col FROM n JOIN f USING (id) JOIN n o ON o.id = f.m""")
+def overlapping_ranges(spark, sf_dir):
+    """Groups of ranges that overlap, with the corner of each group's first range."""
+    ranges = table(spark, sf_dir, "part").selectExpr("'S' AS sheet", "int(p_partkey * 3 + 1) AS r0", "int(1 + p_size % 4) AS c0", "int(p_partkey * 3 + 1 + p_size % 5) AS r1", "int(1 + p_size % 4 + p_size % 2) AS c1")
+    return overlaps.overlap_groups(ranges).drop("sheet")
+
+
+def part_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and types of parts in two columns."""
+    return C.value_cells(table(spark, sf_dir, "part"), ["p_partkey"], ["p_size", "p_type"])
+
+
+#: Three rules on each of a few windows of rows that overlap, by brand: a comparison, a text, and one that knows its whole range.
+_RULES = """WITH r AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS row, * FROM part),
+b AS (SELECT CAST(row_number() OVER (ORDER BY p_brand) AS INTEGER) AS k, min(row) AS a, max(row) // 2 + min(row) AS z, min(p_size) AS low FROM r GROUP BY p_brand) """
+
+
+def brand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_partkey"])
+    of = C.numbered(rows.groupBy("p_brand").agg(F.min("row").alias("a"), F.floor(F.max("row") / 2).alias("half"), F.min("p_size").alias("low")), ["p_brand"], "k").selectExpr("k", "a", "half + a AS z", "low")
+    size = of.selectExpr("'Sheet1' AS sheet", "concat('A', a, ':A', z) AS ranges", "'cellIs' AS type", "'between' AS operator", "int(3 * k) AS priority", "array(string(low + 5), string(low + 12)) AS formulas", "int(k % 3) AS style", "k % 2 = 0 AS stop", "string(null) AS text", "int(null) AS rank", "false AS bottom")
+    text = of.selectExpr("'Sheet1'", "concat('B', a, ':B', z, ' A1:B1')", "'containsText'", "string(null)", "int(3 * k + 1)", "array()", "int(k % 3)", "false", "'AN'", "int(null)", "false")
+    whole = of.selectExpr("'Sheet1'", "concat('A', a, ':B', z)", "case k % 3 when 0 then 'top10' when 1 then 'aboveAverage' else 'duplicateValues' end", "string(null)", "int(3 * k + 2)", "array()", "int(k % 3)", "false", "string(null)", "int(7)", "k % 2 = 1")
+    return size.union(text).union(whole)
+
+
+@query(_RULES + """, c AS (SELECT row, 1 AS col, CAST(p_size AS DOUBLE) AS num, CAST(p_size AS VARCHAR) AS value FROM r UNION ALL SELECT row, 2, NULL, p_type FROM r),
+m AS (SELECT b.*, c.* FROM b JOIN c ON c.row BETWEEN a AND z),
+h AS (SELECT row, col, 3 * k AS priority, k % 2 = 0 AS stop, k FROM m WHERE col = 1 AND num BETWEEN low + 5 AND low + 12
+UNION ALL SELECT row, col, 3 * k + 1, false, k FROM (SELECT DISTINCT k, row, col, value FROM b JOIN c ON (col = 2 AND row BETWEEN a AND z) OR row = 1) WHERE contains(lower(value), 'an')
+UNION ALL SELECT row, col, 3 * k + 2, false, k FROM (SELECT *, avg(num) OVER (PARTITION BY k) AS mean, count(*) OVER (PARTITION BY k, lower(value)) AS same,
+ rank() OVER (PARTITION BY k ORDER BY CASE WHEN num IS NULL THEN NULL WHEN k % 2 = 1 THEN num ELSE -num END NULLS LAST) AS place FROM m)
+ WHERE CASE k % 3 WHEN 0 THEN num IS NOT NULL AND place <= 7 WHEN 1 THEN num > mean ELSE same > 1 END),
+s AS (SELECT *, min(CASE WHEN stop THEN priority END) OVER (PARTITION BY row, col) AS stopped FROM h)
+SELECT row, col, CAST(min(priority) AS INTEGER) AS priority, CAST(arg_min(k % 3, priority) AS INTEGER) AS style, string_agg(CAST(priority AS VARCHAR), ',' ORDER BY priority) FILTER (stopped IS NULL OR priority <= stopped) AS applied FROM s GROUP BY row, col""")
+def rule_winners(spark, sf_dir):
+    """Conditional formats over ranges that overlap: the rule that wins in each cell, and all that apply."""
+    rules_ = brand_rules(spark, sf_dir)
+    found = rules.winners(rules.hits(part_sheet(spark, sf_dir), rules_, "2024-01-01"), rules_)
+    return found.select("row", "col", "priority", "style", F.array_join("applied", ",").alias("applied"))
+
+
+@query(_RULES + """SELECT row, 1 AS col, k AS validation, CASE k % 3 WHEN 0 THEN p_size BETWEEN low + 5 AND low + 12 WHEN 1 THEN length(CAST(p_size AS VARCHAR)) <> 1 ELSE p_size IN (7, 12, 30) END AS valid FROM b JOIN r ON row BETWEEN a AND z
+UNION ALL SELECT row, 2, 1000 + k, p_type IN (SELECT p_type FROM r WHERE row <= 9) FROM b JOIN r ON row BETWEEN a AND z""")
+def range_validations(spark, sf_dir):
+    """Validations over ranges: bounds, lengths, written lists, and lists that are a range of the sheet."""
+    rows = C.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_partkey"])
+    of = C.numbered(rows.groupBy("p_brand").agg(F.min("row").alias("a"), F.floor(F.max("row") / 2).alias("half"), F.min("p_size").alias("low")), ["p_brand"], "k").selectExpr("k", "a", "half + a AS z", "low")
+    size = of.selectExpr("k AS validation", "'Sheet1' AS sheet", "concat('A', a, ':A', z) AS ranges", "case k % 3 when 0 then 'whole' when 1 then 'textLength' else 'list' end AS type", "if(k % 3 = 1, 'notEqual', 'between') AS operator", "case k % 3 when 0 then string(low + 5) when 1 then '1' else '\"7, 12,30\"' end AS formula1", "string(low + 12) AS formula2", "true AS allow_blank")
+    types = of.selectExpr("1000 + k", "'Sheet1'", "concat('B', a, ':B', z)", "'list'", "string(null)", "'=$B$1:$B$9'", "string(null)", "true")
+    return rules.validated(part_sheet(spark, sf_dir), size.union(types)).select("row", "col", "validation", "valid")

@@ -380,8 +380,12 @@ def save(
     if (df := known(merged)) is not None:
         around(df, MERGED, "<mergeCells>", "</mergeCells>")
         add(df, sheet_part, MERGED, F.col("r0"), F.col("c0"), "<mergeCell", xml_attribute("ref", ref), "/>")
-    if (df := known(cond_formats)) is not None:
-        rule = F.concat(F.lit("<cfRule"), xml_attribute("type", F.col("type")), xml_attribute("operator", F.col("operator")), xml_attribute("priority", F.col("priority")), xml_attribute("dxfId", F.col("style")))
+    if cond_formats is not None:
+        every = {"type": "type", "operator": "operator", "priority": "priority", "dxfId": "style", "text": "text", "rank": "rank", "stdDev": "deviations", "timePeriod": "period"}
+        flags = {"stopIfTrue": "stop", "percent": "percent", "bottom": "bottom", "aboveAverage": "above", "equalAverage": "equal_average"}
+        df = known(cond_formats)
+        df = df.withColumns({c: F.lit(None).cast("string") for c in [*every.values(), *flags.values()] if c not in df.columns})
+        rule = F.concat(F.lit("<cfRule"), *[xml_attribute(n, F.col(c)) for n, c in every.items()], *[xml_attribute(n, F.col(c).cast("boolean").cast("int")) for n, c in flags.items()])
         formulas = F.array_join(F.transform(F.coalesce("formulas", F.array().cast("array<string>")), lambda f: F.concat(F.lit("<formula>"), xml_text(f), F.lit("</formula>"))), "")
         add(df, sheet_part, FORMATS, F.col("priority"), F.lit(0), "<conditionalFormatting", xml_attribute("sqref", F.col("ranges")), ">", rule, ">", formulas, "</cfRule></conditionalFormatting>")
     if (df := known(validations)) is not None:

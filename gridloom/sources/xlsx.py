@@ -49,6 +49,7 @@ SCHEMAS = {
     "defined_names": "file string, name string, scope string, refers_to string, hidden boolean",
     "validations": "file string, sheet string, ranges string, type string, operator string, formula1 string, formula2 string, allow_blank boolean",
     "cond_formats": "file string, sheet string, ranges string, type string, operator string, priority int, formulas array<string>, style int",
+    "rules": "file string, sheet string, ranges string, type string, operator string, priority int, formulas array<string>, style int, stop boolean, text string, rank int, percent boolean, bottom boolean, above boolean, equal_average boolean, deviations int, period string",
     "tables": "file string, sheet string, name string, ref string, columns array<string>, totals_row boolean",
     "properties": "file string, name string, value string",
     "strings": "file string, idx int, text string",
@@ -203,9 +204,13 @@ def sheet_rows(package: Package, at: int, relation: str) -> Iterator[tuple]:
         elif relation == "validations" and tag == "dataValidation":
             text = lambda n, x=x: (y.text if (y := x.find(f"{MAIN}{n}")) is not None else None)
             yield *where, x.get("sqref"), x.get("type", "none"), x.get("operator", "between"), text("formula1"), text("formula2"), flag(x, "allowBlank")
-        elif relation == "cond_formats" and tag == "conditionalFormatting":
+        elif relation in ("cond_formats", "rules") and tag == "conditionalFormatting":
             for rule in x.iterfind(f"{MAIN}cfRule"):
-                yield *where, x.get("sqref"), rule.get("type"), rule.get("operator"), number(rule.get("priority")), [f.text or "" for f in rule.iterfind(f"{MAIN}formula")], number(rule.get("dxfId")) if rule.get("dxfId") else None
+                told = (x.get("sqref"), rule.get("type"), rule.get("operator"), number(rule.get("priority")), [f.text or "" for f in rule.iterfind(f"{MAIN}formula")], number(rule.get("dxfId")) if rule.get("dxfId") else None)
+                maybe = lambda n, of, rule=rule: of(rule.get(n)) if rule.get(n) is not None else None
+                truth = lambda v: v in ("1", "true")
+                more = (maybe("stopIfTrue", truth), rule.get("text"), maybe("rank", number), maybe("percent", truth), maybe("bottom", truth), maybe("aboveAverage", truth), maybe("equalAverage", truth), maybe("stdDev", number), rule.get("timePeriod"))
+                yield (*where, *told, *more) if relation == "rules" else (*where, *told)
 
 
 def style_rows(package: Package, relation: str) -> Iterator[tuple]:
