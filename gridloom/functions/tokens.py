@@ -32,6 +32,11 @@ def json_literal(s: Column) -> Column:
     return F.when(s.rlike(r'["\\\x00-\x1F\x7F\u0085  ]'), special).otherwise(plain)
 
 
+def scalar(s: Column) -> Column:
+    """A value of compact XML: a JSON string if it has spaces, parentheses or quotes, or is empty."""
+    return F.when(s.rlike(r'^[^\s()"]+$'), s).otherwise(json_literal(s))
+
+
 def text_token(s: Column) -> Column:
     return F.when(s.rlike(QUOTED), json_literal(s)).otherwise(s)
 

@@ -25,15 +25,16 @@ SPAN = re.compile(r"([A-Z]{1,3})(\d+)(?::([A-Z]{1,3})(\d+))?(?:/(\d+))?")
 CHUNK = 1000  # lines of a running value's range
 
 
-def encoded(cells: DataFrame, encoding: str = "grid") -> DataFrame:
+def encoded(cells: DataFrame, encoding: str = "grid", choice: DataFrame | None = None) -> DataFrame:
     """(sheet, part, line_no, text) of all sheets in one encoding, or with "auto" of each sheet in the one that costs least.
 
-    "hybrid" has lines of blocks, ranges of one token that cost less so, and grid lines of all other cells.
+    "hybrid" has lines of blocks, ranges of one token that cost less so, and grid lines of all other cells. ``choice`` (sheet, encoding): what "auto" is to take, if
+    that is known.
     """
     if encoding == "auto":
         cells = written(cells.select("sheet", "row", "col", "token"), "cells")
-        choice = written(cover.costs(cells).select("sheet", F.col("encoding").alias("_encoding")), "choice")  # a row a sheet
-        own = cells.join(F.broadcast(choice), "sheet")
+        choice = written(cover.costs(cells), "choice") if choice is None else choice
+        own = cells.join(F.broadcast(choice.select("sheet", F.col("encoding").alias("_encoding"))), "sheet")  # a row a sheet
         return reduce(DataFrame.unionByName, [encoded(own.where(F.col("_encoding") == e).drop("_encoding"), e) for e in ("grid", "index", "hybrid")])
     if encoding not in ("grid", "index", "hybrid"):
         raise ValueError(f"{encoding} isn't an encoding")

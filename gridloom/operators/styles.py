@@ -217,11 +217,6 @@ def style_map(cells: DataFrame) -> DataFrame:
     return lines.select("sheet", F.col("s")[0]["r0"].alias("first_row"), F.col("s")[0]["c0"].alias("first_col"), F.concat(F.array_join(F.transform("s", lambda x: x["text"]), ","), F.lit("=s"), "key").alias("line"))
 
 
-def _scalar(value: str) -> Column:
-    """``compact.scalar`` of a column."""
-    return F.when(F.col(value).rlike(r'^[^\s()"]+$'), F.col(value)).otherwise(tokens.json_literal(F.col(value)))
-
-
 def style_table(formats: DataFrame, parts: DataFrame, used: DataFrame | None = None) -> DataFrame:
     """(place, line) of the styles ``used`` (style), or all, and of style 0: the parts they need, then the formats. s0 has every key, others only those that differ from it."""
     if used is not None:
@@ -233,9 +228,9 @@ def style_table(formats: DataFrame, parts: DataFrame, used: DataFrame | None = N
     lines = parts.join(need, ["kind", "id"]).select(F.struct(order.alias("kind"), F.col("id").cast("long").alias("id")).alias("place"), F.concat("kind", F.lit(" "), mark, F.col("id").cast("string"), F.lit(":"), F.when(F.col("text") != "", F.concat(F.lit(" "), "text")).otherwise("")).alias("line"))
     base = formats.where("style = 0").select(*[F.col(c).alias(f"_{c}") for c in (*PARTS, *VALUES)])
     shown = {
-        **{k: F.concat(F.lit(f"{k}={PREFIX[k]}"), F.col(k).cast("string")) for k in PARTS}, "num_fmt": F.concat(F.lit("numFmt="), _scalar("num_fmt")),
+        **{k: F.concat(F.lit(f"{k}={PREFIX[k]}"), F.col(k).cast("string")) for k in PARTS}, "num_fmt": F.concat(F.lit("numFmt="), tokens.scalar(F.col("num_fmt"))),
         **{k: F.when(F.col(k).isNull() | (F.col(k) == ""), k).otherwise(F.concat(F.lit(f"{k}("), F.col(k), F.lit(")"))) for k in ("alignment", "protection")},
-        "quote_prefix": F.concat(F.lit("quotePrefix="), F.col("quote_prefix").cast("int")), "pivot_button": F.concat(F.lit("pivotButton="), F.col("pivot_button").cast("int")), "name": F.concat(F.lit("style="), _scalar("name")),
+        "quote_prefix": F.concat(F.lit("quotePrefix="), F.col("quote_prefix").cast("int")), "pivot_button": F.concat(F.lit("pivotButton="), F.col("pivot_button").cast("int")), "name": F.concat(F.lit("style="), tokens.scalar(F.col("name"))),
     }
     first = lambda k: F.col(k) if k in ("quote_prefix", "pivot_button") else F.lit(True)
     items = F.array(*[F.when(F.when(F.col("style") == 0, first(k)).otherwise(~F.col(k).eqNullSafe(F.col(f"_{k}"))), text) for k, text in shown.items()])

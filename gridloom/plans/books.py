@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
-from gridloom.operators import formulas, overlaps, rules, styles
+from gridloom.operators import formulas, overlaps, rules, sections, styles
 from gridloom.plans.catalog import table
 from gridloom.sources import workbook
 from gridloom.sources.scratch import new_path, written
@@ -355,3 +355,41 @@ def range_validations(spark, sf_dir):
     size = of.selectExpr("k AS validation", "'Sheet1' AS sheet", "concat('A', a, ':A', z) AS ranges", "case k % 3 when 0 then 'whole' when 1 then 'textLength' else 'list' end AS type", "if(k % 3 = 1, 'notEqual', 'between') AS operator", "case k % 3 when 0 then string(low + 5) when 1 then '1' else '\"7, 12,30\"' end AS formula1", "string(low + 12) AS formula2", "true AS allow_blank")
     types = of.selectExpr("1000 + k", "'Sheet1'", "concat('B', a, ':B', z)", "'list'", "string(null)", "'=$B$1:$B$9'", "string(null)", "true")
     return rules.validated(part_sheet(spark, sf_dir), size.union(types)).select("row", "col", "validation", "valid")
+
+
+# documents of whole workbooks
+
+
+def region_book(spark: SparkSession, sf_dir: str) -> str:
+    """A workbook with a sheet of customers for each region, notes on some of them and settings of rows."""
+    of = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    who = written(table(spark, sf_dir, "customer").join(of, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("r_name AS sheet", "int(c_custkey + 1) AS row", "*"), "customers")
+    each = F.array(*[F.struct(F.lit(i).alias("col"), F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for i, (c, k) in enumerate((("c_name", "text"), ("c_mktsegment", "text"), ("c_nationkey", "number")), 1)])
+    return saved(
+        who.select("sheet", "row", F.explode(each).alias("c")).select("sheet", "row", "c.*"),
+        comments=who.where("c_custkey % 3 = 0").selectExpr("sheet", "row", "1 AS col", "c_mktsegment AS author", "concat('nation ', c_nationkey, chr(10), '\"', c_name, '\"') AS text"),
+        row_dims=who.where("c_nationkey % 2 = 0").selectExpr("sheet", "row", "double(10 + c_nationkey) AS height", "c_nationkey > 20 AS hidden", "0 AS outline"),
+    )
+
+
+_REGIONS = "WITH w AS (SELECT r_name AS sheet, CAST(c_custkey + 1 AS INTEGER) AS row, c.* FROM customer c JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) "
+
+
+@query(_REGIONS + "SELECT sheet, row, 1 AS col, c_name AS token FROM w UNION ALL SELECT sheet, row, 2, c_mktsegment FROM w UNION ALL SELECT sheet, row, 3, CAST(c_nationkey AS VARCHAR) FROM w")
+def document_text(spark, sf_dir):
+    """A workbook as a document in text files, each sheet in the encoding that costs least, and its values read back."""
+    path = new_path(spark, "document")
+    sections.save_text(sections.encoded(sections.opened(spark, region_book(spark, sf_dir)), "regions"), path)
+    return sections.decoded(sections.load_text(spark, path))["values"].select("sheet", "row", "col", "token")
+
+
+@query(_REGIONS + """SELECT sheet, row, 'comment' AS what, c_mktsegment || ': nation ' || c_nationkey || chr(10) || '"' || c_name || '"' AS told FROM w WHERE c_custkey % 3 = 0
+UNION ALL SELECT sheet, row, 'height', CAST(CAST(10 + c_nationkey AS DOUBLE) AS VARCHAR) || CASE WHEN c_nationkey > 20 THEN ' hidden' ELSE '' END FROM w WHERE c_nationkey % 2 = 0""")
+def document_json(spark, sf_dir):
+    """The metadata of a workbook as a document in JSON, read back."""
+    path = new_path(spark, "document")
+    sections.save_json(sections.encoded(sections.opened(spark, region_book(spark, sf_dir)), "regions", include=["comments", "dimensions", "workbook"]), path)
+    got = sections.decoded(sections.load_json(spark, path))
+    notes = got["comments"].select("sheet", "row", F.lit("comment").alias("what"), F.concat("author", F.lit(": "), "text").alias("told"))
+    heights = got["row_dims"].select("sheet", "row", F.lit("height").alias("what"), F.concat(F.col("height").cast("string"), F.when(F.col("hidden"), " hidden").otherwise("")).alias("told"))
+    return notes.union(heights)
