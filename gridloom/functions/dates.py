@@ -80,3 +80,30 @@ def is_date_format(fmt: Column) -> Column:
 
 def is_duration_format(fmt: Column) -> Column:
     return F.coalesce(F.lower(_bare(fmt)).rlike(r"\[(h+|m+|s+)\]"), F.lit(False))
+
+
+def iso_text(ts: Column) -> Column:
+    """ISO 8601 of a timestamp, to whole milliseconds where it has a fraction; the rest is cut off."""
+    us = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(us != 0, F.concat(F.lit("."), F.lpad(F.floor(us / 1000).cast("string"), 3, "0"))).otherwise(""))
+
+
+def days_to_time(v: Column) -> Column:
+    """Microseconds since midnight of a part of days, whole days left out."""
+    return F.pmod(F.bround(v * DAY_US).cast("long"), F.lit(DAY_US).cast("long"))
+
+
+def civil_from_days(days: Column) -> Column:
+    """struct(year, month, day) of days since 1970."""
+    d = F.date_from_unix_date(days.cast("int"))
+    return F.struct(F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"))
+
+
+def days_from_civil(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970; null if there is no such day."""
+    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    return F.unix_date(text.try_cast("date")).cast("long")
+
+
+#: The number format that a new cell of a type gets. Fixed values.
+DEFAULT_FORMATS = {"timestamp": "yyyy-mm-dd h:mm:ss", "timestamp_ntz": "yyyy-mm-dd h:mm:ss", "date": "yyyy-mm-dd", "time": "h:mm:ss", "interval day to second": "[hh]:mm:ss"}

@@ -127,3 +127,37 @@ def token_cost(s: Column) -> Column:
     punctuation = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x00-\x1F\x7F])\1*"
     out = share("[A-Za-z]+", 6) + share("[0-9]+", 3) + share(r"(?<! )(?: {2,}| (?![A-Za-z0-9]))", 4) + share(punctuation, 4)
     return out + count(r"[\x{800}-\x{10FFFF}]") + count(r"(?<![A-Za-z])[\x{80}-\x{7FF}]")
+
+
+@F.pandas_udf(T.StringType())
+def _number_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda v: f"{v:.16g}" if math.isfinite(v) else "")
+
+
+def number_text(v: Column) -> Column:
+    """A number with at most 16 digits, as it is written into cells; empty for what isn't finite."""
+    return F.when(v.isNotNull(), _number_text(v.cast("double")))
+
+
+def token_value(t: Column) -> Column:
+    """struct(kind, number, text, us) of a token: numbers, and 1 or 0 of truth values; texts and errors; microseconds of dates (since 1970), times and durations."""
+    quoted = F.from_json(F.concat(F.lit('{"v":'), F.when(t.startswith("@err:"), F.substr(t, F.lit(6))).otherwise(t), F.lit("}")), "v string")["v"]
+    payload = F.regexp_replace(t, "^@[a-z]+:", "")
+    part = lambda p, i: F.coalesce(F.regexp_extract(payload, p, i).try_cast("long"), F.lit(0))
+    span = r"^(-?)(\d+):(\d\d):(\d\d)(?:\.(\d{1,6}))?$"
+    fraction = F.coalesce(F.rpad(F.regexp_extract(payload, span, 5), 6, "0").try_cast("long"), F.lit(0))
+    duration = F.when(payload.startswith("-"), -1).otherwise(1) * ((part(span, 2) * 3600 + part(span, 3) * 60 + part(span, 4)) * 1_000_000 + fraction)
+    day = F.unix_date(F.regexp_extract(payload, r"^\d{4}-\d{2}-\d{2}", 0).try_cast("date")).cast("long") * 86_400_000_000
+    moment = F.coalesce(day, F.lit(0)) + _clock(F.regexp_extract(payload, r"(\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$", 1))
+    kind = token_kind(t)
+    number = F.when(t.startswith("@float:"), payload.try_cast("double")).when(t.isin("TRUE", "FALSE"), (t == "TRUE").cast("double")).otherwise(F.when(kind == "number", t.try_cast("double")))
+    text = F.when(t.startswith('"') | t.startswith("@err:"), quoted).otherwise(F.when(kind.isin("text", "error"), t))
+    us = F.when(kind == "date", F.when(t.startswith("@td:"), duration).otherwise(moment))
+    return F.struct(kind.alias("kind"), number.alias("number"), text.alias("text"), us.cast("long").alias("us"))
+
+
+def _clock(s: Column) -> Column:
+    part = F.split(s, "[:.]")
+    at = lambda i: F.coalesce(F.get(part, i).try_cast("long"), F.lit(0))
+    return (at(0) * 3600 + at(1) * 60 + at(2)) * 1_000_000 + F.coalesce(F.rpad(F.get(part, 3), 6, "0").try_cast("long"), F.lit(0))

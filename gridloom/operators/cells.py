@@ -13,10 +13,10 @@ from gridloom.functions import coords, tokens
 from gridloom.sources.scratch import written
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row", first: int = 1) -> DataFrame:
-    """``df`` with its place in the order of ``order``, from ``first``; ties are placed by all other columns."""
-    keys = [*order, *(c for c in df.columns if c not in order)]
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*keys)
+def numbered(df: DataFrame, order: list[str | Column], name: str = "row", first: int = 1) -> DataFrame:
+    """``df`` with its place in the order of ``order``, from ``first``; ties are placed by all other columns. Sort columns such as ``F.desc("a")`` may be keys."""
+    keys = [*order, *(c for c in df.columns if c not in [o for o in order if isinstance(o, str)])]
+    ranged = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*keys)
     held = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
     counts = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
@@ -111,6 +111,24 @@ def without_hidden(cells: DataFrame, hidden: DataFrame, line: str = "row") -> Da
     return cells.join(lines, line, "left_anti")
 
 
+def hidden_rows(cells: DataFrame, row_dims: DataFrame, sheet_formats: DataFrame | None = None) -> DataFrame:
+    """(sheet, row) of rows with cells that are hidden: by their own settings, or, in sheets of ``sheet_formats`` (sheet, zero_height), by default unless they have settings."""
+    rows = cells.select("sheet", "row").distinct()
+    out = rows.join(row_dims.select("sheet", "row", F.coalesce("hidden", F.lit(False)).alias("_own")), ["sheet", "row"], "left")
+    if sheet_formats is None:
+        return out.where("_own").select("sheet", "row")
+    zero = sheet_formats.select("sheet", F.coalesce("zero_height", F.lit(False)).alias("_zero"))  # a row a sheet
+    return out.join(F.broadcast(zero), "sheet", "left").where(F.coalesce("_own", "_zero", F.lit(False))).select("sheet", "row")
+
+
+def linked(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col, value) with ``link``: links (sheet, r0, c0, r1, c1, target, location) hold for all cells of their range, of several the one that sorts first. A cell
+    that isn't there, or has no value, takes the link as its value."""
+    each = links.select("sheet", F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1", F.coalesce("target", F.concat(F.lit("#"), "location")).alias("link"))
+    each = each.select("sheet", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "link").groupBy("sheet", "row", "col").agg(F.min("link").alias("link"))
+    return cells.select("sheet", "row", "col", "value").join(each, ["sheet", "row", "col"], "full").select("sheet", "row", "col", F.coalesce("value", "link").alias("value"), "link")
+
+
 def dense(cells: DataFrame, r0: int, c0: int, r1: int, c1: int) -> DataFrame:
     """Every position of a window, with a null token where no cell is. Rows are dealt over tasks before columns are added."""
     width = F.explode(F.sequence(F.lit(c0), F.lit(c1))).alias("col")
@@ -131,9 +149,11 @@ def columns(cells: DataFrame, r0: int, c0: int, r1: int, c1: int, block_rows: in
     return dense(cells, r0, c0, r1, c1).groupBy("col", block).agg(F.transform(packed, lambda x: x["token"]).alias("tokens"))
 
 
-def bounds(cells: DataFrame) -> DataFrame:
-    """(sheet, r0, c0, r1, c1, dimension) of each sheet."""
+def bounds(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """(sheet, r0, c0, r1, c1, dimension) of each sheet with cells, and of each of ``sheets`` (sheet): those without cells are A1:A1."""
     out = cells.groupBy("sheet").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
+    if sheets is not None:
+        out = sheets.select("sheet").distinct().join(out, "sheet", "left").na.fill(1, ["r0", "c0", "r1", "c1"])
     return out.withColumn("dimension", F.concat(coords.coordinate(F.col("r0"), F.col("c0")), F.lit(":"), coords.coordinate(F.col("r1"), F.col("c1"))))
 
 

@@ -183,8 +183,8 @@ def residual(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return left.select("sheet", "row", F.explode(F.sequence("c0", "c1")).alias("col"), "token")
 
 
-def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int = 3) -> DataFrame:
-    """(sheet, grid, index, hybrid, encoding): estimated tokens of the three text forms, and the one to choose."""
+def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int = 3, spans: DataFrame | None = None) -> DataFrame:
+    """(sheet, grid, index, hybrid, encoding): estimated tokens of the three text forms, and the one to choose. ``spans``: those of the cells, if they are known."""
     cost = tokens.token_cost
     cells = written(cells.select("sheet", "row", "col", "token"), "cells")  # three plans read them
     marked = written(dittos(cells, anchor), "marked").withColumn("c", F.when(F.col("ditto"), F.lit(1).cast("long")).otherwise(cost(F.col("token")))).withColumn("f", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
@@ -196,7 +196,7 @@ def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int
     cell = F.when(F.col("at") == 1, F.col("c") + 1 + gap).when(F.col("at") == 2, F.col("c") + 1).when(F.col("at") == 3, -2 * F.col("c")).otherwise(0)
     label = F.when(F.col("labelled"), cost(F.col("row").cast("string")) + 1).otherwise(0)
     grid = marked.groupBy("sheet", "row", "labelled").agg(F.sum(cell).alias("cells")).withColumn("g", F.col("cells") + 1 + label).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
-    spans = strides(rectangles(cells)).withColumn("text", span_text()).withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
+    spans = (strides(rectangles(cells)) if spans is None else spans).withColumn("text", span_text()).withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
     spans = written(spans.drop("text"), "spans")
     index = spans.groupBy("sheet", "token").agg(F.sum(F.col("text_cost") + 1).alias("t"), F.first("c").alias("c")).groupBy("sheet").agg(F.sum(F.col("t") + F.col("c") + 1).cast("long").alias("index"))
     chosen = block_gains(spans, anchor, min_block_rows).groupBy("sheet").agg(F.sum("gain").alias("gain"), F.count("*").alias("blocks"))

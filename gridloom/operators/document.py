@@ -25,24 +25,27 @@ SPAN = re.compile(r"([A-Z]{1,3})(\d+)(?::([A-Z]{1,3})(\d+))?(?:/(\d+))?")
 CHUNK = 1000  # lines of a running value's range
 
 
-def encoded(cells: DataFrame, encoding: str = "grid", choice: DataFrame | None = None) -> DataFrame:
+def encoded(cells: DataFrame, encoding: str = "grid", choice: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
     """(sheet, part, line_no, text) of all sheets in one encoding, or with "auto" of each sheet in the one that costs least.
 
-    "hybrid" has lines of blocks, ranges of one token that cost less so, and grid lines of all other cells. ``choice`` (sheet, encoding): what "auto" is to take, if
-    that is known.
+    "hybrid" has lines of blocks, ranges of one token that cost less so, and grid lines of all other cells. What is known of the cells need not be found again:
+    ``choice`` (sheet, encoding) for "auto", and their ``spans`` (``cover.strides(cover.rectangles(cells))``).
     """
+    if encoding not in ("auto", "grid", "index", "hybrid"):
+        raise ValueError(f"{encoding} isn't an encoding")
+    if encoding != "grid" and spans is None:
+        spans = written(cover.strides(cover.rectangles(cells)), "spans")
     if encoding == "auto":
         cells = written(cells.select("sheet", "row", "col", "token"), "cells")
-        choice = written(cover.costs(cells), "choice") if choice is None else choice
-        own = cells.join(F.broadcast(choice.select("sheet", F.col("encoding").alias("_encoding"))), "sheet")  # a row a sheet
-        return reduce(DataFrame.unionByName, [encoded(own.where(F.col("_encoding") == e).drop("_encoding"), e) for e in ("grid", "index", "hybrid")])
-    if encoding not in ("grid", "index", "hybrid"):
-        raise ValueError(f"{encoding} isn't an encoding")
+        choice = written(cover.costs(cells, spans=spans), "choice") if choice is None else choice
+        chosen = F.broadcast(choice.select("sheet", F.col("encoding").alias("_encoding")))  # a row a sheet
+        used = {r[0] for r in choice.select("encoding").distinct().collect()}  # three at most
+        of = lambda df, e: df.join(chosen, "sheet").where(F.col("_encoding") == e).drop("_encoding")
+        return reduce(DataFrame.unionByName, [encoded(of(cells, e), e, spans=of(spans, e)) for e in ("grid", "index", "hybrid") if e in used or e == "grid"])
     start = cells.groupBy("sheet").agg(F.min("col").alias("start"))
     head = start.select("sheet", F.lit("start").alias("part"), F.lit(0).alias("line_no"), coords.column_letters(F.col("start")).alias("text"))
     if encoding == "grid":
         return head.unionByName(_grid(cells, start))
-    spans = cover.strides(cover.rectangles(cells))
     if encoding == "index":
         return _index(cover.index_lines(spans), "index")
     spans = written(cover.block_gains(spans), "blocks")

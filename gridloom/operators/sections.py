@@ -127,25 +127,27 @@ def encoded(book: dict[str, DataFrame], source: str = "", include: str | list[st
         heads.append((0, 2, -1, 0, "## styles"))
         table = styles.style_table(book["cell_styles"], book["style_parts"], cells)
         lines.append(table.select(F.lit(0).alias("sheet_no"), F.lit(2).alias("section"), F.col("place.kind").cast("bigint").alias("a"), F.col("place.id").cast("bigint").alias("b"), F.col("line").alias("text")))
-        mapped = styles.style_map(cells)
-        both(mapped, "styles", F.col("first_row"), F.col("first_col"), F.col("line"))
+        if not cells.where("style > 0").isEmpty():
+            both(styles.style_map(cells), "styles", F.col("first_row"), F.col("first_col"), F.col("line"))
     box = cells.groupBy("sheet_no").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
     of = F.when(F.col("r0").isNull(), "A1:A1").otherwise(coords.range_text(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")))
     title = numbers.join(box, "sheet_no", "left").select("sheet_no", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.concat(F.lit("## sheet "), F.col("sheet_no").cast("string"), F.lit(" "), tokens.json_literal(F.col("sheet")), F.lit(" dim="), of).alias("text"))
     lines.append(title)
-    choice = written(cover.costs(valued), "costs") if "analysis" in names or encoding == "auto" else None
+    measured = "analysis" in names or "values" in names and encoding == "auto"
+    spans = written(cover.strides(cover.rectangles(valued)), "spans") if measured or "values" in names and encoding != "grid" else None
+    choice = written(cover.costs(valued, spans=spans), "costs") if measured else None
     if "analysis" in names:
         facts = analysis(cells, valued, choice)
         both(facts, "analysis", F.lit(0), F.lit(0), F.col("text"))
     if "values" in names:
-        doc = written(document.encoded(valued, encoding, choice), "values")
+        doc = written(document.encoded(valued, encoding, choice, spans), "values")
         start = doc.where("part = 'start'").select("sheet", F.col("text").alias("_start"))
         forms = doc.groupBy("sheet").agg(F.max(F.col("part") == "grid").alias("g"), F.max(F.col("part") == "block").alias("k"), F.max(F.col("part") == "index").alias("i"))
         form = F.when(F.col("i"), "index").when(F.col("k"), "hybrid").otherwise("grid")
         headed(forms.join(start, "sheet", "left").withColumn("text", F.concat(F.lit("### values "), form, F.coalesce(F.concat(F.lit(" start="), "_start"), F.lit("")))), "values", F.col("text"))
         body = doc.where("part != 'start'")
         add(body, "values", F.when(F.col("part") == "grid", 1).otherwise(0), F.col("line_no"), F.col("text"))
-    if "formulas" in names:
+    if "formulas" in names and not cells.where("formula is not null").isEmpty():
         both(formulas.lines(cells), "formulas", F.col("first_row"), F.col("first_col"), F.col("line"))
     area = coords.range_text(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))
     if "merged" in names:

@@ -286,10 +286,10 @@ def index_decode_roundtrip(spark, sf_dir):
 # scalar functions
 
 
-@query("""WITH n AS (SELECT CAST(range AS INTEGER) AS c FROM range(1, 18279)) SELECT c, CASE WHEN c <= 26 THEN chr(64 + c) WHEN c <= 702 THEN chr(65 + (c - 27) // 26) || chr(65 + (c - 27) % 26)
+@query("""WITH n AS (SELECT o_orderkey, CAST(1 + o_orderkey % 18278 AS INTEGER) AS c FROM orders) SELECT o_orderkey, c, CASE WHEN c <= 26 THEN chr(64 + c) WHEN c <= 702 THEN chr(65 + (c - 27) // 26) || chr(65 + (c - 27) % 26)
 ELSE chr(65 + (c - 703) // 676) || chr(65 + ((c - 703) // 26) % 26) || chr(65 + (c - 703) % 26) END AS letters, c AS back FROM n""")
 def column_letters(spark, sf_dir):
-    out = spark.range(1, 18279).select(F.col("id").cast("int").alias("c")).withColumn("letters", coords.column_letters(F.col("c")))
+    out = table(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 18278).cast("int").alias("c")).withColumn("letters", coords.column_letters(F.col("c")))
     return out.withColumn("back", coords.column_index(F.col("letters")))
 
 
@@ -314,9 +314,60 @@ def serial_round_trip(spark, sf_dir):
     return e.select("event_id", "us", F.expr("0L + bround((whole - 25569) * 86400000)").cast("long").alias("back_ms"))
 
 
-@query("SELECT CAST(range AS INTEGER) AS serial, CAST(epoch_us(TIMESTAMP '1899-12-30' + to_days(CAST(range AS INTEGER) + CASE WHEN range > 0 AND range < 60 THEN 1 ELSE 0 END)) AS BIGINT) AS us FROM range(0, 50000)")
+@query("""SELECT o_orderkey, CAST(o_orderkey % 50000 AS INTEGER) AS serial, CAST(epoch_us(TIMESTAMP '1899-12-30' + to_days(CAST(o_orderkey % 50000 AS INTEGER) + CASE WHEN o_orderkey % 50000 > 0 AND o_orderkey % 50000 < 60 THEN 1 ELSE 0 END)) AS BIGINT) AS us,
+CAST(epoch_us(TIMESTAMP '1904-01-01' + to_days(CAST(o_orderkey % 50000 AS INTEGER))) AS BIGINT) AS us1904 FROM orders""")
 def serial_to_timestamp(spark, sf_dir):
-    return spark.range(0, 50000).select(F.col("id").cast("int").alias("serial"), dates.serial_micros(F.col("id").cast("double")).alias("us"))
+    """Serials of both epochs, with the day that the 1900 system has too many."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 50000).cast("int").alias("serial"))
+    return o.withColumns({"us": dates.serial_micros(F.col("serial").cast("double")), "us1904": dates.serial_micros(F.col("serial").cast("double"), True)})
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 // 1000 AS VARCHAR), 3, '0') ELSE '' END AS iso,
+CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS days, CAST(hour(ts) * 3600000000 + minute(ts) * 60000000 + epoch_us(ts) % 60000000 AS BIGINT) AS time_us FROM events""")
+def iso_and_civil_dates(spark, sf_dir):
+    """Timestamps as ISO text, as civil dates and back, and times of parts of days."""
+    ts, us = F.col("ts"), F.unix_micros(F.col("ts").cast("timestamp"))
+    civil = dates.civil_from_days(F.floor(us / 86_400_000_000))
+    out = table(spark, sf_dir, "events").select("event_id", dates.iso_text(ts).alias("iso"), civil.alias("c"), dates.days_to_time(F.pmod(us, F.lit(86_400_000_000)) / 86_400_000_000).alias("time_us"))
+    return out.select("event_id", "iso", "c.year", "c.month", "c.day", dates.days_from_civil(F.col("c.year"), F.col("c.month"), F.col("c.day")).alias("days"), "time_us")
+
+
+@query("""SELECT p_partkey, 'number' AS kind, CAST(p_partkey AS DOUBLE) AS number, '-' AS text, CAST(p_retailprice AS VARCHAR) AS written FROM part UNION ALL SELECT p_partkey, 'text', -1.0, p_type, printf('%.16g', p_retailprice / 8.0) FROM part""")
+def token_values(spark, sf_dir):
+    """Tokens read back as typed values, and numbers as they are written into cells."""
+    p = table(spark, sf_dir, "part")
+    key = p.select("p_partkey", tokens.token_value(tokens.token(F.col("p_partkey"), "bigint")).alias("v"), tokens.token(F.col("p_retailprice"), "double").alias("written"))
+    kind = p.select("p_partkey", tokens.token_value(tokens.token(F.col("p_type"), "string")).alias("v"), tokens.number_text(F.col("p_retailprice") / 8).alias("written"))
+    return key.union(kind).select("p_partkey", "v.kind", F.coalesce("v.number", F.lit(-1.0)).alias("number"), F.coalesce("v.text", F.lit("-")).alias("text"), "written")
+
+
+@query("""SELECT n_name AS sheet, CASE WHEN count(c_custkey) = 0 THEN 'A1:A1' ELSE 'A' || min(c_custkey + 1) || ':B' || max(c_custkey + 1) END AS dimension FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_name""")
+def bounds_of_all_sheets(spark, sf_dir):
+    """Bounding boxes of sheets, some without cells."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sheet"))
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return C.bounds(rich.select("sheet", (F.col("c_custkey") + 1).cast("int").alias("row"), F.explode(F.array(F.lit(1), F.lit(2))).alias("col")), nations).select("sheet", "dimension")
+
+
+@query("""WITH l AS (SELECT CAST(s_suppkey + 1 AS INTEGER) AS r0, CAST(s_suppkey + 1 + s_nationkey % 3 AS INTEGER) AS r1, 'https://example.org/' || s_suppkey AS link FROM supplier),
+x AS (SELECT CAST(unnest(range(r0, r1 + 1)) AS INTEGER) AS row, link FROM l), y AS (SELECT row, c AS col, min(link) AS link FROM x, (SELECT unnest([1, 2]) AS c) GROUP BY ALL),
+s AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS row, 2 AS col, p_name AS value FROM part)
+SELECT coalesce(s.row, y.row) AS row, coalesce(s.col, y.col) AS col, coalesce(value, link) AS value, coalesce(link, '-') AS link FROM s FULL JOIN y ON s.row = y.row AND s.col = y.col""")
+def linked_cells(spark, sf_dir):
+    """Links over ranges, given to each of their cells; cells without a value take the link."""
+    links = table(spark, sf_dir, "supplier").selectExpr("'Sheet1' AS sheet", "int(s_suppkey + 1) AS r0", "1 AS c0", "int(s_suppkey + 1 + s_nationkey % 3) AS r1", "2 AS c1", "'https://example.org/' || s_suppkey AS target", "string(null) AS location")
+    cells = C.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_partkey"]).select(F.lit("Sheet1").alias("sheet"), "row", F.lit(2).alias("col"), F.col("p_name").alias("value"))
+    return C.linked(cells, links).select("row", "col", "value", F.coalesce("link", F.lit("-")).alias("link"))
+
+
+@query("""WITH r AS (SELECT n_name AS sheet, n_regionkey % 2 = 1 AS zero, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT sheet, CAST(c_custkey + 1 AS INTEGER) AS row FROM r WHERE CASE WHEN c_custkey % 3 = 0 THEN c_acctbal < 0 ELSE zero END""")
+def hidden_by_default(spark, sf_dir):
+    """Rows hidden by their settings, or by the default of their sheet if they have none."""
+    nations = table(spark, sf_dir, "nation")
+    who = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("sheet"), (F.col("c_custkey") + 1).cast("int").alias("row"), "c_custkey", "c_acctbal")
+    own = who.where("c_custkey % 3 = 0").select("sheet", "row", (F.col("c_acctbal") < 0).alias("hidden"))
+    return C.hidden_rows(who, own, nations.select(F.col("n_name").alias("sheet"), (F.col("n_regionkey") % 2 == 1).alias("zero_height")))
 
 
 @query("SELECT event_id, 'datetime' AS kind, CAST(epoch_us(ts) AS BIGINT) AS us FROM events")
@@ -501,8 +552,7 @@ def bottom_percent(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderstatus, o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders")
 def sort_custom_list(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    keyed = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("at"), "o_orderstatus", (-F.col("o_totalprice")).alias("price"))
-    return C.numbered(keyed.select("at", "o_orderstatus", "price", "o_orderkey"), ["at", "o_orderstatus", "price", "o_orderkey"], "place").select("o_orderkey", "place")
+    return C.numbered(o, [*filters.sort_keys([("o_orderstatus", False, ["P", "O"]), ("o_totalprice", True, None)]), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 
 
 @query("SELECT CAST(count(*) FILTER (l_quantity BETWEEN 1 AND 30 AND l_quantity = floor(l_quantity)) AS BIGINT) AS whole, CAST(count(*) FILTER (l_shipdate >= DATE '2024-03-01') AS BIGINT) AS late, CAST(count(*) FILTER (l_returnflag IN ('A', 'R')) AS BIGINT) AS listed FROM lineitem")
