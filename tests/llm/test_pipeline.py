@@ -69,5 +69,5 @@ def test_run_gives_the_last_stage(stages):
 
 
 def test_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py" and len(corpus_pipeline.STAGES) == 5
