@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
-from gridloom.operators import formulas, overlaps, rules, sections, styles
+from gridloom.operators import formulas, overlaps, pivot, rules, sections, styles
 from gridloom.plans.catalog import table
-from gridloom.sources import workbook
+from gridloom.sources import pivots, workbook
 from gridloom.sources.scratch import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +393,41 @@ def document_json(spark, sf_dir):
     notes = got["comments"].select("sheet", "row", F.lit("comment").alias("what"), F.concat("author", F.lit(": "), "text").alias("told"))
     heights = got["row_dims"].select("sheet", "row", F.lit("height").alias("what"), F.concat(F.col("height").cast("string"), F.when(F.col("hidden"), " hidden").otherwise("")).alias("told"))
     return notes.union(heights)
+
+
+# pivot caches, and filters of their items
+
+
+def order_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a cache of orders, written into a workbook and read back."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate", "o_custkey")
+    path = saved(first_cell(spark), pivot_cache=orders, pivot_order=["o_orderkey"], pivot_source=("S", "A1:F9"))
+    found = pivots.records(spark, path)
+    fields = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate", "o_custkey"]
+    return found.groupBy("record").pivot("name", fields).agg(F.first("value"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS record, o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice ELSE -1.0 END AS o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate FROM orders""")
+def pivot_cache_records(spark, sf_dir):
+    found = order_cache(spark, sf_dir)
+    return found.select("record", F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "o_orderpriority", F.coalesce(F.col("o_totalprice").cast("double"), F.lit(-1.0)).alias("o_totalprice"), "o_orderdate")
+
+
+@query("""WITH a AS (SELECT o_custkey AS item, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS total FROM a),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY n DESC, item) AS place, coalesce(sum(n) OVER (ORDER BY n, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM a)
+SELECT 'count' AS filter, CAST(item AS BIGINT) AS item, CAST(n AS BIGINT) AS n FROM r WHERE place <= 25 UNION ALL SELECT 'percent', item, n FROM r, t WHERE before < total * 30 / 100.0 UNION ALL SELECT 'sum', item, n FROM r WHERE below < 90
+UNION ALL SELECT 'caption', item, n FROM r WHERE contains(CAST(item AS VARCHAR), '12') UNION ALL SELECT 'value', item, n FROM r WHERE n NOT BETWEEN 5 AND 15""")
+def pivot_filters(spark, sf_dir):
+    """Items of a cache after aggregation: the largest by number, by share and by sum, by caption and by value."""
+    items = written(order_cache(spark, sf_dir).groupBy(F.col("o_custkey").cast("long").alias("item")).agg(F.count("*").alias("n")), "items")
+    of = lambda name, *args, **more: pivot.filtered(items, *args, **more).select(F.lit(name).alias("filter"), "item", "n")
+    kept = of("count", "count", "item", "n", 25).union(of("percent", "percent", "item", "n", 30)).union(of("sum", "sum", "item", "n", 90, bottom=True))
+    return kept.union(of("caption", "captionContains", "item", None, "12")).union(of("value", "valueNotBetween", "item", "n", 5, 15))
+
+
+@query("""WITH a AS (SELECT o_custkey AS item, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS price FROM orders GROUP BY 1)
+SELECT item, CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, item) AS INTEGER) AS place FROM a""")
+def pivot_sort(spark, sf_dir):
+    """Customers by what one column of a pivot says of them: the sum of finished orders."""
+    items = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("decimal(18,2)"))).alias("price"))
+    return pivot.arranged(items, "item", "price", descending=True).select("item", "place")

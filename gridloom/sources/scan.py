@@ -320,20 +320,30 @@ def row_settings(piece: Piece) -> Iterator[tuple[int, dict[str, str]]]:
 
 def string_pieces(stream: io.BufferedIOBase, size: int = 2 << 20) -> Iterator[tuple[int, bytes]]:
     """(number of the first string, a document of some strings) of a part of shared strings."""
+    return element_pieces(stream, b"sst", b"si", size)
+
+
+def element_pieces(stream: io.BufferedIOBase, root: bytes, element: bytes, size: int = 2 << 20) -> Iterator[tuple[int, bytes]]:
+    """(number of the first element, a document of some elements) of a part that is a list of them."""
     held, n, mark = bytearray(), 0, None
+    begins = re.compile(rb"<" + element + rb"[\s/>]")
     for data in utf8_stream(stream):
         held += data
-        if mark is None and (found := re.search(rb"<sst\b[^>]*>", held)):
+        if mark is None and (found := re.search(rb"<" + root + rb"\b[^>]*>", held)):
             mark = found[0]
             del held[: found.end()]
         while mark and not mark.endswith(b"/>") and len(held) > size:
-            at = held.rfind(b"<si", 1, size)
-            at = at if at > 0 else held.find(b"<si", max(1, size - 2))
+            at = held.rfind(b"<" + element, 1, size)
+            while at > 0 and not begins.match(held, at):
+                at = held.rfind(b"<" + element, 1, at)
+            if at <= 0:
+                later = begins.search(held, max(1, size - len(element)))
+                at = later.start() if later else -1
             if at < 0:
                 break
             piece = bytes(held[:at])
-            yield n, mark + piece + b"</sst>"
-            n += len(re.findall(rb"<si[\s/>]", piece))
+            yield n, mark + piece + b"</" + root + b">"
+            n += len(begins.findall(piece))
             del held[:at]
     if mark is None and held.strip():  # names with prefixes
         yield 0, bytes(held)

@@ -330,12 +330,13 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def save(
     cells_: DataFrame, path: str, *, sheets: list[str] | None = None, states: dict[str, str] | None = None, merged: DataFrame | None = None, hyperlinks: DataFrame | None = None, comments: DataFrame | None = None,
     row_dims: DataFrame | None = None, col_dims: DataFrame | None = None, validations: DataFrame | None = None, cond_formats: DataFrame | None = None, tables: DataFrame | None = None,
-    defined_names: DataFrame | None = None, properties: DataFrame | None = None, styles: str | None = None, date1904: bool = False, overwrite: bool = False,
+    defined_names: DataFrame | None = None, properties: DataFrame | None = None, styles: str | None = None, pivot_cache: DataFrame | None = None, pivot_order: list[str] | None = None,
+    pivot_source: tuple[str, str] | None = None, date1904: bool = False, overwrite: bool = False,
 ) -> int:
     """Write a workbook, and return its bytes. All relations are in the columns of ``xlsx.SCHEMAS`` without the file; see ``cells_xml`` for cells.
 
     ``sheets`` gives the order of sheets, else they stand by name; cells of other sheets aren't allowed. Of cells with one address the one that sorts last by its XML
-    is written last. Rows of no sheet, row or column are refused. Driver-side is only what a workbook has few of: names of sheets and parts, defined names, properties.
+    is written last. ``pivot_cache`` are the records of a pivot cache, in the order of ``pivot_order``, of a source (sheet, range). Rows of no sheet, row or column are refused. Driver-side is only what a workbook has few of: names of sheets and parts, defined names, properties.
     """
     spark = cells_.sparkSession
     names = sheets or sorted(r[0] for r in cells_.select("sheet").distinct().collect()) or ["Sheet1"]
@@ -427,6 +428,13 @@ def save(
                 fixed.append((f"xl/tables/table{n}.xml", 0, None, None, f'{HEAD}<table xmlns="{scan.MAIN[1:-1]}" id="{n}" name={quoteattr(t["name"])} displayName={quoteattr(t["name"])} ref="{t["ref"]}"{totals}><tableColumns count="{len(t["columns"])}">{columns}</tableColumns></table>'))
                 fixed.append((f"xl/worksheets/_rels/sheet{i}.xml.rels", 3, n, None, f'<Relationship Id="table{n}" Type="{LINK}/table" Target="/xl/tables/table{n}.xml"/>'))
                 overrides.append((f"xl/tables/table{n}.xml", f"{KIND}.table+xml"))
+    if pivot_cache is not None:
+        from gridloom.sources import pivots
+
+        told, marks, kinds = pivots.cache_lines(pivot_cache, pivot_order or pivot_cache.columns, *(pivot_source or (names[0], "A1:A1")))
+        lines += told
+        fixed += marks
+        overrides += kinds
     for i in related:
         where = f"xl/worksheets/_rels/sheet{i}.xml.rels"
         fixed += [(where, 0, None, None, f'{HEAD}<Relationships xmlns="{OF}/relationships">'), (where, 4, None, None, "</Relationships>")]
@@ -469,10 +477,12 @@ def _assembler(path: str, overwrite: bool):
 
 def book_parts(names: list[str], states: dict[str, str], overrides: list[tuple[str, str]], defined_names: DataFrame | None, properties: DataFrame | None, styles: str, date1904: bool) -> dict[str, str]:
     """The parts of which a workbook has one each."""
+    pivoted = any("pivotCacheDefinition" in n for n, _ in overrides)
     sheets = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}"' + (f' state="{states[n]}"' if states.get(n, "visible") != "visible" else "") + f' r:id="rId{i}"/>' for i, n in enumerate(names, 1))
     kinds = [("xl/workbook.xml", f"{KIND}.sheet.main+xml"), ("xl/styles.xml", f"{KIND}.styles+xml"), ("docProps/core.xml", "application/vnd.openxmlformats-package.core-properties+xml")]
     kinds += [*((f"xl/worksheets/sheet{i}.xml", f"{KIND}.worksheet+xml") for i in range(1, len(names) + 1)), *overrides]
     links = "".join(f'<Relationship Id="rId{i}" Type="{LINK}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + f'<Relationship Id="rIdS" Type="{LINK}/styles" Target="styles.xml"/>'
+    links += f'<Relationship Id="rIdP" Type="{LINK}/pivotCacheDefinition" Target="pivotCache/pivotCacheDefinition1.xml"/>' if pivoted else ""
     told = ""
     if defined_names is not None:
         scope = {n: i for i, n in enumerate(names)}
@@ -487,7 +497,7 @@ def book_parts(names: list[str], states: dict[str, str], overrides: list[tuple[s
     custom = [(k, v) for k, v in given if k not in prefixes]
     parts = {
         "_rels/.rels": f'{HEAD}<Relationships xmlns="{OF}/relationships"><Relationship Id="rId1" Type="{LINK}/officeDocument" Target="xl/workbook.xml"/><Relationship Id="rId2" Type="{OF}/relationships/metadata/core-properties" Target="docProps/core.xml"/>' + (f'<Relationship Id="rId3" Type="{LINK}/custom-properties" Target="docProps/custom.xml"/>' if custom else "") + "</Relationships>",
-        "xl/workbook.xml": f'{HEAD}<workbook xmlns="{scan.MAIN[1:-1]}" xmlns:r="{LINK}"><workbookPr{" date1904=" + chr(34) + "1" + chr(34) if date1904 else ""}/><sheets>{sheets}</sheets>{told}</workbook>',
+        "xl/workbook.xml": f'{HEAD}<workbook xmlns="{scan.MAIN[1:-1]}" xmlns:r="{LINK}"><workbookPr{" date1904=" + chr(34) + "1" + chr(34) if date1904 else ""}/><sheets>{sheets}</sheets>{told}{'<pivotCaches><pivotCache cacheId="1" r:id="rIdP"/></pivotCaches>' if pivoted else ""}</workbook>',
         "xl/_rels/workbook.xml.rels": f'{HEAD}<Relationships xmlns="{OF}/relationships">{links}</Relationships>',
         "xl/styles.xml": styles,
         "docProps/core.xml": f'{HEAD}<cp:coreProperties xmlns:cp="{OF}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/">{core}</cp:coreProperties>',
