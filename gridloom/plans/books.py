@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates
 from gridloom.operators import cells as C
-from gridloom.operators import formulas, overlaps, pivot, rules, sections, styles
+from gridloom.operators import formulas, overlaps, pivot, rules, sections, selection, styles
 from gridloom.plans.catalog import table
 from gridloom.sources import pivots, workbook
 from gridloom.sources.scratch import new_path, written
@@ -431,3 +431,13 @@ def pivot_sort(spark, sf_dir):
     """Customers by what one column of a pivot says of them: the sum of finished orders."""
     items = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("decimal(18,2)"))).alias("price"))
     return pivot.arranged(items, "item", "price", descending=True).select("item", "place")
+
+
+@query(_REGIONS + """, c AS (SELECT sheet, row, 1 AS col, c_name AS value, c_nationkey FROM w UNION ALL SELECT sheet, row, 2, c_mktsegment, c_nationkey FROM w UNION ALL SELECT sheet, row, 3, CAST(c_nationkey AS VARCHAR), c_nationkey FROM w)
+SELECT sheet, row, col, value FROM c WHERE c_nationkey <> 22 AND c_nationkey <> 24 AND CASE sheet WHEN 'ASIA' THEN (row BETWEEN 5 AND 300 OR row >= 900) AND col <= 2 WHEN 'EUROPE' THEN col <> 2 AND ((row <= 700 AND col = 1) OR (row BETWEEN 200 AND 1000 AND col = 3)) WHEN 'AFRICA' THEN false ELSE col <> 2 END""")
+def selected_cells(spark, sf_dir):
+    """Rows, columns and ranges of some sheets of a workbook, without what is hidden."""
+    book = sections.opened(spark, region_book(spark, sf_dir))
+    names = [r["sheet"] for r in book["sheets"].select("sheet").collect()]
+    kept = selection.selected(book, sheets=[n for n in names if n != "AFRICA"], skip_hidden=True, rows={"ASIA": ["5:300", (900, 1_000_000)]}, columns={n: "A,C:D" if n != "ASIA" else "A:B" for n in names}, ranges={"EUROPE": ["A1:B700", "C200:C1000"]})
+    return kept["cells"].select("sheet", "row", "col", "value")
