@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from gridloom.functions import compact, coords, dates, tokens
 from gridloom.operators import cells as C
 from gridloom.operators import cover, dimensions, document, formulas, styles
-from gridloom.sources import workbook
+from gridloom.sources import workbook, xlsx
 from gridloom.sources.scratch import written
 
-NAMES = ("analysis", "values", "formulas", "styles", "merged", "hyperlinks", "comments", "dimensions", "validations", "conditional_formatting", "tables")
+NAMES = ("analysis", "values", "formulas", "styles", "merged", "hyperlinks", "comments", "dimensions", "validations", "conditional_formatting", "tables", "sheet")
 GROUPS = {"all": (*NAMES, "workbook"), "cells": ("values", "formulas", "styles"), "metadata": (*NAMES[4:], "workbook")}
 #: Relations that a document of a workbook is made of.
-RELATIONS = ("cells", "sheets", "merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "defined_names", "properties", "cell_styles", "style_parts")
+RELATIONS = ("cells", "sheets", "merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "defined_names", "properties", "cell_styles", "style_parts", "settings")
 LINES = "sheet_no int, section int, a bigint, b bigint, text string"
 CHUNK = 4096  # lines
 HEAD = "#gridloom/1"
@@ -62,6 +62,14 @@ def cell_tokens(cells: DataFrame) -> DataFrame:
     return cells.where("value is not null").select("sheet", "row", "col", token.alias("token"))
 
 
+def frozen(row: int, col: int) -> str:
+    """Text of ``sheetViews`` in which the rows above and the columns left of a cell stay in view."""
+    down, right = row - 1, col - 1
+    pane = "bottomRight" if down and right else "bottomLeft" if down else "topRight"
+    split = " ".join(f"{k}={n}" for k, n in (("xSplit", right), ("ySplit", down)) if n)
+    return f"sheetView(workbookViewId=0 pane({split} topLeftCell={coords.letters(col)}{row} activePane={pane} state=frozen))" if split else "sheetView(workbookViewId=0)"
+
+
 def item(name: str, *parts: Column) -> Column:
     """``name(a=1 b=2 "text")`` of attributes and texts, nulls left out."""
     return F.concat(F.lit(f"{name}("), F.array_join(F.array_compact(F.array(*parts)), " "), F.lit(")"))
@@ -92,7 +100,7 @@ def encoded(book: dict[str, DataFrame], source: str = "", include: str | list[st
         if s not in known:
             raise KeyError(s)
     numbers = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in all_sheets if sheets is None or r[0] in sheets], "sheet string, sheet_no int"))
-    own = {k: d.drop("sheet_no").join(numbers, "sheet") for k, d in book.items() if k in ("cells", "merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables")}
+    own = {k: d.drop("sheet_no").join(numbers, "sheet") for k, d in book.items() if k in ("cells", "merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "settings")}
     cells = written(own["cells"], "cells")
     valued = written(cell_tokens(cells), "tokens")
     lines: list[DataFrame] = []
@@ -177,6 +185,9 @@ def encoded(book: dict[str, DataFrame], source: str = "", include: str | list[st
     if "tables" in names:
         columns = F.array_join(F.transform("columns", lambda c: F.concat(F.lit("tableColumn(name="), tokens.scalar(c), F.lit(")"))), " ")
         both(own["tables"], "tables", F.lit(0), F.lit(0), item("table", attribute("displayName", F.col("name")), attribute("ref", F.col("ref")), flag("totalsRowCount", F.col("totals_row")), columns))
+    if "sheet" in names:
+        place = F.array_position(F.array(*map(F.lit, xlsx.SETTINGS)), F.col("name"))
+        both(own["settings"], "sheet", place, F.lit(0), F.concat("name", F.lit("("), "text", F.lit(")")))
     lines.append(spark.createDataFrame(heads, LINES))
     return reduce(DataFrame.unionByName, lines)
 
@@ -309,6 +320,7 @@ def decoded(lines: DataFrame) -> dict[str, DataFrame]:
         "validations": in_("validations").select("sheet", get("sqref").alias("ranges"), get("type").alias("type"), get("operator").alias("operator"), *[F.get(kids(k), 0)["text"].alias(k) for k in ("formula1", "formula2")], yes("allowBlank").alias("allow_blank")),
         "cond_formats": meta.where("section = 'conditional_formatting'").select("sheet", F.translate("ranges", ",", " ").alias("ranges"), get("type").alias("type"), get("operator").alias("operator"), get("priority").cast("int").alias("priority"), F.transform(kids("formula"), lambda c: F.coalesce(c["text"], F.lit(""))).alias("formulas"), get("dxfId").cast("int").alias("style")),
         "tables": in_("tables").select("sheet", get("displayName").alias("name"), get("ref").alias("ref"), F.transform(kids("tableColumn"), lambda c: c["attributes"]["name"]).alias("columns"), yes("totalsRowCount").alias("totals_row")),
+        "settings": of("sheet").select("sheet", F.regexp_extract("text", r"^(\w+)\(", 1).alias("name"), F.regexp_extract("text", r"(?s)^\w+\((.*)\)$", 1).alias("text")),
         "sheets": listed.select("sheet", "sheet_no", "state"), "defined_names": scoped.join(F.broadcast(listed.select(F.col("sheet_no").alias("_at"), F.col("sheet").alias("scope"))), "_at", "left").select("name", "scope", "refers_to", "hidden"),
         "properties": in_("workbook", "property").select(get("name").alias("name"), F.col("text").alias("value")),
     }

@@ -17,13 +17,15 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import groupby
+from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.functions import coords, dates
+from gridloom.functions import compact, coords, dates
 from gridloom.sources import package, scan, xlsx
 from gridloom.sources.scratch import written
 
@@ -207,6 +209,11 @@ LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 OF = "http://schemas.openxmlformats.org/package/2006"
 #: Places of elements in a sheet; the schema demands this order.
 ROOT, VIEWS, FORMAT, COLS, _, DATA, _, FILTER, MERGED, FORMATS, VALIDATIONS, LINKS, MARGINS, DRAWING, TABLES, END = range(16)
+#: Settings of sheets by place: a section, and a place in it.
+PLACES = {
+    "sheetPr": (ROOT, 1), "sheetViews": (VIEWS, 0), "sheetFormatPr": (FORMAT, 0), "sheetProtection": (FILTER, 0), "scenarios": (FILTER, 1), "autoFilter": (FILTER, 2), "printOptions": (MARGINS, 0), "pageMargins": (MARGINS, 1),
+    "pageSetup": (MARGINS, 2), "headerFooter": (MARGINS, 3), "rowBreaks": (MARGINS, 4), "colBreaks": (MARGINS, 5),
+}
 #: Styles that ``save`` knows by itself: general, date, date and time, duration.
 GENERAL, DATE, DATETIME, DURATION = range(4)
 STYLES = (
@@ -259,6 +266,16 @@ def xml_flag(name: str, value: Column) -> Column:
     return F.when(value, f' {name}="1"').otherwise("")
 
 
+@F.udf(T.StringType())
+def _setting(name: str, text: str) -> str:
+    """XML of a setting in compact form, without links to parts that aren't written. There are a few a sheet."""
+    x = compact.decode_items(name, text or "")
+    for y in x.iter():
+        for k in [k for k in y.attrib if k.startswith(xlsx.REL)]:
+            del y.attrib[k]
+    return ET.tostring(x, encoding="unicode")
+
+
 def cells_xml(cells_: DataFrame, date1904: bool = False) -> DataFrame:
     """With a column xml, ``<c>``, for each row (row, col, kind, value, and if there: formula, formula_kind, formula_ref, formula_group, style).
 
@@ -331,7 +348,7 @@ def save(
     cells_: DataFrame, path: str, *, sheets: list[str] | None = None, states: dict[str, str] | None = None, merged: DataFrame | None = None, hyperlinks: DataFrame | None = None, comments: DataFrame | None = None,
     row_dims: DataFrame | None = None, col_dims: DataFrame | None = None, validations: DataFrame | None = None, cond_formats: DataFrame | None = None, tables: DataFrame | None = None,
     defined_names: DataFrame | None = None, properties: DataFrame | None = None, styles: str | None = None, pivot_cache: DataFrame | None = None, pivot_order: list[str] | None = None,
-    pivot_source: tuple[str, str] | None = None, date1904: bool = False, overwrite: bool = False,
+    pivot_source: tuple[str, str] | None = None, settings: DataFrame | None = None, date1904: bool = False, overwrite: bool = False,
 ) -> int:
     """Write a workbook, and return its bytes. All relations are in the columns of ``xlsx.SCHEMAS`` without the file; see ``cells_xml`` for cells.
 
@@ -428,6 +445,9 @@ def save(
                 fixed.append((f"xl/tables/table{n}.xml", 0, None, None, f'{HEAD}<table xmlns="{scan.MAIN[1:-1]}" id="{n}" name={quoteattr(t["name"])} displayName={quoteattr(t["name"])} ref="{t["ref"]}"{totals}><tableColumns count="{len(t["columns"])}">{columns}</tableColumns></table>'))
                 fixed.append((f"xl/worksheets/_rels/sheet{i}.xml.rels", 3, n, None, f'<Relationship Id="table{n}" Type="{LINK}/table" Target="/xl/tables/table{n}.xml"/>'))
                 overrides.append((f"xl/tables/table{n}.xml", f"{KIND}.table+xml"))
+    if (df := known(settings)) is not None:  # a few a sheet
+        for (name, (section, place)) in PLACES.items():
+            add(df.where(F.col("name") == name), sheet_part, section, F.lit(place), F.lit(0), _setting(F.col("name"), F.col("text")))
     if pivot_cache is not None:
         from gridloom.sources import pivots
 

@@ -50,18 +50,22 @@ SCHEMAS = {
     "validations": "file string, sheet string, ranges string, type string, operator string, formula1 string, formula2 string, allow_blank boolean",
     "cond_formats": "file string, sheet string, ranges string, type string, operator string, priority int, formulas array<string>, style int",
     "rules": "file string, sheet string, ranges string, type string, operator string, priority int, formulas array<string>, style int, stop boolean, text string, rank int, percent boolean, bottom boolean, above boolean, equal_average boolean, deviations int, period string",
+    "settings": "file string, sheet string, name string, text string",
     "tables": "file string, sheet string, name string, ref string, columns array<string>, totals_row boolean",
     "properties": "file string, name string, value string",
     "strings": "file string, idx int, text string",
     "style_parts": "file string, kind string, id int, text string",
     "cell_styles": "file string, style int, font int, fill int, border int, num_fmt string, alignment string, protection string, quote_prefix boolean, pivot_button boolean, name string",
     "rule_styles": "file string, id int, text string",
+    "rich_strings": "file string, idx int, run int, text string, font string",
 }
 
 
+#: Elements of a sheet that say how it is shown, protected, filtered and printed.
+SETTINGS = ("sheetPr", "sheetViews", "sheetFormatPr", "sheetProtection", "scenarios", "autoFilter", "printOptions", "pageMargins", "pageSetup", "headerFooter", "rowBreaks", "colBreaks")
 OF_STYLES = ("style_parts", "cell_styles", "rule_styles")
 #: Relations of a workbook as a whole.
-OF_BOOK = ("sheets", "defined_names", "properties", "strings", *OF_STYLES)
+OF_BOOK = ("sheets", "defined_names", "properties", "strings", "rich_strings", *OF_STYLES)
 
 
 class Package:
@@ -193,9 +197,12 @@ def sheet_rows(package: Package, at: int, relation: str) -> Iterator[tuple]:
         rest = piece.rest or rest
     if relation == "row_dims":
         return
-    for x in parse(rest).iter():
+    for x in parse(rest) if relation == "settings" else parse(rest).iter():
         tag = x.tag.removeprefix(MAIN)
-        if relation == "merged" and tag == "mergeCell":
+        if relation == "settings":
+            if tag in SETTINGS:
+                yield *where, tag, encode_items(x)
+        elif relation == "merged" and tag == "mergeCell":
             yield *where, *bounds(x.get("ref"))
         elif relation == "hyperlinks" and tag == "hyperlink":
             yield *where, *bounds(x.get("ref")), links.get(x.get(f"{REL}id"), (None, None))[1], x.get("location"), x.get("tooltip")
@@ -234,12 +241,24 @@ def style_rows(package: Package, relation: str) -> Iterator[tuple]:
             yield package.path, i, *[number(x.get(f"{k}Id")) for k in ("font", "fill", "border")], codes.get(at, f"format {at}"), *told, flag(x, "quotePrefix"), flag(x, "pivotButton"), names.get(number(x.get("xfId")))
 
 
+def rich_rows(package: Package) -> Iterator[tuple]:
+    """Runs of shared strings that have any: their text, and their font in compact XML."""
+    for name in package.related(package.main, "sharedStrings")[:1]:
+        for first, data in scan.string_pieces(package.open(name)):
+            for i, x in enumerate(y for y in parse(data) if y.tag == f"{MAIN}si"):
+                for k, run in enumerate(x.iterfind(f"{MAIN}r")):
+                    font = run.find(f"{MAIN}rPr")
+                    yield package.path, first + i, k, scan.unescape("".join(t.text or "" for t in run.iterfind(f"{MAIN}t"))), encode_items(font) if font is not None else None
+
+
 def book_rows(package: Package, relation: str) -> Iterator[tuple]:
     if relation in OF_STYLES:
         yield from style_rows(package, relation)
         return
     names = [s[0] for s in package.sheets]
-    if relation == "strings":
+    if relation == "rich_strings":
+        yield from rich_rows(package)
+    elif relation == "strings":
         yield from ((package.path, i, s) for i, s in enumerate(package.strings()))
     elif relation == "sheets":
         for number, (name, state, part, _) in enumerate(package.sheets):

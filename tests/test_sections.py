@@ -37,6 +37,7 @@ def book(spark, tmp_path_factory):
         cond_formats=frame([("Ledger", "A1:A9 C3", "cellIs", "between", 1, ["1", 'A1&"(x)"'], None), ("Ledger", "B1", "duplicateValues", None, 2, [], None)], "sheet string, ranges string, type string, operator string, priority int, formulas array<string>, style int"),
         tables=frame([("Ledger", "T_1", "A1:B9", ["a b", "c"], True)], "sheet string, name string, ref string, columns array<string>, totals_row boolean"),
         defined_names=frame([("n1", None, "'Ledger'!$A$1", False), ("n2", "Ledger", "1+1", True)], "name string, scope string, refers_to string, hidden boolean"),
+        settings=frame([("Ledger", "sheetViews", sections.frozen(3, 2)), ("Ledger", "pageMargins", "left=0.5 right=0.5 top=1 bottom=1 header=0.3 footer=0.3"), ("Ledger", "sheetPr", "tabColor(rgb=FF00FF00)"), ("Ledger", "headerFooter", 'oddHeader("&C(x) & co")'), (SHEETS[0], "autoFilter", "ref=A1:B9 filterColumn(colId=0 filters(filter:x))")], "sheet string, name string, text string"),
         properties=frame([("title", "A title"), ("own", "v (1)")], "name string, value string"),
     )
     return {k: d.persist() for k, d in sections.opened(spark, path).items()}
@@ -47,12 +48,17 @@ def whole(book):
     return sections.encoded(book, "all.xlsx").persist()
 
 
+def test_frozen_panes():
+    assert sections.frozen(2, 1) == "sheetView(workbookViewId=0 pane(ySplit=1 topLeftCell=A2 activePane=bottomLeft state=frozen))" and sections.frozen(1, 1) == "sheetView(workbookViewId=0)"
+    assert "xSplit=2 topLeftCell=C1 activePane=topRight" in sections.frozen(1, 3) and "xSplit=1 ySplit=2 topLeftCell=B3 activePane=bottomRight" in sections.frozen(3, 2)
+
+
 def rows(df, columns):
     return sorted((tuple(map(str, r)) for r in df.select(columns).collect()))
 
 
 def check(book, got):
-    for name in ("merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "defined_names", "properties"):
+    for name in ("merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "defined_names", "properties", "settings"):
         assert rows(got[name], book[name].columns) == rows(book[name], book[name].columns), name
     assert rows(got["sheets"], ["sheet", "sheet_no", "state"]) == rows(book["sheets"], ["sheet", "sheet_no", "state"])
     assert rows(got["values"], ["sheet", "row", "col", "token"]) == rows(sections.cell_tokens(book["cells"]), ["sheet", "row", "col", "token"])

@@ -61,6 +61,7 @@ def test_other_relations(spark, book):
     assert rows("validations") == [("One & two", "D1:D9", "whole", "between", "1", "9", True)]
     assert rows("cond_formats") == [("One & two", "A1:A9", "cellIs", "greaterThan", 1, ["3"], 0)]
     assert rows("tables") == [("One & two", "T", "A1:B3", ["p", "q"], True)] and rows("strings") == [(0, "zero"), (1, "three")]
+    assert rows("rich_strings") == [(1, 0, "th", None), (1, 1, "ree", "b")] and rows("settings") == []
     with pytest.raises(Exception, match="isn't one of"):
         rows("nothing")
 
