@@ -439,5 +439,9 @@ def selected_cells(spark, sf_dir):
     """Rows, columns and ranges of some sheets of a workbook, without what is hidden."""
     book = sections.opened(spark, region_book(spark, sf_dir))
     names = [r["sheet"] for r in book["sheets"].select("sheet").collect()]
-    kept = selection.selected(book, sheets=[n for n in names if n != "AFRICA"], skip_hidden=True, rows={"ASIA": ["5:300", (900, 1_000_000)]}, columns={n: "A,C:D" if n != "ASIA" else "A:B" for n in names}, ranges={"EUROPE": ["A1:B700", "C200:C1000"]})
+    there = lambda spec: {k: v for k, v in spec.items() if k in names}
+    kept = selection.selected(
+        book, sheets=[n for n in names if n != "AFRICA"], skip_hidden=True, rows=there({"ASIA": ["5:300", (900, 1_000_000)]}), columns={n: "A,C:D" if n != "ASIA" else "A:B" for n in names},
+        ranges=there({"EUROPE": ["A1:B700", "C200:C1000"]}),
+    )
     return kept["cells"].select("sheet", "row", "col", "value")

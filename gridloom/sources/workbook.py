@@ -267,7 +267,7 @@ def xml_flag(name: str, value: Column) -> Column:
 
 
 @F.udf(T.StringType())
-def _setting(name: str, text: str) -> str:
+def _setting(name, text):
     """XML of a setting in compact form, without links to parts that aren't written. There are a few a sheet."""
     x = compact.decode_items(name, text or "")
     for y in x.iter():
