@@ -57,7 +57,7 @@ def before(df: DataFrame, by: list[str], order: str, last: dict[str, Column] | N
     ends = held.groupBy("_k", "_b").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in kept], *[F.sum(v).alias(v) for v in summed])
     ends = ends.select("_k", "_b", *[F.last(v, ignorenulls=True).over(over).alias("e" + v) for v in kept], *[F.coalesce(F.sum(v).over(over), F.lit(0)).alias("e" + v) for v in summed])
     own = {n: F.last(v, ignorenulls=True).over(inside) for n, v in zip(last, kept, strict=True)} | {n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in zip(total, summed, strict=True)}
-    out = held.withColumns(own).join(ends, ["_k", "_b"])
+    out = held.withColumns(own).join(ends.hint("merge"), ["_k", "_b"])  # groups may be as many as rows
     out = out.withColumns({n: F.coalesce(n, "e" + v) for n, v in zip(last, kept, strict=True)} | {n: F.col(n) + F.col("e" + v) for n, v in zip(total, summed, strict=True)})
     return out.select(*df.columns, *last, *total)
 
@@ -84,7 +84,7 @@ def strides(rects: DataFrame, key: str = "token", block: int = 65536) -> DataFra
     used = F.coalesce((F.col("told.v") + (F.col("i") - F.col("m") - F.col("told.i")) / 2) % 2, F.lit(0)).cast("int")
     found = found.withColumn("o", used).withColumn("long", F.coalesce((F.col("d") > 1) & (F.col("m") - F.col("o") >= 2), F.lit(False)))
     ends = rects.where("r0 = r1").groupBy(F.struct(*by).alias("_k")).agg(F.max("r0").alias("end"))
-    found = found.withColumn("_k", F.struct(*by)).join(ends, "_k")
+    found = found.withColumn("_k", F.struct(*by)).join(ends.hint("merge"), "_k")
     first, span = F.col("a") + F.coalesce(F.col("d") * F.col("o"), F.lit(0)), lambda r0, r1, step, n: F.struct(r0.cast("int").alias("r0"), r1.cast("int").alias("r1"), step.cast("int").alias("step"), n.cast("int").alias("n"))
     one = F.lit(1)
     alone = F.when(F.col("m") > F.col("o"), F.transform(F.sequence(first, F.col("z") - F.col("d"), F.col("d")), lambda x: span(x, x, one, one)))

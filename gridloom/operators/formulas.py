@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import coords, formula, tokens
 from gridloom.operators import cover
 from gridloom.operators.document import SPAN
+from gridloom.sources.scratch import written
 
 BLOCK = 65536  # rows
 SECTION = "sheet string, row int, col int, kind string, attributes string, text string, r0 int, c0 int, r1 int, c1 int, step int"
@@ -36,19 +37,20 @@ def templates(cells: DataFrame) -> DataFrame:
 
 def lines(cells: DataFrame) -> DataFrame:
     """(sheet, first_row, first_col, line) of all formulas."""
-    found = templates(cells.select("sheet", "row", "col", "formula", "formula_kind", "formula_ref"))
+    found = written(templates(cells.select("sheet", "row", "col", "formula", "formula_kind", "formula_ref")), "templates")
     grouped = found.where("template is not null")
     # a formula that isn't safe to fill to the side gets a key of its own in each column, and so never joins another one
-    key = F.when(F.col("flags.sideways"), F.concat("template", F.lit("\x03"), F.col("col").cast("string"))).otherwise(F.col("template"))
+    key = F.concat("template", F.lit("\x03"), F.when(F.col("flags.sideways"), F.col("col").cast("string")).otherwise(""))
     grouped = grouped.withColumns({"key": key, "lock": F.col("flags.downwards"), "loose": ~F.col("flags.sideways") & ~F.col("flags.downwards")}).select("sheet", "row", "col", "key", "lock", "loose")
     safe, unsafe = grouped.where("loose"), grouped.where("not loose")
     spans = cover.strides(cover.rectangles(safe, "key"), "key").withColumn("_block", F.floor(F.col("r0") / BLOCK))
     each = F.struct("r0", "c0", cover.span_text().alias("text"))
     wide = spans.groupBy("sheet", "key", "_block").agg(F.sort_array(F.collect_list(each)).alias("spans"))
-    wide = wide.select("sheet", F.col("spans")[0]["r0"].alias("row"), F.col("spans")[0]["c0"].alias("col"), F.array_join(F.transform("spans", lambda s: s["text"]), ",").alias("ranges"))
-    alone = cover.rectangles(unsafe, "key", F.col("lock")).select("sheet", F.col("r0").alias("row"), F.col("c0").alias("col"), coords.range_text(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("ranges"))
-    text = found.select("sheet", "row", "col", "formula")
-    filled = wide.unionByName(alone).join(text, ["sheet", "row", "col"]).select("sheet", F.col("row").alias("first_row"), F.col("col").alias("first_col"), F.concat("ranges", "formula").alias("line"))
+    wide = wide.select("sheet", "key", F.col("spans")[0]["r0"].alias("row"), F.col("spans")[0]["c0"].alias("col"), F.array_join(F.transform("spans", lambda s: s["text"]), ",").alias("ranges"))
+    alone = cover.rectangles(unsafe, "key", F.col("lock")).select("sheet", "key", F.col("r0").alias("row"), F.col("c0").alias("col"), coords.range_text(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")).alias("ranges"))
+    # a template was tested to give its formula back, so the first cell's formula needs no join with the cells
+    first = formula.formula_rendered(F.regexp_replace("key", "\x03[0-9]*$", ""), F.col("row"), F.col("col"))
+    filled = wide.unionByName(alone).select("sheet", F.col("row").alias("first_row"), F.col("col").alias("first_col"), F.concat("ranges", first).alias("line"))
     at = coords.coordinate(F.col("row"), F.col("col"))
     body = F.when(F.col("formula").rlike(r"[\n\r]") | ~F.col("formula").startswith("="), F.concat(F.lit("~"), tokens.json_literal(F.col("formula")))).otherwise(F.col("formula"))
     ref = F.coalesce(F.concat(F.lit(" "), F.col("formula_ref")), F.lit(""))
