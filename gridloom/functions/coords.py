@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_COLUMN, MAX_ROW, LAST_COLUMN = 18278, 1_048_576, 16_384
+LAST_ROW = (1 << 31) - 1  # of a sheet as a relation, which may have more rows than a file's sheet
 #: $A$1, A1:C3, A:C and 2:5, with or without dollar signs.
 COORDINATE = r"^\$?([A-Za-z]{1,3})\$?(\d+)$"
 RANGE = r"^\$?([A-Za-z]{1,3})?\$?(\d+)?(?::\$?([A-Za-z]{1,3})?\$?(\d+)?)?$"
@@ -92,13 +93,13 @@ def index(s: str) -> int:
     return n
 
 
-def bounds(text: str) -> tuple[int, int, int, int]:
-    """(r0, c0, r1, c1) of a range; open sides reach to the sheet's edge."""
+def bounds(text: str, last_row: int = MAX_ROW) -> tuple[int, int, int, int]:
+    """(r0, c0, r1, c1) of a range; open sides reach to the sheet's edge, that of a file unless ``last_row`` is given."""
     m = re.fullmatch(RANGE, text.strip())
     if not m or not any(m.groups()) or (":" in text and not (m[3] or m[4])):
         raise ValueError(f"{text!r} isn't a range")
     c0, r0 = index(m[1]) if m[1] else 1, int(m[2]) if m[2] else 1
     if ":" not in text:
-        return r0, c0, int(m[2]) if m[2] else MAX_ROW, index(m[1]) if m[1] else LAST_COLUMN
-    r1, c1 = int(m[4]) if m[4] else MAX_ROW, index(m[3]) if m[3] else LAST_COLUMN
+        return r0, c0, int(m[2]) if m[2] else last_row, index(m[1]) if m[1] else LAST_COLUMN
+    r1, c1 = int(m[4]) if m[4] else last_row, index(m[3]) if m[3] else LAST_COLUMN
     return min(r0, r1), min(c0, c1), max(r0, r1), max(c0, c1)

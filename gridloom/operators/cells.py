@@ -62,7 +62,7 @@ def in_rects(rects: list[tuple[int, int, int, int]]) -> Column:
 
 def select_range(cells: DataFrame, spec: str) -> DataFrame:
     """Cells of A1:C3, A:D, 4:10, or of several with commas between."""
-    return cells.where(in_rects([coords.bounds(x) for x in spec.split(",")]))
+    return cells.where(in_rects([coords.bounds(x, coords.LAST_ROW) for x in spec.split(",")]))
 
 
 def segments(spec: int | str | tuple | list, columns: bool = False) -> list[tuple[int, int]]:
@@ -188,7 +188,7 @@ def shifted(cells: DataFrame, line: str, at: int, by: int) -> DataFrame:
 
 def moved(cells: DataFrame, spec: str, by_rows: int, by_cols: int) -> DataFrame:
     """A range moved elsewhere; it overwrites what is there, with empty places as well."""
-    r0, c0, r1, c1 = coords.bounds(spec)
+    r0, c0, r1, c1 = coords.bounds(spec, coords.LAST_ROW)
     target = (r0 + by_rows, c0 + by_cols, r1 + by_rows, c1 + by_cols)
     kept = cells.where(~in_rects([(r0, c0, r1, c1)]) & ~in_rects([target]))
     return kept.unionByName(cells.where(in_rects([(r0, c0, r1, c1)])).withColumn("row", F.col("row") + by_rows).withColumn("col", F.col("col") + by_cols))
@@ -196,7 +196,7 @@ def moved(cells: DataFrame, spec: str, by_rows: int, by_cols: int) -> DataFrame:
 
 def merged(cells: DataFrame, spec: str) -> DataFrame:
     """Of a merged range only the upper left cell keeps its value."""
-    r0, c0, r1, c1 = coords.bounds(spec)
+    r0, c0, r1, c1 = coords.bounds(spec, coords.LAST_ROW)
     return cells.where(~in_rects([(r0, c0, r1, c1)]) | ((F.col("row") == r0) & (F.col("col") == c0)))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import formula
+from gridloom.operators import cells as C
 from gridloom.operators import formulas
 
 FORMULAS = "sheet string, row int, col int, formula string, formula_kind string, formula_ref string"
@@ -19,3 +20,10 @@ def test_lines_take_first_formulas_from_templates(spark):
     assert "SUM(A:A)" in str(lines.collect()) and sorted(map(tuple, formulas.decoded(lines).select("row", "col", "formula").collect())) == sorted((r, c, f) for _, r, c, f, _, _ in rows)
     # no join with the cells, which a small file lets look small enough for a broadcast
     assert plan(lines).count("Join ") == plan(lines).count("strategy=merge")
+
+
+def test_open_ranges_reach_the_last_row_of_a_relation(spark):
+    cells = spark.createDataFrame([("s", r, c, "x") for r in (1, 1_048_576, 1_048_577, 9_000_000) for c in (1, 3)], "sheet string, row int, col int, token string")
+    assert C.select_range(cells, "A:B").count() == 4 and C.select_range(cells, "1048577:1048577").count() == 2
+    assert sorted(r[0] for r in C.merged(cells, "A:C").select("row").collect()) == [1]
+    assert C.moved(cells, "A:A", 1, 1).where("col = 2").count() == 4
