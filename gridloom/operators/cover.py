@@ -113,6 +113,17 @@ def index_lines(spans: DataFrame, key: str = "token") -> DataFrame:
     return out.select("sheet", line.alias("line"), F.col("spans")[0]["r0"].alias("first_row"), F.col("spans")[0]["c0"].alias("first_col"))
 
 
+def whole_lines(spans: DataFrame, key: str = "token") -> DataFrame:
+    """(sheet, key, spans): one line for each key of a sheet, whatever its rows.
+
+    Spans become text by blocks of rows; only finished texts of blocks meet, one for each block and key. A line is one value, so it must stay below 2 GB.
+    """
+    each = F.struct("r0", "c0", span_text().alias("text"))
+    parts = spans.groupBy("sheet", key, F.floor(F.col("r0") / BLOCK).alias("_block")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda s: s["text"]), ",").alias("_text"))
+    told = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_text"))), lambda s: s["_text"])
+    return parts.groupBy("sheet", key).agg(F.array_join(told, ",").alias("spans"))
+
+
 def labels(cells: DataFrame, anchor: int = 10) -> DataFrame:
     """(sheet, row, labelled) of each row with values: the first, those after a gap and multiples of ``anchor`` carry their number.
 

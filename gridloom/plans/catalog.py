@@ -178,10 +178,9 @@ def index_cover(spark, sf_dir):
     return cover.rectangles(order_cells(spark, sf_dir)).select("token", "r0", "c0", "r1", "c1")
 
 
-@query(ORDERS + RUNS + """SELECT string_agg(CASE WHEN r0 = r1 AND c0 = c1 THEN chr(CAST(64 + c0 AS INTEGER)) || r0 ELSE chr(CAST(64 + c0 AS INTEGER)) || r0 || ':' || chr(CAST(64 + c1 AS INTEGER)) || r1 END, ',' ORDER BY r0, c0) || '=' || token AS line
-FROM rects GROUP BY token, r0 // 65536""")
+@query(ORDERS + RUNS + """SELECT token, string_agg(CASE WHEN r0 = r1 AND c0 = c1 THEN chr(CAST(64 + c0 AS INTEGER)) || r0 ELSE chr(CAST(64 + c0 AS INTEGER)) || r0 || ':' || chr(CAST(64 + c1 AS INTEGER)) || r1 END, ',' ORDER BY r0, c0) AS spans FROM rects GROUP BY token""")
 def inverted_index(spark, sf_dir):
-    return cover.index_lines(cover.rectangles(order_cells(spark, sf_dir)).withColumn("step", F.lit(1))).select("line")
+    return cover.whole_lines(cover.rectangles(order_cells(spark, sf_dir)).withColumn("step", F.lit(1))).select("token", "spans")
 
 
 #: Spans of rects: greedy progressions of three or more, all others alone; needs WITH RECURSIVE.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import formula
 from gridloom.operators import cells as C
-from gridloom.operators import formulas
+from gridloom.operators import cover, formulas
 
 FORMULAS = "sheet string, row int, col int, formula string, formula_kind string, formula_ref string"
 
@@ -35,3 +35,8 @@ def test_formulas_beyond_the_rows_of_a_file(spark):
     rows = [("s", r, 1, f"=B{r}*2", None, None) for r in (*range(1_048_570, 1_048_590), *range(53_999_990, 54_000_010))]
     got = formulas.lines(spark.createDataFrame(rows, FORMULAS)).orderBy("first_row").select("line").collect()
     assert [r[0] for r in got] == ["A1048570:A1048589=B1048570*2", "A53999990:A54000009=B53999990*2"]
+
+
+def test_whole_lines_of_an_index(spark):
+    spans = spark.createDataFrame([("s", "x", r, 1, r, 1, 1) for r in (200_000, 3, 65_536, 65_535)] + [("s", "y", 1, 2, 70_000, 2, 1)], "sheet string, token string, r0 int, c0 int, r1 int, c1 int, step int")
+    assert sorted(map(tuple, cover.whole_lines(spans).collect())) == [("s", "x", "A3,A65535,A65536,A200000"), ("s", "y", "B1:B70000")]
