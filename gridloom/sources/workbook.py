@@ -11,12 +11,13 @@ renames the file. Neither cells nor pieces pass through the driver; a failed or
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import chain, groupby
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
@@ -30,11 +31,12 @@ from gridloom.sources import package, scan, xlsx
 from gridloom.sources.scratch import written
 
 _TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
-MEMBERS = "file string, sheet string, sheet_no int, method int, dates array<int>, data binary"
+MEMBERS = "file string, sheet string, sheet_no int, method int, dates array<int>, number bigint, data binary"
 PIECES = "file string, sheet string, sheet_no int, dates array<int>, number bigint, before int, masters array<struct<si: string, row: int, col: int, text: string>>, data binary"
 #: XML of shared strings up to which all tasks get them all; beyond, an exchange joins them to cells.
 MOST_BROADCAST = 32 << 20
 PIECE = 1 << 20
+LINES = 256  # of XML, that are Python texts at once
 
 
 def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -46,17 +48,23 @@ def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the workbooks at a path, in a folder, or at several with commas between."""
+    """(path, content) of the workbooks at a path, in a folder, or at several with commas between. The content is null where tasks can read parts of the file themselves."""
     paths = [p.strip() for p in path.split(",")]
     if old := [p for p in paths if p.lower().endswith((".xls", ".xlsb"))]:
         raise ValueError(f"{', '.join(old)}: only .xlsx, .xlsm, .xltx and .xltm are read")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sStT][xXmM]").load(paths).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sStT][xXmM]").load(paths)
+    near = all(p.startswith("file:") for p in found.inputFiles())
+    return found.select("path", F.lit(None).cast("binary").alias("content") if near else "content")
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[xlsx.Package]:
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
-            yield xlsx.Package(path.as_py(), content.as_py())
+            if content.is_valid:
+                yield xlsx.Package(path.as_py(), pa.BufferReader(content.as_buffer()))
+            else:
+                with open("/" + path.as_py().removeprefix("file:").lstrip("/"), "rb") as file:
+                    yield xlsx.Package(path.as_py(), file)
 
 
 def relation(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -94,28 +102,32 @@ def xml_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def members(spark: SparkSession, path: str, sheet: str | None, of_strings: bool) -> DataFrame:
-    """Compressed parts as they stand in the archives: worksheets, or shared strings."""
+    """Compressed parts as they stand in the archives, worksheets or shared strings, in numbered chunks: no part is ever held whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for book in opened(batches):
             if of_strings:
                 for name in book.related(book.main, "sharedStrings")[:1]:
-                    yield batch([(book.path, None, None, book.compressed(name)[0], [], book.compressed(name)[1])], MEMBERS)
+                    method, chunks = book.compressed(name, PIECE)
+                    for n, data in enumerate(chunks):
+                        yield batch([(book.path, None, None, method, [], n, data)], MEMBERS)
                 continue
             dates_ = sorted(book.date_styles())
             for i, (name, _, part, kind) in enumerate(book.sheets):
                 if kind == "worksheet" and sheet in (None, name):
-                    method, data = book.compressed(part)
-                    yield batch([(book.path, name, i, method, dates_, data)], MEMBERS)
+                    method, chunks = book.compressed(part, PIECE)
+                    for n, data in enumerate(chunks):
+                        yield batch([(book.path, name, i, method, dates_, n, data)], MEMBERS)
 
-    return archives(spark, path).mapInArrow(read, MEMBERS)
+    found = archives(spark, path).mapInArrow(read, MEMBERS)
+    return found.repartition("file", "sheet_no").sortWithinPartitions("file", "sheet_no", "number")
 
 
 class Inflated(io.RawIOBase):
-    """A compressed part as a stream."""
+    """A compressed part, given in chunks, as a stream."""
 
-    def __init__(self, method: int, data: bytes):
-        self.left, self.held = memoryview(data), b""
+    def __init__(self, method: int, chunks: Iterable[bytes]):
+        self.chunks, self.held, self.ahead = iter(chunks), b"", b""
         self.z = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
         if method not in (zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED):
             raise ValueError(f"parts of compression method {method} aren't read")
@@ -125,38 +137,56 @@ class Inflated(io.RawIOBase):
 
     def read(self, n: int = -1) -> bytes:
         n = 1 << 30 if n < 0 else n
+        if self.ahead:
+            data, self.ahead = self.ahead[:n], self.ahead[n:]
+            return data
         if self.z is None:
-            data, self.left = bytes(self.left[:n]), self.left[n:]
+            self.held = self.held or next(self.chunks, b"")
+            data, self.held = self.held[:n], self.held[n:]
             return data
         out = b""
-        while not out and (self.held or len(self.left)) and not self.z.eof:
+        while not out and not self.z.eof:
+            self.held = self.held or next(self.chunks, b"")
             if not self.held:
-                self.held, self.left = bytes(self.left[: 1 << 20]), self.left[1 << 20 :]
+                break
             out = self.z.decompress(self.held, n)
             self.held = self.z.unconsumed_tail
         return out or self.z.flush()
 
+    def begin(self, n: int) -> bytes:
+        """The first bytes, which are still to be read."""
+        while len(self.ahead) < n and (data := Inflated.read_on(self, n)):
+            self.ahead += data
+        return self.ahead[:n]
+
+    def read_on(self, n: int) -> bytes:
+        held, self.ahead = self.ahead, b""
+        data = self.read(n)
+        self.ahead = held
+        return data
+
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.list_(pa.struct([("si", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string())])), pa.binary()]
     names = ["file", "sheet", "sheet_no", "dates", "number", "before", "masters", "data"]
-    for b in batches:
-        for i in range(b.num_rows):
-            file, sheet, at, method, dates_, data = (b.column(c)[i].as_py() for c in ("file", "sheet", "sheet_no", "method", "dates", "data"))
-            if at is None:
-                found = ((n, 0, [], piece) for n, piece in scan.string_pieces(Inflated(method, data), PIECE))
-            else:
-                found = ((p.number, p.before, [dict(zip(("si", "row", "col", "text"), m, strict=True)) for m in p.masters], p.data) for p in sheet_pieces(method, data))
-            for n, before, masters, piece in found:
-                row = (file, sheet, at, dates_, n, before, masters, piece)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
-
-
-def sheet_pieces(method: int, data: bytes) -> Iterator[scan.Piece]:
-    try:
-        yield from scan.pieces(Inflated(method, data), PIECE)
-    except scan.Odd:
-        yield from scan.rewritten_pieces(Inflated(method, data), PIECE)
+    rows = ([b.column(c)[i].as_py() for c in ("file", "sheet", "sheet_no", "method", "dates", "data")] for b in batches for i in range(b.num_rows))
+    for (file, sheet, at), chunks in groupby(rows, key=lambda r: tuple(r[:3])):
+        first = next(chunks)
+        method, dates_ = first[3:5]
+        stream = Inflated(method, chain(first[5:], (r[5] for r in chunks)))
+        if at is None:
+            found = ((n, 0, [], piece) for n, piece in scan.string_pieces(stream, PIECE))
+        else:
+            found = ((p.number, p.before, [dict(zip(("si", "row", "col", "text"), m, strict=True)) for m in p.masters], p.data) for p in sheet_pieces(stream))
+        for n, before, masters, piece in found:
+            row = (file, sheet, at, dates_, n, before, masters, piece)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+
+def sheet_pieces(stream: Inflated) -> Iterator[scan.Piece]:
+    """Sheets whose names have prefixes are told by their beginning, without the zeros of UTF-16."""
+    odd = re.search(rb"<\w+:worksheet\b", stream.begin(1 << 16).replace(b"\0", b""))
+    yield from (scan.rewritten_pieces if odd else scan.pieces)(stream, PIECE)
 
 
 def strings(spark: SparkSession, path: str) -> DataFrame:
@@ -168,7 +198,7 @@ def strings(spark: SparkSession, path: str) -> DataFrame:
                 found = scan.strings_of(data)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(range(first, first + len(found)), pa.int32()), pa.array(found, pa.string())], names=["file", "idx", "text"])
 
-    return members(spark, path, None, True).repartition("file").mapInArrow(_cut, PIECES).repartition("file", "number").mapInArrow(read, xlsx.SCHEMAS["strings"])
+    return members(spark, path, None, True).mapInArrow(_cut, PIECES).repartition("file", "number").mapInArrow(read, xlsx.SCHEMAS["strings"])
 
 
 def cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -190,7 +220,7 @@ def cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame
                 same = [pa.array([file] * rows, pa.string()), pa.array([name] * rows, pa.string()), pa.array([at] * rows, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*same, *columns], names=[c.split()[0] for c in schema.split(", ")])
 
-    found = members(spark, path, sheet, False).repartition("file", "sheet_no").mapInArrow(_cut, PIECES).repartition(n).mapInArrow(read, schema)
+    found = members(spark, path, sheet, False).mapInArrow(_cut, PIECES).repartition(n).mapInArrow(read, schema)
     names = [c.split()[0] for c in xlsx.SCHEMAS["cells"].split(", ")]
     if of_strings:
         held = strings(spark, path).select(F.col("file").alias("_file"), F.col("idx").alias("_idx"), "text")
@@ -324,7 +354,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch([(part, (at << 56) + base + n, crc, length, data)], FRAGMENTS)
             out, size, n = [], 0, n + 1
 
-    for b in batches:
+    for b in (b.slice(i, LINES) for b in batches for i in range(0, b.num_rows, LINES)):
         for name, section, k1, k2, xml in zip(*[c.to_pylist() for c in b.columns], strict=True):
             inside = section == DATA and k2 is not None
             if row is not None and (name != part or not inside or k1 != row):
@@ -481,7 +511,8 @@ def _assembler(path: str, overwrite: bool):
         if not overwrite and store.get_file_info(where).type != fs.FileType.NotFound:
             raise FileExistsError(path)
         archive, new = package.Archive(), f"{where}.{uuid.uuid4().hex}"
-        rows = ((name, large, (crc, size, data)) for b in batches for name, large, crc, size, data in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        each = ([c[i].as_py() for c in b.columns] for b in batches for i in range(b.num_rows))  # one piece at a time
+        rows = ((name, large, (crc, size, data)) for name, large, crc, size, data in each)
         with store.open_output_stream(new) as out:
             for (name, large), own in groupby(rows, key=lambda r: r[:2]):
                 for data in archive.part(name, (r[2] for r in own), large):

@@ -1,11 +1,12 @@
 """What a review of larger tables found."""
 
-import pytest
-from pyspark.sql import functions as F
+import io
+import zipfile
 
 from gridloom.functions import formula
 from gridloom.operators import cells as C
-from gridloom.operators import cover, formulas
+from gridloom.operators import cover, dimensions, formulas
+from gridloom.sources import scan, workbook, xlsx
 
 FORMULAS = "sheet string, row int, col int, formula string, formula_kind string, formula_ref string"
 
@@ -40,3 +41,35 @@ def test_formulas_beyond_the_rows_of_a_file(spark):
 def test_whole_lines_of_an_index(spark):
     spans = spark.createDataFrame([("s", "x", r, 1, r, 1, 1) for r in (200_000, 3, 65_536, 65_535)] + [("s", "y", 1, 2, 70_000, 2, 1)], "sheet string, token string, r0 int, c0 int, r1 int, c1 int, step int")
     assert sorted(map(tuple, cover.whole_lines(spans).collect())) == [("s", "x", "A3,A65535,A65536,A200000"), ("s", "y", "B1:B70000")]
+
+
+def test_parts_of_archives_come_in_chunks(tmp_path):
+    path, sheet = str(tmp_path / "a.xlsx"), "<worksheet><sheetData>" + "".join(f'<row r="{i}"><c r="A{i}"><v>{i * 7919 % 1009}</v></c></row>' for i in range(1, 500)) + "</sheetData></worksheet>"
+    for kind in (zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED):
+        with zipfile.ZipFile(path, "w", kind) as z:
+            z.writestr("[Content_Types].xml", "<Types/>")
+            z.writestr("xl/workbook.xml", "<workbook/>")
+            z.writestr("s.xml", sheet)
+        method, chunks = xlsx.Package(path).compressed("s.xml", 100)
+        held = list(chunks)
+        assert len(held) > 9 and max(map(len, held)) == 100
+        assert sum(len(scan.cell_columns(p, frozenset())[0]) for p in workbook.sheet_pieces(workbook.Inflated(method, held))) == 499
+
+
+def test_comments_are_read_as_a_stream():
+    asked, one = [], f'<comment xmlns="{scan.MAIN[1:-1]}" ref="A1"/>'.encode()
+
+    class Endless(io.RawIOBase):
+        def read(self, n=-1):
+            asked.append(n)
+            return (b"<comments><commentList>" if len(asked) == 1 else b"") + one * 100
+
+    found = xlsx.elements(Endless(), "comment")
+    assert [next(found).get("ref") for _ in range(1000)] == ["A1"] * 1000 and len(asked) < 12
+
+
+def test_cells_outside_spans_are_joined_without_broadcast(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "x"), ("s", 2, 1, "y")], "sheet string, row int, col int, token string")
+    spans = spark.createDataFrame([("s", 1, 1, 9, 1, 2)], "sheet string, r0 int, c0 int, r1 int, c1 int, step int")
+    out = dimensions.outside_strides(cells, spans)
+    assert [r["token"] for r in out.collect()] == ["y"] and "strategy=merge" in plan(out)
