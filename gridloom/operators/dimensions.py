@@ -64,11 +64,12 @@ def usage(cells: DataFrame, style: str) -> DataFrame:
 def outside_strides(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """Cells that no span (r0, c0, r1, c1, step) of their sheet covers, whatever the spans are of.
 
-    A span becomes one row for each of its rows, not for each of its cells; a row of a sheet and a block of columns is where cells and spans meet.
+    A span becomes one row for each of its rows, not for each of its cells; a row of a sheet and a block of columns is where cells and spans meet. Both are
+    dealt out and sorted: the rows of spans are many more than the file of spans lets expect, too many for each task to hold.
     """
     block = 256
     met = spans.select("sheet", F.explode(F.sequence("r0", "r1", "step")).alias("row"), "c0", "c1")
     met = met.withColumn("_b", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block)))).withColumnsRenamed({"sheet": "_s", "row": "_r"})
     own = cells.withColumn("_c", F.floor(F.col("col") / block))
     inside = (F.col("sheet") == F.col("_s")) & (F.col("row") == F.col("_r")) & (F.col("_c") == F.col("_b")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    return own.join(met, inside, "left_anti").drop("_c")
+    return own.join(met.hint("merge"), inside, "left_anti").drop("_c")
