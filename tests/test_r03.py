@@ -73,3 +73,18 @@ def test_cells_outside_spans_are_joined_without_broadcast(spark):
     spans = spark.createDataFrame([("s", 1, 1, 9, 1, 2)], "sheet string, r0 int, c0 int, r1 int, c1 int, step int")
     out = dimensions.outside_strides(cells, spans)
     assert [r["token"] for r in out.collect()] == ["y"] and "strategy=merge" in plan(out)
+
+
+def test_a_cut_parses_only_rows_that_define_shared_formulas(monkeypatch):
+    cell = lambda c, r, si: f'<c r="{c}{r}"><f t="shared" si="{si}"/><v>1</v></c>'
+    rows = [f'<row r="{r}">{cell("A", r, 0)}{cell("B", r, 1)}</row>' for r in range(1, 400)]
+    rows[4] = "<row r=\"5\"><c r='A5'><f t='shared' ref='A5:A9' si='0'>B5/2</f></c><c><f t=\"shared\" si=\"1\">$A5&lt;1</f></c></row>"
+    rows[200] = '<row><c><f>"shared"</f></c><c><f t="shared" si="0">C7</f></c><c r="D201"><f t="shared" si="2"></f></c></row>'
+    parsed, cells_of = [], scan.cells_of
+    monkeypatch.setattr(scan, "cells_of", lambda data, before: parsed.append(len(data)) or cells_of(data, before))
+    data = "".join(rows).encode()
+    assert scan.own_masters(data, 0) == {"0": (5, 1, "=B5/2"), "1": (5, 2, "=$A5<1")}
+    assert scan.own_masters(data[data.index(rows[200].encode()) :], 200) == {"0": (201, 2, "=C7")}
+    assert sum(parsed) < len(data) / 50
+    found = list(scan.pieces(io.BytesIO(b"<worksheet><sheetData>" + data + b"</sheetData></worksheet>"), 2000))
+    assert [m[0] for m in found[-1].masters] == ["0", "1"] and b"".join(p.data for p in found) == data
