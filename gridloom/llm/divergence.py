@@ -47,31 +47,36 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-def counts(docs: DataFrame, most_held: int = 300_000) -> DataFrame:
-    """(lang, source, term, occurrences, documents), counted in tasks before anything is exchanged; each group has a row with a null term as well."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+def counted(batches: Iterator[pa.RecordBatch], most_held: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of ``COUNTS`` of a task's texts; about ``most_held`` terms are held, so a term of a group may come more than once."""
+    held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (seen, within) in held.items():
-                columns = [[lang] * (len(seen) + 1), [source] * (len(seen) + 1), [None, *seen]]
-                numbers = [[0, *seen.values()], [0, *map(within.__getitem__, seen)]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()).cast(pa.string()) for c in columns], *[pa.array(c, pa.int64()) for c in numbers]], names=[c.split()[0] for c in COUNTS.split(", ")])
-            held.clear()
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (seen, within) in held.items():
+            columns = [[lang] * (len(seen) + 1), [source] * (len(seen) + 1), [None, *seen]]
+            numbers = [[0, *seen.values()], [0, *map(within.__getitem__, seen)]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()).cast(pa.string()) for c in columns], *[pa.array(c, pa.int64()) for c in numbers]], names=[c.split()[0] for c in COUNTS.split(", ")])
+        held.clear()
 
-        for batch in batches:
-            for piece in chunks([batch], "text", 16 << 20):
-                for lang, source, text in zip(*[utf8(piece.column(c)) for c in ("lang", "source", "text")], strict=True):
-                    seen, within = held.setdefault((lang, source), (Counter(), Counter()))
+    for batch in batches:
+        for piece in chunks([batch], "text", 16 << 20):
+            groups: dict[tuple[bytes, bytes], list[bytes]] = {}  # one group after the other, whose counters then stay in the processor's cache
+            for lang, source, text in zip(*[utf8(piece.column(c)) for c in ("lang", "source", "text")], strict=True):
+                groups.setdefault((lang, source), []).append(text)
+            for group, texts in groups.items():
+                seen, within = held.setdefault(group, (Counter(), Counter()))
+                for text in texts:
                     found = terms(text)
                     seen.update(found)
                     within.update(set(found))
-                if sum(len(x) for x, _ in held.values()) > most_held:
-                    yield from flush()
-        yield from flush()
+            if sum(len(x) for x, _ in held.values()) > most_held:
+                yield from flush()
+    yield from flush()
 
-    found = docs.select("lang", "source", "text").mapInArrow(task, COUNTS)
+
+def counts(docs: DataFrame, most_held: int = 1_000_000) -> DataFrame:
+    """(lang, source, term, occurrences, documents), counted in tasks before anything is exchanged; each group has a row with a null term as well."""
+    found = docs.select("lang", "source", "text").mapInArrow(lambda batches: counted(batches, most_held), COUNTS)
     return found.groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
 
 

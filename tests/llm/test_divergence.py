@@ -82,3 +82,18 @@ def test_empty_table_and_bad_ranks(spark):
     assert divergence.divergence(frame(spark, [])).count() == 0
     with pytest.raises(ValueError, match="ranks"):
         divergence.divergence(frame(spark, []), ranks=11)
+
+
+def test_a_task_counts_groups_whose_texts_alternate_in_one_row_a_term():
+    from itertools import chain
+
+    import pyarrow as pa
+
+    letters = "abcdefghijklmnopqrst"
+    names = ["".join(letters[i // 20**k % 20] for k in range(5)) for i in range(200_000)]
+    texts = [" ".join(names[:100_000]), "Aaaaa aaaaa é", " ".join(names[100_000:]), None, "aaaaa", " ".join(names)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y", "y", None]), pa.array(["s", None, "s", None, None, "s"]), pa.array(texts)], names=["lang", "source", "text"])
+    rows = list(chain.from_iterable(zip(*[c.to_pylist() for c in b.columns]) for b in divergence.counted(iter([batch, batch]))))
+    got = {r[:3]: r[3:] for r in rows}
+    assert len(got) == len(rows) == 2 * 200_001 + 3  # 400,002 terms are held at once
+    assert got["y", "", "aaaaa"] == (6, 4) and got["y", "", "é"] == (2, 2) and got["y", "", None] == (0, 0) and got["x", "s", names[150_000]] == (2, 2)
