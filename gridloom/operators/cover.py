@@ -10,6 +10,7 @@ from gridloom.sources.scratch import written
 
 
 BLOCK = 65536  # rows that one task joins before what touches is joined over blocks
+STRIP = 1024  # rows that are dealt out together where each needs the one above
 
 
 def runs(cells: DataFrame, key: str = "token") -> DataFrame:
@@ -134,19 +135,30 @@ def labels(cells: DataFrame, anchor: int = 10) -> DataFrame:
     return lines.join(before, ["sheet", "row"], "left").select("sheet", "row", (F.col("follows").isNull() | (F.col("row") % anchor == 0)).alias("labelled"))
 
 
+def _marked(cells: DataFrame, anchor: int) -> DataFrame:
+    """``dittos``, dealt out by ``_strip``: some rows of a sheet, which have the row above them in the same task. What goes on by rows needs no exchange if it keeps the strip."""
+    strip = F.floor(F.col("row") / STRIP)
+    both = F.when(F.col("row") % STRIP == STRIP - 1, F.array(strip, strip + 1)).otherwise(F.array(strip))  # the last row of a strip is above the first of the next
+    dealt = cells.withColumn("_strip", F.explode(both))
+    inside, along = Window.partitionBy("sheet", "_strip"), Window.partitionBy("sheet", "_strip", "col").orderBy("row")
+    follows = F.max("row").over(inside.orderBy("row").rangeBetween(-1, -1)).isNotNull()
+    above = F.when(F.lag("row").over(along) == F.col("row") - 1, F.lag("token").over(along))
+    out = dealt.withColumns({"_follows": follows, "_above": above}).where(F.col("_strip") == strip)
+    labelled = ~F.col("_follows") | (F.col("row") % anchor == 0)
+    ditto = ~labelled & (tokens.token_cost(F.col("token")) > 1) & F.coalesce(F.col("_above") == F.col("token"), F.lit(False))
+    return out.withColumns({"labelled": labelled, "ditto": ditto}).drop("_follows", "_above")
+
+
 def dittos(cells: DataFrame, anchor: int = 10) -> DataFrame:
     """Cells with ``ditto``: the line has no label, the token costs more than one, and the cell above in the line before has an equal token."""
-    above = cells.select("sheet", (F.col("row") + 1).alias("row"), "col", F.col("token").alias("above"))
-    out = cells.join(above, ["sheet", "row", "col"], "left").join(labels(cells, anchor), ["sheet", "row"])
-    ditto = ~F.col("labelled") & (tokens.token_cost(F.col("token")) > 1) & F.coalesce(F.col("above") == F.col("token"), F.lit(False))
-    return out.withColumn("ditto", ditto).drop("above")
+    return _marked(cells, anchor).drop("_strip")
 
 
 def fields(cells: DataFrame, anchor: int = 10) -> DataFrame:
-    """(sheet, row, labelled, col, n, field): runs of equal adjacent fields, as v*n where that is shorter."""
-    marked = dittos(cells, anchor).withColumn("field", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
-    island = F.col("col") - F.row_number().over(Window.partitionBy("sheet", "row", "field").orderBy("col"))
-    out = marked.withColumn("_i", island).groupBy("sheet", "row", "labelled", "field", "_i").agg(F.min("col").alias("col"), F.count("*").cast("int").alias("n")).drop("_i")
+    """(sheet, row, labelled, col, n, field): runs of equal adjacent fields, as v*n where that is shorter; dealt out by ``_strip``."""
+    marked = _marked(cells, anchor).withColumn("field", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
+    island = F.col("col") - F.row_number().over(Window.partitionBy("sheet", "_strip", "row", "field").orderBy("col"))
+    out = marked.withColumn("_i", island).groupBy("sheet", "_strip", "row", "labelled", "field", "_i").agg(F.min("col").alias("col"), F.count("*").cast("int").alias("n")).drop("_i")
     cost = F.when(F.col("field") == "^", 1).otherwise(tokens.token_cost(F.col("field")))
     short = (F.col("n") >= 3) & (cost * F.col("n") + F.col("n") - 1 > cost + 2)
     text = F.when(short, F.concat("field", F.lit("*"), F.col("n").cast("string"))).otherwise(F.array_join(F.array_repeat("field", F.col("n")), "|"))
@@ -157,7 +169,7 @@ def grid_lines(cells: DataFrame, anchor: int = 10, jump: int = 4, start: DataFra
     """(sheet, row, line): the sheet's grid form, fields from the smallest column (or ``start`` of its sheet) on, a bar for each step, COL= after a jump."""
     start = cells.groupBy("sheet").agg(F.min("col").alias("start")) if start is None else start
     ordered = F.sort_array(F.collect_list(F.struct("col", "n", "text")))
-    lines = fields(cells, anchor).groupBy("sheet", "row", "labelled").agg(ordered.alias("f")).join(F.broadcast(start), "sheet")
+    lines = fields(cells, anchor).groupBy("sheet", "_strip", "row", "labelled").agg(ordered.alias("f")).join(F.broadcast(start), "sheet")
     body = F.expr(f"""aggregate(f, struct('' as text, start as at, true as first), (s, x) -> struct(concat(s.text, if(s.first, '', '|'),
         if(x.col - s.at >= {jump}, concat(gridloom_letters(x.col), '='), repeat('|', x.col - s.at)), x.text) as text, x.col + x.n as at, false as first), s -> s.text)""".replace("gridloom_letters(x.col)", _LETTERS))
     lines = lines.withColumn("body", body)
@@ -198,15 +210,15 @@ def costs(cells: DataFrame, anchor: int = 10, jump: int = 4, min_block_rows: int
     """(sheet, grid, index, hybrid, encoding): estimated tokens of the three text forms, and the one to choose. ``spans``: those of the cells, if they are known."""
     cost = tokens.token_cost
     cells = written(cells.select("sheet", "row", "col", "token"), "cells")  # three plans read them
-    marked = written(dittos(cells, anchor), "marked").withColumn("c", F.when(F.col("ditto"), F.lit(1).cast("long")).otherwise(cost(F.col("token")))).withColumn("f", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
-    row = Window.partitionBy("sheet", "row").orderBy("col")
+    marked = _marked(cells, anchor).withColumn("c", F.when(F.col("ditto"), F.lit(1).cast("long")).otherwise(cost(F.col("token")))).withColumn("f", F.when(F.col("ditto"), "^").otherwise(F.col("token")))
+    row = Window.partitionBy("sheet", "_strip", "row").orderBy("col")
     same = (F.lag("f").over(row) == F.col("f")) & (F.lag("col").over(row) == F.col("col") - 1)
     marked = marked.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("gap", F.col("col") - F.lag("col").over(row) - 1).withColumn("run", F.sum("new").over(row))
-    marked = marked.withColumn("at", F.row_number().over(Window.partitionBy("sheet", "row", "run").orderBy("col")))
+    marked = marked.withColumn("at", F.row_number().over(Window.partitionBy("sheet", "_strip", "row", "run").orderBy("col")))
     gap = F.when(F.col("gap") >= jump, 3).otherwise(F.ceil(F.coalesce("gap", F.lit(0)) / 4))
     cell = F.when(F.col("at") == 1, F.col("c") + 1 + gap).when(F.col("at") == 2, F.col("c") + 1).when(F.col("at") == 3, -2 * F.col("c")).otherwise(0)
     label = F.when(F.col("labelled"), cost(F.col("row").cast("string")) + 1).otherwise(0)
-    grid = marked.groupBy("sheet", "row", "labelled").agg(F.sum(cell).alias("cells")).withColumn("g", F.col("cells") + 1 + label).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
+    grid = marked.groupBy("sheet", "_strip", "row", "labelled").agg(F.sum(cell).alias("cells")).withColumn("g", F.col("cells") + 1 + label).groupBy("sheet").agg(F.sum("g").cast("long").alias("grid"))
     spans = (strides(rectangles(cells)) if spans is None else spans).withColumn("text", span_text()).withColumn("text_cost", cost(F.col("text"))).withColumn("c", cost(F.col("token")))
     spans = written(spans.drop("text"), "spans")
     index = spans.groupBy("sheet", "token").agg(F.sum(F.col("text_cost") + 1).alias("t"), F.first("c").alias("c")).groupBy("sheet").agg(F.sum(F.col("t") + F.col("c") + 1).cast("long").alias("index"))

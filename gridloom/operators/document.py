@@ -34,9 +34,11 @@ def encoded(cells: DataFrame, encoding: str = "grid", choice: DataFrame | None =
     if encoding not in ("auto", "grid", "index", "hybrid"):
         raise ValueError(f"{encoding} isn't an encoding")
     if encoding != "grid" and spans is None:
+        cells = written(cells.select("sheet", "row", "col", "token"), "cells")  # a hybrid reads them three times
         spans = written(cover.strides(cover.rectangles(cells)), "spans")
-    if encoding == "auto":
+    elif encoding == "auto":
         cells = written(cells.select("sheet", "row", "col", "token"), "cells")
+    if encoding == "auto":
         choice = written(cover.costs(cells, spans=spans), "choice") if choice is None else choice
         chosen = F.broadcast(choice.select("sheet", F.col("encoding").alias("_encoding")))  # a row a sheet
         used = {r[0] for r in choice.select("encoding").distinct().collect()}  # three at most
@@ -98,6 +100,7 @@ def decoded(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([[{"col": c, "token": t} for c, t in r[3]] for r in rows], pa.list_(pa.struct([("col", pa.int32()), ("token", pa.string())])))], names=["sheet", "line_no", "label", "fields"])
 
     held = grid.join(F.broadcast(start), "sheet").select("sheet", "line_no", "text", "start").mapInArrow(split, "sheet string, line_no int, label int, fields array<struct<col:int,token:string>>")
+    held = written(held, "fields")  # read twice, and lines may be dear to make
     # lines are numbered by their order; a row is the last label plus the lines since it
     held = held.withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     inside = Window.partitionBy("sheet", "chunk").orderBy("line_no")

@@ -88,3 +88,45 @@ def test_a_cut_parses_only_rows_that_define_shared_formulas(monkeypatch):
     assert sum(parsed) < len(data) / 50
     found = list(scan.pieces(io.BytesIO(b"<worksheet><sheetData>" + data + b"</sheetData></worksheet>"), 2000))
     assert [m[0] for m in found[-1].masters] == ["0", "1"] and b"".join(p.data for p in found) == data
+
+
+def test_forms_of_a_sheet_read_the_row_above_without_joins(spark):
+    rows = [("s", r, c, "long text" if r % 7 else f"t{c}") for r in (*range(1, 60), *range(cover.STRIP - 3, cover.STRIP + 4), 3 * cover.STRIP) for c in (1, 2, 3, 4, 9) if (r + c) % 5]
+    cells = spark.createDataFrame([*rows, *(("t", *x[1:]) for x in rows[::2])], "sheet string, row int, col int, token string")
+    at = {(x["sheet"], x["row"], x["col"]): x["token"] for x in cells.collect()}
+    lines = {(s, r) for s, r, _ in at}
+    got = {(x["sheet"], x["row"], x["col"]): (x["labelled"], x["ditto"]) for x in cover.dittos(cells).collect()}
+    for (s, r, c), token in at.items():
+        labelled = (s, r - 1) not in lines or r % 10 == 0
+        assert got[s, r, c] == (labelled, not labelled and at.get((s, r - 1, c)) == token == "long text")
+    assert len(got) == len(at) and any(d for _, d in (got["s", cover.STRIP, c] for c in (1, 2, 3, 4) if ("s", cover.STRIP, c) in got))
+    told = cover.grid_lines(cells)
+    assert plan(told).count("Join ") == 1  # the start of each sheet
+    physical = told._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") <= 2
+
+
+def test_mismatches_count_each_difference(spark):
+    from gridloom.plans.catalog import mismatches
+
+    of = lambda *rows: spark.createDataFrame(list(rows), "sheet string, row int, col int, token string")
+    a = of(("s", 1, 1, "x"), ("s", 1, 1, "x"), ("s", 1, 2, None), ("s", 2, 1, "y"))
+    b = of(("s", 1, 1, "x"), ("s", 1, 2, None), ("s", 2, 1, "z"))
+    assert mismatches(a, b).first()[0] == 3 and mismatches(a, a).first()[0] == 0 and mismatches(a.limit(0), b.limit(0)).first()[0] == 0
+
+
+def test_decoding_makes_lines_once(spark):
+    from gridloom.operators import document
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    cells = spark.createDataFrame([("s", r, c, f"v{r % 3}") for r in range(1, 50) for c in (1, 2)], "sheet string, row int, col int, token string")
+    lines = document.encoded(cells, "grid").where("part = 'grid'").mapInArrow(counted, "sheet string, part string, line_no int, text string")
+    start = document.encoded(cells, "grid").where("part = 'start'")
+    assert document.decoded(start.unionByName(lines)).count() == 98
+    assert made.value <= 4 * 49  # each of a document's three parts reads it at most once, grid lines not twice
