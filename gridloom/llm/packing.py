@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridloom.llm.common import chunks, strings
+from gridloom.llm.common import chunks, small_batches, strings
 
 END_ID = 0
 
@@ -53,7 +53,7 @@ class Encoder(dict):
     At most ``most_kept`` words are held; how many changes no result.
     """
 
-    def __init__(self, path: str, most_kept: int = 400_000):
+    def __init__(self, path: str, most_kept: int = 100_000):
         import json
 
         import tiktoken
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, smallest_cu
                 pa.array([x[i] for x in placed], kind) for i, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()), (7, pa.int64()), (8, pa.int64()), (5, pa.int32()), (6, pa.binary()))
             ], names=SCHEMA.names)
 
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             placed: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
                 ids = encoder.ids(text) + end
@@ -181,4 +181,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, smallest_cu
             yield rows(placed)
         yield rows(bins.rest())
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, fold_of, strings
+from gridloom.llm.common import chunks, fold_of, small_batches, strings
 
 LEVELS = (3, 4, 5, 6)
 DISCOUNT = 0.75
@@ -73,7 +73,7 @@ class Model:
 class Words(dict):
     """Evidence of words as they stand in texts, kept for at most ``most_kept`` of them."""
 
-    def __init__(self, model: Model, most_kept: int = 400_000):
+    def __init__(self, model: Model, most_kept: int = 100_000):
         self.model, self.most_kept = model, most_kept
 
     def __missing__(self, word: str) -> float:
@@ -191,12 +191,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, tex
     The model is learned from the labelled rows of ``texts``, which are ``docs`` unless given.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = learn(texts if texts is not None else docs, labels, most_rows) or Model({"": 0.0}, {}, 0.0, -30.0)
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
-        for batch in chunks(batches, "text", 8 << 20):
+        for batch in chunks(batches, "text", 1 << 20):
             yield batch.filter(pa.array([shared.value.score(words.text(t)[0]) < 0.5 for t in strings(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)

@@ -130,3 +130,13 @@ def test_decoding_makes_lines_once(spark):
     start = document.encoded(cells, "grid").where("part = 'start'")
     assert document.decoded(start.unionByName(lines)).count() == 98
     assert made.value <= 4 * 49  # each of a document's three parts reads it at most once, grid lines not twice
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    from gridloom.llm import packing
+    from gridloom.llm.queries import tokenizer_path
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+    packing.pack(docs, tokenizer_path())
+    firsts = docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id bigint")
+    assert firsts.count() >= 8  # 40 MB of texts came in one batch
