@@ -34,12 +34,19 @@ def rectangles(rules: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def held(cells: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
-    """(cells, ``keep``): each cell with each rule that holds it, once, whatever rectangles of the rule do so. ``keep`` must tell rules apart."""
+    """(cells, ``keep``): each cell with each rule that holds it, once, whatever rectangles of the rule do so. ``keep`` must tell rules apart.
+
+    A rule's rectangles in a block of rows are one row, so no pair is found twice, and equal cells are told apart where they meet the rules: no exchange sees the pairs. The
+    rectangles' rows by block are many more than the file of rules lets expect, so both sides are dealt out and sorted.
+    """
     rects = rectangles(rules, ["sheet", *keep]).withColumnRenamed("sheet", "_sheet")
     rects = rects.withColumn("_block", F.explode(F.sequence(F.floor(F.col("r0") / ROWS), F.floor(F.col("r1") / ROWS))))
-    own = cells.select(CELL).withColumn("_at", F.floor(F.col("row") / ROWS))
-    on = (F.col("sheet") == F.col("_sheet")) & (F.col("_at") == F.col("_block")) & F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    return own.join(rects, on).select(*CELL, *keep).distinct()
+    bounds = F.array_sort(F.collect_set(F.struct("r0", "c0", "r1", "c1"))).alias("_rects")
+    rects = rects.groupBy("_sheet", "_block", *keep).agg(bounds).select("_sheet", "_block", *keep, F.col("_rects")[0].alias("_rect"), F.when(F.size("_rects") > 1, F.col("_rects")).alias("_rects"))
+    own = cells.select(CELL).withColumn("_at", F.floor(F.col("row") / ROWS)).repartition("sheet", "_at").distinct()
+    inside = lambda x: F.col("row").between(x["r0"], x["r1"]) & F.col("col").between(x["c0"], x["c1"])
+    on = (F.col("sheet") == F.col("_sheet")) & (F.col("_at") == F.col("_block")) & (inside(F.col("_rect")) | (F.col("_rects").isNotNull() & F.exists("_rects", inside)))
+    return own.join(rects.hint("merge"), on).select(*CELL, *keep)
 
 
 def constant(text: Column) -> Column:
@@ -88,18 +95,22 @@ def hits(cells: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
     said |= {c: F.coalesce(c, F.lit(c == "above")) for c in ("above", "percent", "bottom", "equal_average")} | {"deviations": F.coalesce("deviations", F.lit(0))}
     rules = written(complete(rules).withColumns(said).drop("formulas"), "rules")
     rule = ["sheet", "priority"]
-    met = written(held(cells, rules, ["priority"]), "met")
+    told = F.broadcast if small(rules) else lambda df: df
+    cells = written(cells.select(CELL), "cells")
     number = F.when(F.col("kind").isin("number", "date"), F.col("value").try_cast("double"))
-    met = met.withColumn("_number", number)
+    # the pairs of cells and rules aren't written: what only some types ask of all cells is asked for these, and each pair is judged where it is found
+    met = lambda which: held(cells, rules.where(which), ["priority"]).withColumn("_number", number)
+    repeats = F.coalesce(F.col("type").isin("duplicateValues", "uniqueValues"), F.lit(False))
     # ranks: place of each number among those of its rule, over ranges of rows and not in one task
-    ranked = met.where("_number is not null").join(rules.where("type = 'top10'").select(*rule, "rank", "percent", "bottom"), rule)
+    ranked = met(F.col("type") == "top10").where("_number is not null").join(told(rules.select(*rule, "rank", "percent", "bottom")), rule)
     steps = written(ranked.withColumn("_key", F.when(F.col("bottom"), F.col("_number")).otherwise(-F.col("_number"))).groupBy(*rule, "rank", "percent", "_key").agg(F.count("*").alias("_n")), "steps")
     edges = written(nth(steps, rule), "edges")
-    stats = met.groupBy(rule).agg(F.avg("_number").alias("_mean"), F.stddev_pop("_number").alias("_spread"))
-    shown = met.where("value is not null and value != ''").join(rules.where("type in ('duplicateValues', 'uniqueValues')").select(rule), rule)
+    stats = met(F.col("type") == "aboveAverage").groupBy(rule).agg(F.avg("_number").alias("_mean"), F.stddev_pop("_number").alias("_spread"))
+    shown = met(repeats).where("value is not null and value != ''")
     same = shown.groupBy(*rule, F.lower("value").alias("_value")).agg(F.count("*").alias("_same"))
-    out = met.join(rules.drop("ranges", "style", "stop"), rule).join(F.broadcast(stats) if small(rules) else stats, rule, "left").join(F.broadcast(edges) if small(rules) else edges, rule, "left")
-    out = out.withColumn("_value", F.lower("value")).join(same, [*rule, "_value"], "left")
+    pairs = lambda which: met(which).withColumn("_value", F.lower("value"))
+    out = pairs(~repeats).withColumn("_same", F.lit(None).cast("bigint")).unionByName(pairs(repeats).join(same, [*rule, "_value"], "left"))
+    out = out.join(told(rules.drop("ranges", "style", "stop")), rule).join(told(stats), rule, "left").join(told(edges), rule, "left")
     first, second = F.col("_first"), F.col("_second")
     text, kind, number, needle, low = F.coalesce("value", F.lit("")), F.col("type"), F.col("_number"), F.col("text"), F.coalesce("_value", F.lit(""))
     edge = F.col("_mean") + F.when(F.col("above"), F.col("deviations")).otherwise(-F.col("deviations")) * F.col("_spread")
@@ -142,7 +153,8 @@ def winners(found: DataFrame, rules: DataFrame, styles: DataFrame | None = None)
 
     ``found`` is of ``hits``. Rules apply by priority up to the first that holds and stops. With ``styles`` (id, text), the winner's style in full.
     """
-    held_ = found.where("hit").join(complete(rules).select("sheet", "priority", "style", F.coalesce("stop", F.lit(False)).alias("stop")), ["sheet", "priority"])
+    rules = written(complete(rules).select("sheet", "priority", "style", F.coalesce("stop", F.lit(False)).alias("stop")), "rules")
+    held_ = found.where("hit").join(F.broadcast(rules) if small(rules) else rules, ["sheet", "priority"])
     stop = F.min(F.when(F.col("stop"), F.col("priority"))).alias("_stop")
     out = held_.groupBy("sheet", "row", "col").agg(F.min("priority").alias("priority"), F.min_by("style", "priority").alias("style"), F.sort_array(F.collect_list("priority")).alias("applied"), stop)
     out = out.withColumn("applied", F.filter("applied", lambda p: F.col("_stop").isNull() | (p <= F.col("_stop")))).drop("_stop")

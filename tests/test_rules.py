@@ -121,6 +121,17 @@ def test_rules_equal_evaluating_each_cell(spark, seed):
     found.unpersist()
 
 
+def test_pairs_of_cells_and_rules_cross_no_exchange(spark):
+    rows = [("S", r, c, "number", str(r)) for r in range(1, 200) for c in (1, 2)]
+    table = spark.createDataFrame([*rows, *rows[:9]], "sheet string, row int, col int, kind string, value string")
+    given = spark.createDataFrame([("S", "A1:A100 A50:B150 A50:B150", 1), ("S", "B:B", 2)], "sheet string, ranges string, priority int")
+    found = rules.held(table, given, ["priority"])
+    want = [(*x, p) for x in rows for p, holds in ((1, x[1] <= 100 and x[2] == 1 or 50 <= x[1] <= 150), (2, x[2] == 2)) if holds]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    told = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in told.splitlines()[1] and "strategy=merge" in told  # nothing but a projection stands above the join
+
+
 def test_validations(spark):
     cells = [("S", 1, 1, "number", "5"), ("S", 2, 1, "number", "5.5"), ("S", 3, 1, "text", "abc"), ("S", 4, 1, None, None), ("S", 5, 1, "text", "b"), ("S", 6, 1, "date", "45000"), ("My S", 1, 2, "text", "b"), ("My S", 2, 2, "number", "5")]
     table = spark.createDataFrame(cells, "sheet string, row int, col int, kind string, value string")
