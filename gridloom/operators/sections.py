@@ -101,8 +101,14 @@ def encoded(book: dict[str, DataFrame], source: str = "", include: str | list[st
             raise KeyError(s)
     numbers = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in all_sheets if sheets is None or r[0] in sheets], "sheet string, sheet_no int"))
     own = {k: d.drop("sheet_no").join(numbers, "sheet") for k, d in book.items() if k in ("cells", "merged", "hyperlinks", "comments", "row_dims", "col_dims", "validations", "cond_formats", "tables", "settings")}
-    cells = written(own["cells"], "cells")
-    valued = written(cell_tokens(cells), "tokens")
+    cells = own["cells"]  # written where more than their bounds is asked
+    if not {"analysis", "values", "styles", "formulas"}.isdisjoint(names):
+        cells = written(cells, "cells")
+    if "analysis" in names or "values" in names:
+        valued = written(cell_tokens(cells), "tokens")
+    for name, section in (("comments", "comments"), ("row_dims", "dimensions")):  # heads and lines are made of them
+        if section in names:
+            own[name] = written(own[name], name)
     lines: list[DataFrame] = []
     heads: list[tuple] = []
 
@@ -230,7 +236,7 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 
 def save_json(doc: DataFrame, path: str) -> None:
     """One object a line: the texts of a section, cut at ``CHUNK`` lines: {"sheet_no", "section", "part", "text"}."""
-    held = C.numbered(doc, ORDER[:4], "line_no")
+    held = C.numbered(written(doc, "document"), ORDER[:4], "line_no")  # else its lines are made twice: for the ranges' bounds, and again
     parts = held.groupBy("sheet_no", "section", F.floor(F.col("line_no") / CHUNK).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     parts.repartitionByRange("sheet_no", "section", "part").sortWithinPartitions("sheet_no", "section", "part").write.json(path)
 

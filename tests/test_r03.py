@@ -140,3 +140,23 @@ def test_batches_of_texts_are_bounded_by_bytes(spark):
     packing.pack(docs, tokenizer_path())
     firsts = docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id bigint")
     assert firsts.count() >= 8  # 40 MB of texts came in one batch
+
+
+def test_documents_read_comments_once(spark, tmp_path):
+    from gridloom.operators import sections
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    notes = spark.createDataFrame([("s", r, 1, "me", f"note {r}") for r in range(1, 21)], "sheet string, row int, col int, author string, text string")
+    book = {
+        "cells": spark.createDataFrame([("s", 1, 1, "text", "x")], "sheet string, row int, col int, kind string, value string"),
+        "sheets": spark.createDataFrame([("s", 0, "visible")], "sheet string, sheet_no int, state string"), "comments": notes.mapInArrow(counted, notes.schema),
+    }
+    sections.save_json(sections.encoded(book, include=["comments"]), str(tmp_path / "d"))
+    got = "\n".join(r["text"] for r in spark.read.json(str(tmp_path / "d")).orderBy("sheet_no", "section", "part").collect())
+    assert read.value == 20 and got.count("author=me") == 20  # not for heads, lines and bounds each
