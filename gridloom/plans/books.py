@@ -428,8 +428,8 @@ def pivot_filters(spark, sf_dir):
 @query("""WITH a AS (SELECT o_custkey AS item, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS price FROM orders GROUP BY 1)
 SELECT item, CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, item) AS INTEGER) AS place FROM a""")
 def pivot_sort(spark, sf_dir):
-    """Customers by what one column of a pivot says of them: the sum of finished orders."""
-    items = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("decimal(18,2)"))).alias("price"))
+    """Customers by what one column of a pivot says of them: the sum of finished orders, added exactly to ten places."""
+    items = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("decimal(38,10)"))).alias("price"))
     return pivot.arranged(items, "item", "price", descending=True).select("item", "place")
 
 
