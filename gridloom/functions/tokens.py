@@ -6,6 +6,7 @@ Different types never share a text (1, 1.0 and "1" are three tokens), so tokens
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,15 @@ def json_literal(s: Column) -> Column:
     return F.when(s.rlike(r'["\\\x00-\x1F\x7F\u0085  ]'), special).otherwise(plain)
 
 
+_ESCAPED = re.compile('["\\\\\x00-\x1f\x7f\x85\u2028\u2029]')
+_SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_text(s: str) -> str:
+    """``json_literal`` of a text."""
+    return f'"{_ESCAPED.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", s)}"'
+
+
 def scalar(s: Column) -> Column:
     """A value of compact XML: a JSON string if it has spaces, parentheses or quotes, or is empty."""
     return F.when(s.rlike(r'^[^\s()"]+$'), s).otherwise(json_literal(s))
